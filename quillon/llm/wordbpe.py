@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-
-_SPACES = str.maketrans("\n\t\r", "   ")
+import os
+from array import array
 
 
 class ChunkEncoder:
@@ -12,38 +11,75 @@ class ChunkEncoder:
 
     The tokenizer drops white space and no token spans it, so the ids of a text are the ids of its
     chunks in order. Only blank, newline, tab and carriage return separate chunks; any other white
-    space stays inside a chunk and is left to the tokenizer. The memory is bounded: it is emptied
-    when it holds ``max_entries`` chunks, and chunks over ``max_chars`` are never remembered.
+    space stays inside a chunk and is left to the tokenizer. Texts of Latin-1 letters are lower-cased
+    first, as the tokenizer does itself, unless they may hold a special token. Full stops and commas
+    after a letter are pre-tokens of their own, so they are split off before a chunk is looked up.
+
+    The memory is bounded: two generations of at most ``max_entries`` chunks, and chunks over
+    ``max_chars`` are never remembered.
     """
 
-    def __init__(self, path: str, max_entries: int = 200_000, max_chars: int = 64):
+    def __init__(self, path: str, max_entries: int = 600_000, max_chars: int = 40):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         self.max_entries, self.max_chars = max_entries, max_chars
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        found = self.tok.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+    def _resolve(self, fresh: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that the young generation does not hold."""
+        cut, need = {}, set()
+        for c in fresh:
+            base = c.rstrip(".,")
+            if len(base) < len(c) and base[-1:].isalpha():
+                cut[c] = (base, c[len(base):])
+                need.update(cut[c])
+            else:
+                need.add(c)
+        got, ask = {}, []
+        for c in need:
+            ids = self.known.get(c)
+            if ids is None:
+                ids = self.old.get(c)
+            if ids is None:
+                ask.append(c)
+            else:
+                got[c] = ids
+        if ask:
+            for c, x in zip(ask, self.tok.encode_batch_fast(ask, add_special_tokens=False), strict=True):
+                got[c] = array("I", x.ids).tobytes()
+        for c, (base, tail) in cut.items():
+            got[c] = got[base] + got[tail]
+        return got
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null encodes as the empty text."""
         if not text:
             return b""
-        chunks = text.translate(_SPACES).split(" ") if len(text) < 256 else (
-            text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+        if "<|" not in text:
+            try:
+                text.isascii() or text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         known = self.known
-        fresh = list({c for c in chunks if c not in known})
+        fresh = set(chunks).difference(known)
         if not fresh:
-            return b"".join([known[c] for c in chunks])
-        got = dict(zip(fresh, self._encode(fresh), strict=True))
-        out = b"".join([known[c] if c in known else got[c] for c in chunks])
+            return b"".join(map(known.__getitem__, chunks))
+        got = self._resolve(fresh)
         if len(known) + len(got) > self.max_entries:
-            known.clear()
-            known[""] = b""
-        known.update((k, v) for k, v in got.items() if len(k) <= self.max_chars)
-        return out
+            self.old, self.known = known, {"": b""}
+            got.update((c, known[c]) for c in set(chunks).difference(got))
+            known = self.known
+        long = {c: ids for c, ids in got.items() if len(c) > self.max_chars}
+        if not long:
+            known.update(got)
+            return b"".join(map(known.__getitem__, chunks))
+        known.update((c, ids) for c, ids in got.items() if len(c) <= self.max_chars)
+        return b"".join([long[c] if c in long else known[c] for c in chunks])
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
