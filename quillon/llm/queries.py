@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import load
+from .common import held_out, load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,12 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc32(token_rows(spark, write_tokens(load(spark, sf_dir, "documents"))))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import token_counts
+
+    return token_counts(load(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -43,7 +50,24 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_token_orc, op4_packing, op5_exact_dedup, op6_decontaminate)}
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score, train
+
+    docs = load(spark, sf_dir, "documents")
+    found = score(docs, train(docs, load(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import predict, train
+
+    docs = load(spark, sf_dir, "documents")
+    found = predict(docs, train(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_warc, op2_token_orc, op3_token_counts, op4_packing, op5_exact_dedup, op6_decontaminate, op7_quality, op8_language)}
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": """
