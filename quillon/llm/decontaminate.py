@@ -5,11 +5,10 @@ word inside any occurrence of a window is hit. A window's words are ordered by r
 as all of them must be there, the necessary prefix is its rarest word alone, its anchor. Documents'
 words are joined to anchors on the word; what would start before the first or end after the last
 document word is left out (position and length bounds); the rest is compared word by word over the
-window's size.
+window's size, after a document's candidates have been gathered beside its text.
 
 The join is a broadcast of anchors while there are at most ``broadcast_rows`` of them; beyond that, word
-positions are joined by a shuffle that adaptive execution splits, and the documents' words are fetched
-for the candidates only.
+positions are joined by a shuffle that adaptive execution splits.
 
 Defined results: null texts have no words, no hits and no items; an empty benchmark leaves all documents
 clean; items with a null id are ignored; rows that repeat id and text get equal results; other columns are
@@ -32,15 +31,9 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(fold_ascii(text), SEPARATORS), "")
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Documents' words under a key made of id and text, so that no row number is needed."""
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), words(text).alias("w"))
-
-
 def anchors(docs_words: DataFrame, benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", size: int = SIZE,
             broadcast_rows: int = 1_000_000) -> DataFrame:
-    """``word, item_id, iw, at, lo, hi, n``: the anchor at item position ``at`` serves the windows of n words that start at lo..hi."""
+    """``word, item_id, n, aw, at, more``: the anchor is word ``at`` of ``aw``, and serves the windows of n words that start at 0..more there."""
     items = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item_id"), words(F.col(text_col).cast("string")).alias("iw"))
     items = written(items.where(F.size("iw") > 0).distinct(), "items")
     vocabulary = written(items.select(F.explode("iw").alias("word")).distinct(), "item-words")
@@ -55,53 +48,56 @@ def anchors(docs_words: DataFrame, benchmark: DataFrame, *, id_col: str = "item_
         F.sequence(F.lit(0), F.size("iw") - F.col("n")),
         lambda s: F.struct(s.alias("s"), F.array_min(F.slice("ranks", s + 1, F.col("n"))).alias("r")))).alias("x"))
     # A word that no document has can't be joined; its windows are dropped by the join itself.
-    return written(wins.groupBy("item_id", "iw", "n", F.col("x.r.word").alias("word"), F.col("x.r.at").alias("at"))
-                   .agg(F.min("x.s").alias("lo"), F.max("x.s").alias("hi")), "anchors")
+    runs = (wins.groupBy("item_id", "iw", "n", F.col("x.r.word").alias("word"), F.col("x.r.at").alias("at"))
+            .agg(F.min("x.s").alias("lo"), F.max("x.s").alias("hi")))
+    return written(runs.select("word", "item_id", "n", F.slice("iw", F.col("lo") + 1, F.col("hi") - F.col("lo") + F.col("n")).alias("aw"),
+                               (F.col("at") - F.col("lo")).alias("at"), (F.col("hi") - F.col("lo")).alias("more")), "anchors")
 
 
-def _starts(doc: Column) -> Column:
-    """Document positions where a window that holds the anchor occurs."""
-    shift = F.col("pos") - F.col("at")
-    first, last = F.greatest(F.col("lo"), -shift), F.least(F.col("hi"), F.size(doc) - shift - F.col("n"))
+def _starts(w: Column, c: Column) -> Column:
+    """Document positions where a window of candidate c occurs: word ``c.at`` of ``c.aw`` stands at ``c.pos``."""
+    shift = c["pos"] - c["at"]
+    first, last = F.greatest(F.lit(0), -shift), F.least(c["more"], F.size(w) - shift - c["n"])
     s = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-    same = F.filter(s, lambda x: F.slice(doc, x + shift + 1, F.col("n")) == F.slice("iw", x + 1, F.col("n")))
+    same = F.filter(s, lambda x: F.slice(w, x + shift + 1, c["n"]) == F.slice(c["aw"], x + 1, c["n"]))
     return F.transform(same, lambda x: x + shift)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
          item_text_col: str = "text", size: int = SIZE, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans`` for every document.
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans, h`` for every document.
 
-    ``items`` are the ids as sorted strings, ``spans`` the hit word ranges as (first, end).
+    ``items`` are the ids as sorted strings, ``spans`` the hit word ranges as (first, end), ``h`` the text's hash.
+    A document's candidates come to its text in one row, so words are never copied to each position.
     """
-    doc = _numbered(docs, id_col, text_col)
+    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    doc = text.select("doc_id", "h", words(F.col("text")).alias("w"))
     table = anchors(doc, benchmark, id_col=item_id_col, text_col=item_text_col, size=size, broadcast_rows=broadcast_rows)
-    at = F.posexplode("w").alias("pos", "word")
-    if table.count() <= broadcast_rows:
-        found = doc.select("doc_id", "h", "w", at).join(F.broadcast(table), "word")
-    else:
-        near = doc.select("doc_id", "h", at).join(table, "word").where("pos - at + lo >= 0 or hi > lo")
-        found = near.join(doc.dropDuplicates(["doc_id", "h"]).withColumnRenamed("doc_id", "d2").withColumnRenamed("h", "h2"),
-                          F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")))
-    found = found.where("pos - at + hi >= 0").select("doc_id", "h", "item_id", "n", _starts(F.col("w")).alias("starts")).where(F.size("starts") > 0)
-    # Runs of neighbouring starts are one span; a span is as long as its run plus the window.
-    spans = found.select("doc_id", "h", "item_id", F.explode("starts").alias("s"), "n").groupBy("doc_id", "h").agg(
-        F.array_sort(F.collect_set("item_id")).alias("items"),
-        F.array_sort(F.collect_set(F.struct(F.col("s").alias("first"), (F.col("s") + F.col("n")).alias("end")))).alias("raw"))
+    at = doc.select("doc_id", "h", F.posexplode("w").alias("pos", "word"))
+    few = table.count() <= broadcast_rows
+    found = at.join(F.broadcast(table) if few else table, "word").where("pos >= at - more")
+    cands = found.groupBy(F.col("doc_id").alias("d2"), F.col("h").alias("h2")).agg(
+        F.collect_set(F.struct("pos", "item_id", "n", "aw", "at", "more")).alias("cands"))
+    joined = text.join(cands.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")), "left")
+    out = joined.select("doc_id", "h", words(F.col("text")).alias("w"), F.coalesce("cands", F.array()).alias("cands"))
+    # Where there are no candidates, only the words are counted.
+    found = F.filter(F.transform("cands", lambda c: F.struct(c["item_id"].alias("item_id"), c["n"].alias("n"), _starts(F.col("w"), c).alias("starts"))),
+                     lambda f: F.size(f["starts"]) > 0)
+    out = out.select("doc_id", "h", F.size("w").cast("long").alias("n_words"), found.alias("found"))
+    raw = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda f: F.transform(
+        f["starts"], lambda s: F.struct(s.alias("first"), (s + f["n"]).alias("end")))))))
+    out = out.select("doc_id", "h", "n_words", F.array_sort(F.array_distinct(F.transform("found", lambda f: f["item_id"]))).alias("items"), raw.alias("raw"))
+    # Spans in order; one that touches the last joins it.
     merged = F.aggregate("raw", F.array().cast("array<struct<first:int,end:int>>"), lambda acc, x: F.when(
         (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["first"]),
         F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
             F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))))
         .otherwise(F.concat(acc, F.array(x))))
-    spans = spans.select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), "items", merged.alias("spans"))
-    base = doc.select("doc_id", "h", F.size("w").cast("long").alias("n_words"))
-    out = base.join(spans, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")), "left")
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    spans_or = F.coalesce("spans", F.array().cast("array<struct<first:int,end:int>>"))
-    n_hit = F.aggregate(spans_or, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"])
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-                      F.sha2(F.encode(F.array_join(items, ","), "utf-8"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
-                      items.alias("items"), spans_or.alias("spans"), "h")
+    out = out.select("doc_id", "h", "n_words", "items", merged.alias("spans"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"])
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.encode(F.array_join("items", ","), "utf-8"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+                      "items", "spans", "h")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
