@@ -1,5 +1,58 @@
-"""Placeholder."""
-STAGES = []
+"""A training corpus from ``documents``: quality, exact copies, near copies, benchmark leaks, packing.
+
+``STAGES`` are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a DataFrame that is
+written as Parquet and read again as the next one's docs. All but the last return the columns of
+``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quillon.llm import decontaminate, exact_dedup, jaccard_join, packing, quality
+from quillon.llm.common import load, written
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the compression classifier gives less than one half."""
+    return quality.keep_good(docs, quality.train(docs, load(spark, sf_dir, "labels")))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the largest id of texts that are equal but for the case of A-Z."""
+    return exact_dedup.keep_one(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each component of documents that share 80 of 100 five-word shingles."""
+    return jaccard_join.keep_representatives(docs, size=5, percent=80)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    return decontaminate.keep_clean(docs, load(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, in sequences of at most 2048."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("n-gram Jaccard join", near_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("packing", packing_stage),
+]
+
+#: The classifier's scores can't be had in SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over the whole of ``documents``."""
+    docs = load(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
