@@ -33,7 +33,7 @@ ELEMENTS = {
     "vec8_square": (lambda a, b: vec.square(a), "x * x"),
     "vec12_floor_elements": (lambda a, b: vec.floor_at(a, -0.1)["vec"], "greatest(x, -0.1)"),
     "vec14_one_hot_max": (lambda a, b: vec.one_hot_max(a), "CASE WHEN d = (first_value(d) OVER (PARTITION BY t ORDER BY x DESC, d)) THEN x ELSE 0 END"),
-    "vec15_compare_to_mask": (lambda a, b: F.transform(vec.count_smaller(a, b, F.transform(a, lambda x: F.lit(3))), lambda c: c.cast("double")), "3.0 + CASE WHEN x < y THEN 1 ELSE 0 END"),
+    "vec15_compare_to_mask": (lambda a, b: F.transform(vec.count_smaller(a, b, F.transform(a, lambda x: F.lit(3))), lambda c: c.cast("double")), "3::DOUBLE + CASE WHEN x < y THEN 1 ELSE 0 END"),
 }
 for _name, (_fn, _sql) in ELEMENTS.items():
     REGISTRY.add(_name, lambda s, d, fn=_fn: _pairs(s, d).select("t", F.posexplode(fn(F.col("a"), F.col("b"))).alias("d", "y")).select(
