@@ -1,5 +1,135 @@
-"""Queries."""
+"""Queries of n-gram models over the documents' words."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import ngrams as ng
+from ..operators import search as se
+from . import views as v
 from .registry import Registry
 
 REGISTRY = Registry()
+query = REGISTRY.query
+
+LM = {
+    "tri_words": "SELECT word AS w1, lead(word, 1) OVER w AS w2, lead(word, 2) OVER w AS w3, lead(word, 3) OVER w AS w4 FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)",
+    "c1": "SELECT w1, count(*) AS c FROM tri_words GROUP BY 1",
+    "c2": "SELECT w1, w2, count(*) AS c FROM tri_words WHERE w2 IS NOT NULL GROUP BY 1, 2",
+    "c3": "SELECT w1, w2, w3, count(*) AS c FROM tri_words WHERE w3 IS NOT NULL GROUP BY 1, 2, 3",
+    "u": "SELECT w1, log10(c / (SELECT sum(c) FROM c1)) AS p, -0.4::DOUBLE AS bo FROM c1",
+    "b": "SELECT w1, w2, log10(c2.c / c1.c) AS p, -0.4::DOUBLE AS bo FROM c2 JOIN c1 USING (w1) WHERE c2.c >= 2",
+    "t": "SELECT w1, w2, w3, log10(c3.c / c2.c) AS p FROM c3 JOIN c2 USING (w1, w2) WHERE c3.c >= 2",
+    "q": "SELECT * FROM c3",
+    "q3": "SELECT q.w1, q.w2, q.w3, t.p AS p3, b2.bo AS b2, b.p AS p2, u2.bo AS b1, u.p AS p1 FROM q LEFT JOIN t ON q.w1 = t.w1 AND q.w2 = t.w2 AND q.w3 = t.w3 LEFT JOIN b b2 ON q.w1 = b2.w1 AND q.w2 = b2.w2 LEFT JOIN b ON q.w2 = b.w1 AND q.w3 = b.w2 LEFT JOIN u u2 ON q.w2 = u2.w1 LEFT JOIN u ON q.w3 = u.w1",
+}
+P3 = "coalesce(p3, coalesce(b2, 0) + coalesce(p2, coalesce(b1, 0) + p1))"
+
+
+def model(spark, d) -> ng.Ngrams:
+    return ng.estimate(v.words(spark, d))
+
+
+def triples(spark, d):
+    """All word triples that occur."""
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    rows = v.words(spark, d).select(F.col("word").alias("w1"), F.lead("word", 1).over(w).alias("w2"), F.lead("word", 2).over(w).alias("w3"))
+    return rows.where("w3 is not null").distinct()
+
+
+@query("lm1_unigram", v.with_views("SELECT w1, round(p, 6) + 0.0 AS p FROM u", "words", **LM))
+def _(spark, d):
+    m = model(spark, d)
+    return ng.unigram(m.uni.select("w1"), m).select("w1", F.round("p", 6).alias("p"))
+
+
+@query("lm2_bigram_backoff", v.with_views("SELECT w2 AS w1, w3 AS w2, round(any_value(coalesce(p2, coalesce(b1, 0) + p1)), 6) + 0.0 AS p FROM q3 GROUP BY 1, 2", "words", **LM))
+def _(spark, d):
+    pairs = triples(spark, d).select(F.col("w2").alias("w1"), F.col("w3").alias("w2")).distinct()
+    return ng.bigram(pairs, model(spark, d)).select("w1", "w2", F.round("p", 6).alias("p"))
+
+
+@query("lm3_trigram_backoff", v.with_views(f"SELECT w1, w2, w3, round({P3}, 6) + 0.0 AS p FROM q3", "words", **LM))
+def _(spark, d):
+    return ng.trigram(triples(spark, d), model(spark, d)).select("w1", "w2", "w3", F.round("p", 6).alias("p"))
+
+
+@query("lm4_fourgram_backoff", v.with_views(
+    f"SELECT x.w1, x.w2, x.w3, x.w4, round(coalesce(CASE WHEN x.c >= 2 THEN log10(x.c / c3.c) END, coalesce(CASE WHEN c3.c >= 2 THEN -0.4 END, 0) + {P3}), 6) + 0.0 AS p FROM c4 x JOIN c3 ON x.w1 = c3.w1 AND x.w2 = c3.w2 AND x.w3 = c3.w3 JOIN q3 ON x.w2 = q3.w1 AND x.w3 = q3.w2 AND x.w4 = q3.w3",
+    "words", **LM, c4="SELECT w1, w2, w3, w4, count(*) AS c FROM tri_words WHERE w4 IS NOT NULL GROUP BY 1, 2, 3, 4"))
+def _(spark, d):
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    rows = v.words(spark, d).select(F.col("word").alias("w1"), *[F.lead("word", k).over(w).alias(f"w{k + 1}") for k in (1, 2, 3)])
+    c4 = rows.where("w4 is not null").groupBy("w1", "w2", "w3", "w4").agg(F.count(F.lit(1)).alias("c"))
+    c3 = rows.where("w3 is not null").groupBy("w1", "w2", "w3").agg(F.count(F.lit(1)).alias("m"))
+    four = c4.where("c >= 2").join(c3, ["w1", "w2", "w3"]).select("w1", "w2", "w3", "w4", F.log10(F.col("c") / F.col("m")).alias("p"))
+    back = c3.where("m >= 2").select("w1", "w2", "w3", F.lit(-0.4).alias("bo"))
+    return ng.fourgram(c4.drop("c"), model(spark, d), four, back).select("w1", "w2", "w3", "w4", F.round("p", 6).alias("p"))
+
+
+@query("lm5_history_state", v.with_views("SELECT w1, w2, w3, CASE WHEN p3 IS NOT NULL THEN 3 WHEN p2 IS NOT NULL THEN 2 WHEN p1 IS NOT NULL THEN 1 ELSE 0 END AS order, CASE WHEN p2 IS NOT NULL THEN w2 END AS h1, CASE WHEN p1 IS NOT NULL THEN w3 END AS h2 FROM q3".replace(" AS order,", ' AS "order",'), "words", **LM))
+def _(spark, d):
+    return ng.trigram(triples(spark, d), model(spark, d)).select("w1", "w2", "w3", "order", "h1", "h2")
+
+
+TOP = "SELECT w1, w2 FROM c2 ORDER BY c DESC, w1, w2 LIMIT 2"
+
+
+@query("lm6_next_word_distribution", v.with_views(
+    "SELECT h.w1, h.w2, u.w1 AS w3, round(coalesce(t.p, coalesce(b2.bo, 0) + coalesce(b.p, coalesce(u2.bo, 0) + u.p)), 6) + 0.0 AS p FROM h CROSS JOIN u LEFT JOIN t ON t.w1 = h.w1 AND t.w2 = h.w2 AND t.w3 = u.w1 LEFT JOIN b b2 ON b2.w1 = h.w1 AND b2.w2 = h.w2 LEFT JOIN b ON b.w1 = h.w2 AND b.w2 = u.w1 LEFT JOIN u u2 ON u2.w1 = h.w2",
+    "words", **LM, h=TOP))
+def _(spark, d):
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    pairs = v.words(spark, d).select(F.col("word").alias("w1"), F.lead("word").over(w).alias("w2")).where("w2 is not null")
+    top = pairs.groupBy("w1", "w2").count().orderBy(F.desc("count"), "w1", "w2").limit(2).select("w1", "w2")
+    return ng.next_words(top, model(spark, d)).withColumn("p", F.round("p", 6))
+
+
+@query("lm7_hash_lookup", v.with_views("SELECT w1, w2, b.p IS NOT NULL AS found FROM (SELECT w2 AS w1, w1 AS w2 FROM c2) k LEFT JOIN b USING (w1, w2)", "words", **LM))
+def _(spark, d):
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    keys = v.words(spark, d).select(F.lead("word").over(w).alias("w1"), F.col("word").alias("w2")).where("w1 is not null").distinct()
+    return keys.join(model(spark, d).bi.select("w1", "w2", F.lit(True).alias("found")).hint("shuffle_hash"), ["w1", "w2"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+@query("lm8_consistency", v.with_views("SELECT 2 AS n, w1, w2, NULL::VARCHAR AS w3 FROM b WHERE w1 NOT IN (SELECT w1 FROM u) UNION SELECT 3, w1, w2, w3 FROM t ANTI JOIN b USING (w1, w2)", "words", **LM))
+def _(spark, d):
+    return ng.inconsistent(model(spark, d))
+
+
+@query("lm10_combined_score", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(CASE WHEN l_returnflag = 'R' THEN -l_quantity - 3 ELSE -l_quantity - 27.5 * l_tax - 1.5 END, 6) + 0.0 AS score FROM lineitem")
+def _(spark, d):
+    s = ng.combined_score(-F.col("l_quantity"), -F.col("l_tax"), F.col("l_returnflag") == "R", penalty=1.5, silence_penalty=3.0)
+    return v.table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long"), F.round(s, 6).alias("score"))
+
+
+LEX = {"lex": "SELECT word, string_split_regex(word, '') AS ph FROM (SELECT DISTINCT word FROM words)"}
+
+
+def lexicon(spark, d):
+    """The words as sequences of their letters."""
+    w = v.words(spark, d).select("word").distinct()
+    return w.select(F.col("word").alias("word_id"), F.array_remove(F.split("word", ""), "").alias("phones"))
+
+
+PRE = {"pre": "SELECT word, n, left(word, n::INT) AS prefix, CASE WHEN n < len(word) THEN word[n + 1] END AS nxt FROM (SELECT word, unnest(range(1, len(word) + 1)) AS n FROM (SELECT DISTINCT word FROM words))"}
+
+
+@query("dec1_trie_nodes", v.with_views("SELECT n::BIGINT AS depth, count(*) AS nodes, sum(words)::BIGINT AS words FROM (SELECT n, prefix, nxt, count(*) FILTER (n = len(word)) AS words FROM pre GROUP BY 1, 2, 3) GROUP BY n", "words", **PRE))
+def _(spark, d):
+    nodes = se.build_trie(lexicon(spark, d)).groupBy("node", "depth").agg(F.count("word_id").alias("words"))
+    return nodes.groupBy(F.col("depth").cast("long")).agg(F.count(F.lit(1)).alias("nodes"), F.sum("words").alias("words"))
+
+
+@query("lm11_look_ahead", v.with_views("SELECT prefix, round(max(p), 6) + 0.0 AS bound FROM pre JOIN u ON word = w1 GROUP BY prefix", "words", **LM, **PRE))
+def _(spark, d):
+    p = model(spark, d).uni.select(F.col("w1").alias("word_id"), "p")
+    return se.look_ahead(lexicon(spark, d), p).select(F.regexp_replace("prefix", " ", "").alias("prefix"), F.round("bound", 6).alias("bound"))
+
+
+@query("lm12_estimate", v.with_views("SELECT 1 AS n, count(*) AS rows, round(sum(p), 3) + 0.0 AS total FROM u UNION ALL SELECT 2, count(*), round(sum(p), 3) + 0.0 FROM b UNION ALL SELECT 3, count(*), round(sum(p), 3) + 0.0 FROM t", "words", **LM))
+def _(spark, d):
+    m = model(spark, d)
+    rows = [t.agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("p"), 3).alias("total")).withColumn("n", F.lit(k)) for k, t in ((1, m.uni), (2, m.bi), (3, m.tri))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
