@@ -145,8 +145,9 @@ def _(spark, d):
 @query("dec13_arc_posteriors", v.with_views("SELECT utt, 1::DOUBLE AS total FROM full_paths GROUP BY utt", **ARC).replace("WITH", "WITH RECURSIVE", 1))
 def _(spark, d):
     # Over all arcs that pass any cut of the lattice the shares sum to one; the cut before the last node is the check.
-    arcs, _, last = lattice(spark, d)
-    post = se.arc_posteriors(arcs)
+    arcs, first, last = lattice(spark, d)
+    whole = se.count_paths(arcs, first, last, depth=7).select("utt")
+    post = se.arc_posteriors(arcs.join(whole, "utt", "left_semi"))
     return post.join(last.select("utt", F.col("node").alias("dst")), ["utt", "dst"]).groupBy("utt").agg(F.round(F.sum("posterior"), 4).alias("total")).where("total > 0")
 
 

@@ -1,5 +1,239 @@
-"""Queries."""
+"""Queries of sound features, decoding, training loops and streams."""
 
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..operators import clustering as cl
+from ..operators import gaussians as g
+from ..operators import hmm
+from ..operators import intervals as iv
+from ..operators import signal as sg
+from ..sources import stores
+from ..streaming import online as on
+from . import views as v
+from .gaussian_queries import OWN, label_models
 from .registry import Registry
 
 REGISTRY = Registry()
+query = REGISTRY.query
+PCM = "SELECT doc_id AS stream_id, unnest(range(0, 1312)) AS i, ((i * i * (doc_id % 13 + 7) + i * 31 + doc_id) % 2001) - 1000 AS x FROM (SELECT doc_id, unnest(range(0, 1312)) AS i FROM documents)"
+SAMPLES = {"s": "SELECT doc_id AS stream_id, i, ((i * i * (doc_id % 13 + 7) + i * 31 + doc_id) % 2001) - 1000 AS x FROM (SELECT doc_id, unnest(range(0, 1312)) AS i FROM documents)",
+           "win": "SELECT stream_id, t, i - t * 160 AS k, x - avg(x) OVER (PARTITION BY stream_id, t) AS y FROM s, (SELECT unnest(range(0, 6)) AS t) WHERE i BETWEEN t * 160 AND t * 160 + 511"}
+
+
+def pcm(spark, d):
+    """A short made-up sound for each document."""
+    i = F.col("doc_id")
+    return v.table(spark, d, "documents").select(F.col("doc_id").alias("stream_id"), F.transform(
+        F.expr("sequence(0L, 1311L)"), lambda k: ((k * k * (i % 13 + 7) + k * 31 + i) % 2001 - 1000).cast("int")).alias("pcm"))
+
+
+@query("src1_windows", v.with_views("SELECT stream_id, t, count(*) AS n, sum(x)::BIGINT AS total FROM s, (SELECT unnest(range(0, 6)) AS t) WHERE i BETWEEN t * 160 AND t * 160 + 511 GROUP BY 1, 2", **{"s": SAMPLES["s"]}))
+def _(spark, d):
+    w = sg.windows(pcm(spark, d))
+    return w.select("stream_id", "t", F.size("samples").cast("long").alias("n"), F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("sig4_sig5_energy_and_crossings", v.with_views("""SELECT a.stream_id, a.t, round(log10(1 + sum(pow((0.54 - 0.46 * cos(2 * pi() * a.k / 511)) * (a.y - 0.97 * coalesce(b.y, 0)), 2))), 5) AS energy, count(*) FILTER (b.y < 0 AND a.y >= 0) AS crossings
+FROM win a LEFT JOIN win b ON a.stream_id = b.stream_id AND a.t = b.t AND b.k = a.k - 1 GROUP BY 1, 2""", **SAMPLES))
+def _(spark, d):
+    f = sg.extract(pcm(spark, d), sg.FeatureOptions(zero_crossings=True))
+    return f.select("stream_id", "t", F.round(F.col("vec")[12], 5).alias("energy"), F.col("vec")[13].cast("long").alias("crossings"))
+
+
+@query("sig11_cepstra")
+def _(spark, d):
+    f = sg.extract(pcm(spark, d))
+    return f.select("stream_id", "t", F.posexplode("vec").alias("d", "x")).select("stream_id", "t", "d", F.round("x", 5).alias("x"))
+
+
+@query("sig13_warped_mel")
+def _(spark, d):
+    f = sg.extract(pcm(spark, d), sg.FeatureOptions(warp=sg.warp_factor(8), only_mel=True))
+    return f.select("stream_id", "t", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("sig15_deltas", v.with_views("""SELECT t, d, round(coalesce(y, first_value(y IGNORE NULLS) OVER (PARTITION BY d ORDER BY t ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), last_value(y IGNORE NULLS) OVER (PARTITION BY d ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)), 6) + 0.0 AS y
+FROM (SELECT t, d, ((lead(x, 1) OVER w - lag(x, 1) OVER w) + 2 * (lead(x, 2) OVER w - lag(x, 2) OVER w)) / 5 AS y FROM dims WINDOW w AS (PARTITION BY d ORDER BY t))""", "dims"))
+def _(spark, d):
+    f = sg.deltas(v.frames(spark, d).select(F.lit(0).alias("stream_id"), "t", "vec"))
+    return f.select("t", F.posexplode(F.slice("vec", 65, 64)).alias("d", "y")).select("t", F.col("d").cast("long"), F.round("y", 6).alias("y"))
+
+
+@query("sig15_delta_deltas")
+def _(spark, d):
+    f = sg.deltas(sg.deltas(v.frames(spark, d).select(F.lit(0).alias("stream_id"), "t", "vec")), 64)
+    return f.select("t", F.round(F.aggregate(F.slice("vec", 129, 64), F.lit(0.0), lambda a, x: a + x * x), 5).alias("power"))
+
+
+def _scores(spark, d):
+    s = g.mixture_scores(v.frames(spark, d).select("t", "vec"), label_models(spark, d), ["t"])
+    return s.select(F.lit("0").alias("stream_id"), "t", F.col("model_id").alias("label"), "logp")
+
+
+@query("dec9_segment_decode")
+def _(spark, d):
+    return hmm.decode_segments(_scores(spark, d), 3, -5.0)
+
+
+@query("dec6_forced_alignment")
+def _(spark, d):
+    s = _scores(spark, d).select(F.format_string("u%d", F.floor(F.col("t") / 25)).alias("utt"), "t", F.concat(F.lit("p"), F.floor(F.col("label") / 3)).alias("phone"), (F.col("label") % 3).alias("state"), "logp").where("phone <> 'p3'")
+    words = s.select("utt").distinct().withColumn("phones", F.array(F.lit("p0"), F.lit("p2"), F.lit("p1")))
+    return hmm.forced_alignment(s, words).withColumn("ll", F.round("ll", 4))
+
+
+def _states(spark, d):
+    return _scores(spark, d).where("label < 4").select(F.format_string("u%d", F.floor(F.col("t") / 25)).alias("utt"), "t", F.col("label").alias("state"), "logp")
+
+
+ERGODIC, FLAT = np.log(np.full((4, 4), 0.1) + np.eye(4) * 0.6), np.log(np.full(4, 0.25))
+
+
+@query("pdf16_baum_welch_shares", v.with_views("SELECT t, 1::DOUBLE AS total FROM frames", "frames"))
+def _(spark, d):
+    return hmm.state_shares(_states(spark, d), ERGODIC, FLAT).groupBy("t").agg(F.round(F.sum("gamma"), 6).alias("total"))
+
+
+@query("pdf17_viterbi_shares", v.with_views("SELECT t, 1::DOUBLE AS total FROM frames", "frames"))
+def _(spark, d):
+    return hmm.state_shares(_states(spark, d), ERGODIC, FLAT, best_path=True).groupBy("t").agg(F.sum("gamma").alias("total"))
+
+
+@query("dec21_adapt_statistics")
+def _(spark, d):
+    s = _scores(spark, d).select(F.lit("u").alias("utt"), "t", F.concat(F.lit("p"), F.floor(F.col("label") / 3)).alias("phone"), (F.col("label") % 3).alias("state"), "logp").where("phone <> 'p3'")
+    words = spark.createDataFrame([("u", ["p0", "p1", "p2"])], "utt string, phones array<string>")
+    frames = v.frames(spark, d).select(F.lit("u").alias("utt"), "t", "vec")
+    out = hmm.adapt_statistics(hmm.forced_alignment(s, words), frames)
+    return out.select("phone", "state", "d", "n", F.round("sx", 5).alias("sx"), F.round("sxx", 5).alias("sxx"))
+
+
+@query("pdf15_mllr_adaptation")
+def _(spark, d):
+    acc = g.as_vectors(g.fit(v.frames(spark, d).where("t % 2 = 0"), ["label"]), ["label"], ("w", "sx"))
+    base = label_models(spark, d).select(F.col("model_id").alias("comp_id"), F.col("model_id").alias("label"), "mean", "var")
+    stats = base.join(acc.select("label", F.col("w")[0].alias("w"), "sx"), "label").withColumn("node", F.col("label") % 2 + 1).drop("label")
+    out = hmm.adapt_tree(stats, {0: None, 1: 0, 2: 0})
+    return out.select("comp_id", "node", F.posexplode("mean").alias("d", "m")).select("comp_id", "node", "d", F.round("m", 4).alias("mean"))
+
+
+@query("pdf12_context_tree")
+def _(spark, d):
+    f = v.frames(spark, d).withColumn("left", F.col("label")).withColumn("right", (F.col("label") * 7 + F.col("t") % 2) % 10)
+    stats = stores.materialised(g.accumulate(f, ["left", "right"]))
+    leaves = cl.context_tree(stats, {"low": [0, 1, 2, 3, 4], "even": [0, 2, 4, 6, 8], "third": [0, 3, 6, 9]}, min_count=50.0)
+    return spark.createDataFrame([(" ".join(f"{s}:{n}:{int(y)}" for s, n, y in x["path"]), float(x["frames"]), round(x["ll"], 3)) for x in leaves], "path string, frames double, ll double")
+
+
+@query("pdf13_train_mixture")
+def _(spark, d):
+    m = cl.train_mixture(v.frames(spark, d), ["t"], 4, steps=2)
+    return m.select("comp_id", F.round("weight", 4).alias("weight"))
+
+
+@query("trn1_training_set", v.with_views("SELECT label, count(*) AS n, max(last - first + 1) AS longest FROM runs WHERE last - first + 1 BETWEEN 2 AND 100 GROUP BY label", "runs"))
+def _(spark, d):
+    path = stores.scratch(spark, "training")
+    v.runs(spark, d).where(iv.length().between(2, 100)).write.partitionBy("label").parquet(path)
+    return spark.read.parquet(path).groupBy(F.col("label").cast("long")).agg(F.count(F.lit(1)).alias("n"), F.max(iv.length()).alias("longest"))
+
+
+@query("trn3_average_energy", v.with_views("SELECT (round(avg(x), 6) + 0.0) AS mean, count(*) AS frames FROM dims WHERE d = 0", "dims"))
+def _(spark, d):
+    return v.dims(spark, d).where("d = 0").agg(F.round(F.avg("x"), 6).alias("mean"), F.count(F.lit(1)).alias("frames"))
+
+
+@query("dia1_initial_clusters", v.with_views("SELECT label, least(greatest(floor(0.5 + count(*) / 20.0)::BIGINT + 1, 3), 9) AS clusters FROM frames GROUP BY label", "frames"))
+def _(spark, d):
+    n = F.floor(F.lit(0.5) + F.count(F.lit(1)) / 20.0) + 1
+    return v.frames(spark, d).groupBy("label").agg(F.least(F.greatest(n, F.lit(3)), F.lit(9)).alias("clusters"))
+
+
+GAIN = {"own": "SELECT label, d, count(*)::DOUBLE AS w, sum(x) AS sx, sum(x * x) AS sxx FROM dims GROUP BY 1, 2", "lv": "SELECT *, w * ln(greatest(sxx / w - pow(sx / w, 2), 0.01)) AS lv FROM own"}
+
+
+@query("dia3_merge_gains", v.with_views("SELECT a, b, (round(sum(gain), 4) + 0.0) AS gain FROM (SELECT a.label AS a, b.label AS b, (a.lv + b.lv - (a.w + b.w) * ln(greatest((a.sxx + b.sxx) / (a.w + b.w) - pow((a.sx + b.sx) / (a.w + b.w), 2), 0.01))) / 2 AS gain FROM lv a JOIN lv b ON a.d = b.d AND a.label < b.label) GROUP BY a, b", "dims", **GAIN))
+def _(spark, d):
+    return cl.pair_gains(g.accumulate(v.frames(spark, d), ["label"])).withColumn("gain", F.round("gain", 4))
+
+
+@query("join8_cluster_pairs", v.with_views("SELECT a.label AS a, b.label AS b FROM (SELECT DISTINCT label FROM frames) a JOIN (SELECT DISTINCT label FROM frames) b ON a.label < b.label", "frames"))
+def _(spark, d):
+    return cl.pair_gains(g.accumulate(v.frames(spark, d), ["label"])).select("a", "b")
+
+
+@query("join7_models_by_frames", v.with_views("SELECT label, model_id, count(*) AS n FROM own GROUP BY 1, 2", "gmm", **OWN))
+def _(spark, d):
+    return g.component_scores(v.frames(spark, d), label_models(spark, d)).groupBy("label", "model_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("dia4_cluster_merging")
+def _(spark, d):
+    out, _ = cl.cluster(v.frames(spark, d), penalty=600.0, least=4)
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("frames"))
+
+
+@query("dia2_align_and_train")
+def _(spark, d):
+    f = v.frames(spark, d).select(F.lit("0").alias("stream_id"), "t", "vec", (F.col("label") % 3).alias("label"))
+    return cl.align_and_train(f.drop("label"), f.select("stream_id", "t", "label"), rounds=1)
+
+
+@query("sad1_detect_speech")
+def _(spark, d):
+    return cl.detect_speech(v.frames(spark, d).select(F.lit("0").alias("stream_id"), "t", "vec"), rounds=1)
+
+
+@query("sad2_energy_speech", v.with_views("""SELECT stream_id, min(t) AS first, max(t) AS last, label FROM (SELECT stream_id, t, label, t - row_number() OVER (PARTITION BY stream_id, label ORDER BY t) AS g FROM (SELECT stream_id, t, CASE WHEN energy > th THEN 2 ELSE 1 END AS label FROM energy JOIN
+(SELECT stream_id, avg(energy) - 0.5 * stddev_pop(energy) AS th FROM energy JOIN (SELECT stream_id, avg(energy) AS m FROM energy GROUP BY 1) USING (stream_id) WHERE energy > m GROUP BY 1) USING (stream_id))) GROUP BY stream_id, label, g""", "energy"))
+def _(spark, d):
+    return cl.energy_speech(v.energy(spark, d), 0.5)
+
+
+def _events(spark, d):
+    return v.table(spark, d, "events").where("user_id is not null and ts is not null").select(F.col("user_id").alias("stream_id"), "ts", "value", "event_id")
+
+
+def _stream_of(spark, rows, name):
+    """A table as a stream of files."""
+    path = stores.scratch(spark, name)
+    rows.write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+def _run(stream, mode="append"):
+    spark = stream.sparkSession
+    return on.run_available(stream, stores.scratch(spark, "stream-out"), stores.scratch(spark, "stream-state"), mode)
+
+
+def _energy_stream(spark, d):
+    return v.energy(spark, d).select("stream_id", "t", (F.col("energy") - 20.0).alias("energy"))
+
+
+@query("str_online_segments")
+def _(spark, d):
+    return _run(on.online_segments(_stream_of(spark, _energy_stream(spark, d), "energy"), 3)).select("stream_id", "first", "last", "frames", F.round("mean", 5).alias("mean"))
+
+
+@query("str_batch_segments")
+def _(spark, d):
+    return on.batch_segments(_energy_stream(spark, d), 3).select("stream_id", "first", "last", "frames", F.round("mean", 5).alias("mean"))
+
+
+@query("str_session_windows", "SELECT stream_id, min(ts) AS begin, max(ts) + INTERVAL 2 HOUR AS end, count(*) AS frames, (round(avg(value) + 1e-9, 5) + 0.0) AS mean FROM (SELECT *, sum(new) OVER (PARTITION BY stream_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id AS stream_id, ts, value, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)) GROUP BY stream_id, s".replace("AS end", 'AS "end"').replace("AS begin", 'AS "begin"'))
+def _(spark, d):
+    return on.session_segments(_events(spark, d), "2 hours").withColumn("mean", F.round(F.col("mean") + 1e-9, 5))
+
+
+@query("str_tumbling_windows", 'SELECT user_id AS stream_id, time_bucket(INTERVAL 1 DAY, ts) AS "begin", count(*) AS frames, (round(avg(value) + 1e-9, 5) + 0.0) AS mean FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2')
+def _(spark, d):
+    return on.tumbling_means(_events(spark, d), "1 day").withColumn("mean", F.round(F.col("mean") + 1e-9, 5))
+
+
+@query("str_watermarked_stream")
+def _(spark, d):
+    rows = _events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    return _run(on.tumbling_means(_stream_of(spark, rows, "events"), "1 day", late="1 day")).withColumn("mean", F.round(F.col("mean") + 1e-9, 5))
