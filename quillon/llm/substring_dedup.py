@@ -185,6 +185,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     release(spark)
     wins = pending.select("doc_id", "h", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select("doc_id", "h", F.col("w.starts").alias("s"), F.col("w.hashes").alias("hash"))
     first = wins.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first")
+    # Written, so that the join deals both sides itself and can split a hot window.
+    first = written(first, "first-windows")
     gone = wins.join(first.hint("shuffle_hash"), "hash").where("first < doc_id")
     gone = written(gone.groupBy("doc_id", "h").agg(F.collect_set("s").alias("gone")), "removed-windows")
     release(spark)
