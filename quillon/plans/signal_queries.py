@@ -102,6 +102,18 @@ def _(spark, d):
     return hmm.state_shares(_states(spark, d), ERGODIC, FLAT, best_path=True).groupBy("t").agg(F.sum("gamma").alias("total"))
 
 
+LEXICON = [("ab", ("p0", "p1")), ("a", ("p0",)), ("cb", ("p2", "p1")), ("c", ("p2",)), ("abc", ("p0", "p1", "p2"))]
+
+
+@query("dec3_token_passing")
+def _(spark, d):
+    from ..operators import recognise as rc
+
+    s = _scores(spark, d).select(F.format_string("u%d", F.floor(F.col("t") / 25)).alias("utt"), "t", F.concat(F.lit("p"), F.floor(F.col("label") / 3)).alias("phone"), (F.col("label") % 3).alias("state"), "logp").where("phone <> 'p3'")
+    lm = rc.Bigram({w: (-0.5 - 0.1 * i, -0.3) for i, (w, _) in enumerate(LEXICON)}, {("ab", "c"): -0.2, ("a", "cb"): -0.3})
+    return rc.recognise(s, LEXICON, lm).select("utt", "ord", "word", "first", "last", F.round("am", 4).alias("am"), F.round("lm", 4).alias("lm"))
+
+
 @query("dec21_adapt_statistics")
 def _(spark, d):
     s = _scores(spark, d).select(F.lit("u").alias("utt"), "t", F.concat(F.lit("p"), F.floor(F.col("label") / 3)).alias("phone"), (F.col("label") % 3).alias("state"), "logp").where("phone <> 'p3'")

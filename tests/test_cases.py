@@ -305,3 +305,39 @@ def test_options(tmp_path, monkeypatch):
     assert (o.beam, o.lm_scale, o.state_beam, o.compat) == (100.0, 25.0, 10.0, True)
     with pytest.raises(KeyError):
         config.load(["--nothing", "1"])
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_recognition_by_brute_force(seed):
+    import itertools
+
+    from quillon.operators.recognise import Bigram, Lexicon, Search, decode
+
+    r = np.random.default_rng(seed)
+    lex = [("ab", ("a", "b")), ("a", ("a",)), ("ba", ("b", "a")), ("aa", ("a", "a"))]
+    lm = Bigram({w: (-0.3 * (i + 1), -0.2) for i, (w, _) in enumerate(lex)}, {("ab", "a"): -0.1, ("a", "ba"): -0.2})
+    o = Search(states=1, lm_scale=2.0, word_penalty=0.1, beam=1e9, state_beam=1e9, end_beam=1e9)
+    obs = {(t, p): float(r.normal() * 3) for t in range(6) for p in "ab"}
+    words = decode(lambda t, p, s: obs[t, p], 6, Lexicon(lex), lm, o)
+
+    def score(ws):
+        chain = [p for w in ws for p in dict(lex)[w]]
+        if len(chain) > 6:
+            return -np.inf
+        ends = np.cumsum([len(dict(lex)[w]) for w in ws])
+        text = sum(2.0 * lm(b, w) - 0.1 for b, w in itertools.pairwise(["<s>", *ws]))
+        best = -np.inf
+        for cuts in itertools.combinations(range(1, 6), len(chain) - 1):
+            edges = [0, *cuts, 6]
+            total = text + len(ws) * o.log_next
+            for k, p in enumerate(chain):
+                total += sum(obs[t, p] for t in range(edges[k], edges[k + 1])) + (edges[k + 1] - edges[k] - 1) * o.log_self
+                total += o.log_next * (k > 0 and k not in ends)
+            best = max(best, total)
+        return best
+
+    every = [ws for n in range(1, 7) for ws in itertools.product(dict(lex), repeat=n)]
+    want = max(every, key=score)
+    assert [w for w, *_ in words] == list(want)
+    assert sum(am + lms for *_, am, lms in words) == pytest.approx(score(want))
+    assert [b + 1 for _, _, b, _, _ in words[:-1]] == [a for _, a, _, _, _ in words[1:]]
