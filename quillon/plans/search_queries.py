@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import search as se
+from ..operators.numbering import dense_index
 from . import views as v
 from .registry import Registry
 
@@ -71,7 +72,7 @@ def _(spark, d):
 @query("sort1_word_ids", v.with_views("SELECT word, row_number() OVER (ORDER BY n DESC, word) AS word_id FROM (SELECT word, count(*) AS n FROM words GROUP BY word HAVING count(*) >= 5)", "words"))
 def _(spark, d):
     w = v.words(spark, d).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
-    return w.select("word", F.row_number().over(Window.orderBy(F.desc("n"), "word")).alias("word_id"))
+    return dense_index(w, [F.desc("n"), F.col("word")], "word_id").select("word", (F.col("word_id") + 1).alias("word_id"))
 
 
 LINKS = {"links": "SELECT o_custkey AS utt, o_orderkey AS path_id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev_id FROM orders"}

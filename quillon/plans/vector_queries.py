@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vec
+from ..operators.numbering import dense_index
 from . import views as v
 from .registry import Registry
 
@@ -83,11 +84,8 @@ VOCAB = {"vocab": "SELECT word, row_number() OVER (ORDER BY word) - 1 AS word_id
 
 def vocabulary(spark, d):
     """Words that occur at least 5 times, numbered from 0 in their order."""
-    from pyspark.sql import Window
-
     w = v.words(spark, d).groupBy("word").count().where("count >= 5")
-    # Numbers come from a range sort: each part is numbered by itself after a count of what stands before.
-    return w.select("word", (F.row_number().over(Window.orderBy("word")) - 1).cast("long").alias("word_id"))
+    return dense_index(w.select("word"), [F.col("word")], "word_id")
 
 
 @query("str4_encode_words", v.with_views("SELECT doc_id, sum(coalesce(word_id, -1))::BIGINT AS id_sum, count(*) FILTER (word_id IS NULL) AS unknown FROM words LEFT JOIN vocab USING (word) GROUP BY doc_id", "words", **VOCAB))
