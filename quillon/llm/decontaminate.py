@@ -102,7 +102,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """The documents without a hit, with all their columns."""
-    dirty = written(hits(docs, benchmark, id_col=id_col, text_col=text_col, size=size).where("contaminated")
-                    .select(F.col("doc_id").alias("dirty_id"), F.col("h").alias("dirty_h")).distinct(), "contaminated")
-    match = docs[id_col].eqNullSafe(F.col("dirty_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("dirty_h"))
+    # Written before it is filtered: a filter pushed into the plan would compute the comparison again for each row.
+    marked = written(hits(docs, benchmark, id_col=id_col, text_col=text_col, size=size).select("doc_id", "h", "contaminated"), "marked")
+    dirty = marked.where("contaminated").select(F.col("doc_id").alias("_q_dirty_id"), F.col("h").alias("_q_dirty_h")).distinct()
+    match = docs[id_col].eqNullSafe(F.col("_q_dirty_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_q_dirty_h"))
     return docs.join(dirty, match, "left_anti")

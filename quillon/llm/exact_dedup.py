@@ -128,14 +128,18 @@ def _by_text(texts: DataFrame, staged: DataFrame, split: DataFrame, digest: Call
     return rows.join(groups, ["digest", "sha"]).select("digest", "doc_id", "row", "sha", "keep_id", "keep_row", "n")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The documents that stay, with all their columns.
+
+    Up to ``broadcast_rows`` rows to drop, of an id and 32 bytes each, are sent to all tasks; with more, texts are dealt out for the join.
+    """
     plan = written(decide(docs, id_col=id_col, text_col=text_col).where("group_size > 1")
-                   .select(F.col("doc_id").alias("lost_id"), F.unhex("text_sha256").alias("lost_sha"), "keep_id", "kept"), "dedup-plan")
-    lost = plan.where(~F.col("kept") & ~F.col("lost_id").eqNullSafe(F.col("keep_id"))).select("lost_id", "lost_sha")
-    same = plan.where(~F.col("kept") & F.col("lost_id").eqNullSafe(F.col("keep_id"))).select("lost_id", "lost_sha").distinct()
+                   .select(F.col("doc_id").alias("_q_lost_id"), F.unhex("text_sha256").alias("_q_lost_sha"), "keep_id", "kept"), "dedup-plan")
+    lost = plan.where(~F.col("kept") & ~F.col("_q_lost_id").eqNullSafe(F.col("keep_id"))).select("_q_lost_id", "_q_lost_sha")
+    same = plan.where(~F.col("kept") & F.col("_q_lost_id").eqNullSafe(F.col("keep_id"))).select("_q_lost_id", "_q_lost_sha").distinct()
+    lost = F.broadcast(lost) if lost.count() <= broadcast_rows else lost
     sha = F.unhex(F.sha2(F.encode(fold_ascii(F.col(text_col).cast("string")), "utf-8"), 256))
-    match = docs[id_col].eqNullSafe(F.col("lost_id")) & (sha == F.col("lost_sha"))
+    match = docs[id_col].eqNullSafe(F.col("_q_lost_id")) & (sha == F.col("_q_lost_sha"))
     kept = docs.join(lost, match, "left_anti")
     if same.isEmpty():
         return kept
