@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: ASCII letters, the only ones the text contracts fold.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -56,6 +57,9 @@ def fold_ascii(text: Column) -> Column:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the folder. Batches to Python are kept small, as texts are long; a limit that the session has set itself stays."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "3000")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import held_out
+from .workers import claim
 
 SEGMENT = 32
 #: Every ASCII byte that is no letter becomes a blank.
@@ -246,6 +247,7 @@ def predict(docs: DataFrame, net: ByteGru | None, *, id_col: str = "doc_id", tex
     schema = T.StructType([src.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("labeller", _LABELLERS.clear)
         if id(blob) not in _LABELLERS:
             _LABELLERS.clear()
             _LABELLERS[id(blob)] = (blob, Labeller(pickle.loads(blob.value)))

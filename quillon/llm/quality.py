@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import held_out
+from .workers import claim
 
 
 @dataclass
@@ -157,6 +158,7 @@ _SCORERS: dict[bytes, Scorer] = {}
 
 def _scorer(blob: bytes) -> Scorer:
     """One scorer for each worker process and model."""
+    claim("scorer", _SCORERS.clear)
     if blob not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[blob] = Scorer(pickle.loads(blob))

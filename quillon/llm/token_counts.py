@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .workers import claim
+
 MARK = "▁"
 
 
@@ -101,6 +103,7 @@ _TRIES: dict[str, CountingTrie] = {}
 
 
 def _trie(path: str) -> CountingTrie:
+    claim("trie", _TRIES.clear)
     if path not in _TRIES:
         _TRIES[path] = CountingTrie(zipf_vocabulary(path))
     return _TRIES[path]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 from array import array
 
+from .workers import claim
+
 
 class ChunkEncoder:
     """Encodes a text blank-separated chunk by chunk and remembers the ids of short chunks.
@@ -19,7 +21,7 @@ class ChunkEncoder:
     ``max_chars`` are never remembered.
     """
 
-    def __init__(self, path: str, max_entries: int = 600_000, max_chars: int = 40):
+    def __init__(self, path: str, max_entries: int = 450_000, max_chars: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -87,6 +89,7 @@ _ENCODERS: dict[str, ChunkEncoder] = {}
 
 def encoder(path: str) -> ChunkEncoder:
     """One encoder for each worker process and file."""
+    claim("encoder", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
     return _ENCODERS[path]
