@@ -5,9 +5,10 @@ Every round is a plan over all frames whose small result (models, pair scores) i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import stores
 from ..sources.stores import materialised
 from . import gaussians as g
 from . import hmm
@@ -34,9 +35,29 @@ def train_mixture(frames: DataFrame, keys: list[str], components: int, steps: in
     return models
 
 
-def pair_gains(stats: DataFrame) -> DataFrame:
+def cluster_models(frames: DataFrame) -> DataFrame:
+    """DIA-6: what is kept of each cluster of (label, vec): ``cluster, frames, weight, mean, var``, one Gaussian each."""
+    stats = g.as_vectors(g.fit(frames, ["label"]), ["label"], ("mean", "var", "n"))
+    total = frames.agg(F.count(F.lit(1)).alias("total"))
+    return stats.crossJoin(F.broadcast(total)).select(F.col("label").alias("cluster"), F.col("n")[0].alias("frames"), (F.col("n")[0] / F.col("total")).alias("weight"), "mean", "var")
+
+
+def save_clusters(frames: DataFrame, path: str) -> None:
+    """DIA-6: writes the clusters' models as a store."""
+    stores.write(cluster_models(frames), path, "clusters")
+
+
+def load_clusters(spark: SparkSession, path: str) -> DataFrame:
+    """DIA-6: a store's clusters as models for scoring, and their frames: ``model_id, comp_id, weight, mean, var, frames``."""
+    rows = stores.read(spark, path, "clusters")
+    return rows.select(F.col("cluster").alias("model_id"), F.lit(0).cast("long").alias("comp_id"), F.lit(1.0).alias("weight"), "mean", "var", "frames")
+
+
+def pair_gains(stats: DataFrame, only: int | None = None) -> DataFrame:
     """DIA-3, JOIN-8: gain in log likelihood from merging each pair of clusters (a < b), each one Gaussian of the merged data.
 
+    With ``only``, the pairs of that cluster alone.
+
     ``stats`` has (label, d, n, w, sx, sxx). With one Gaussian a cluster's likelihood is a function of its variances alone:
     gain = sum over dimensions of (w_a ln var_a + w_b ln var_b - (w_a + w_b) ln var_ab) / 2.
     """
@@ -46,21 +67,31 @@ def pair_gains(stats: DataFrame) -> DataFrame:
     w = F.col("w_a") + F.col("w_b")
     both = F.greatest((F.col("sxx_a") + F.col("sxx_b")) / w - F.pow((F.col("sx_a") + F.col("sx_b")) / w, 2), F.lit(g.MIN_VAR))
     gain = (F.col("lv_a") + F.col("lv_b") - w * F.log(both)) / 2
-    return a.join(b, "d").where("a < b").groupBy("a", "b").agg(F.sum(gain).alias("gain"))
+    pairs = a.join(b, "d").where("a < b")
+    if only is not None:
+        one = (a.where(F.col("a") == only).join(b, "d"), a.join(b.where(F.col("b") == only), "d"))
+        pairs = one[0].unionByName(one[1]).where("a < b")
+    return pairs.groupBy("a", "b").agg(F.sum(gain).alias("gain"))
 
 
 def cluster(frames: DataFrame, penalty: float = 0.0, least: int = 1) -> tuple[DataFrame, list[tuple[int, int, float]]]:
     """DIA-4: merges the pair with the largest gain plus ``penalty`` while that is above 0 and more than ``least`` clusters are left.
 
-    ``frames`` has (label, vec). Accumulators are merged, not frames, so a round reads only one row for each cluster and dimension.
+    ``frames`` has (label, vec). Accumulators are merged, not frames, so a round reads only one row for each cluster and dimension,
+    and computes the gains of the merged cluster's pairs alone.
     """
     stats, merges = materialised(g.accumulate(frames, ["label"])), []
-    while stats.select("label").distinct().count() > least:
-        best = pair_gains(stats).orderBy(F.desc("gain"), "a", "b").first()
+    left = stats.select("label").distinct().count()
+    gains = materialised(pair_gains(stats), "gains")
+    while left > least:
+        best = gains.orderBy(F.desc("gain"), "a", "b").first()
         if best is None or best.gain + penalty <= 0:
             break
         merges.append((best.a, best.b, best.gain))
-        stats = materialised(g.merge_accumulators(["label"], stats.withColumn("label", F.when(F.col("label") == best.b, best.a).otherwise(F.col("label")))))
+        stats = materialised(g.merge_accumulators(["label"], stats.withColumn("label", F.when(F.col("label") == best.b, best.a).otherwise(F.col("label")))), "step", stats)
+        gone = F.col("a").isin(best.a, best.b) | F.col("b").isin(best.a, best.b)
+        gains = materialised(gains.where(~gone).unionByName(pair_gains(stats, best.a)), "gains", gains)
+        left -= 1
     relabelled = frames
     for a, b, _ in merges:
         relabelled = relabelled.withColumn("label", F.when(F.col("label") == b, a).otherwise(F.col("label")))

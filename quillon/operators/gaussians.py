@@ -2,7 +2,8 @@
 
 Accumulators are rows (keys, d, n, w, sx, sxx), one for each dimension, which Spark merges by sums; models are
 rows (model_id, comp_id, weight, mean, var) with array values. Models are small beside frames: scoring
-puts them into one broadcast row, up to ``MAX_COMPONENTS`` components, and larger sets are scored block by block.
+sends each model as one row to all tasks, in blocks of at most ``MAX_COMPONENTS`` components, and sums a model's
+components inside the row, so frames are not dealt out.
 """
 
 from __future__ import annotations
@@ -170,20 +171,45 @@ def transitions(labels: DataFrame, order: str = "t", start: int = 0, uni_start:
 # -- densities -----------------------------------------------------------------------------------------
 
 
-def with_models(frames: DataFrame, models: DataFrame) -> DataFrame:
-    """JOIN-7: each frame beside each component, from one broadcast row of at most MAX_COMPONENTS components."""
-    packed = models.agg(F.collect_list(F.struct(*models.columns)).alias("_m"))
-    return frames.crossJoin(F.broadcast(packed)).select(*frames.columns, F.explode("_m").alias("_c")).select(*frames.columns, "_c.*")
+def with_models(frames: DataFrame, models: DataFrame, most: int = MAX_COMPONENTS) -> DataFrame:
+    """JOIN-7: each frame beside each model, whose components stand in the array ``_comps`` in the order of comp_id.
+
+    Models go to all tasks, at most ``most`` components at a time (a single model with more is a block of its own);
+    with several blocks the frames are read once for each.
+    """
+    packed = models.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("comp_id", *[c for c in models.columns if c not in ("model_id", "comp_id")]))).alias("_comps"))
+    total = models.count()
+    if total <= most:
+        return frames.crossJoin(F.broadcast(packed))
+    sizes = {r.model_id: r.n for r in models.groupBy("model_id").agg(F.count(F.lit(1)).alias("n")).orderBy("model_id").toLocalIterator()}
+    blocks, room = [[]], most
+    for m, n in sizes.items():
+        if n > room and blocks[-1]:
+            blocks.append([])
+            room = most
+        blocks[-1].append(m)
+        room -= n
+    out = None
+    for b in blocks:
+        part = frames.crossJoin(F.broadcast(packed.where(F.col("model_id").isin(b))))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _constants(models: DataFrame) -> DataFrame:
+    """The part of a component's score that does not depend on frames is computed once."""
+    return models.withColumn("const", vec.log_constant(F.col("var")) + F.log("weight")).select("model_id", "comp_id", "mean", "var", "const")
 
 
-def component_scores(frames: DataFrame, models: DataFrame) -> DataFrame:
+def _scored(frames: DataFrame, models: DataFrame, most: int = MAX_COMPONENTS) -> DataFrame:
+    """The frames' columns, ``model_id`` and ``_lps``: (comp_id, lp) of each component."""
+    lps = F.transform("_comps", lambda c: F.struct(c["comp_id"].alias("comp_id"), vec.clamp_log(c["const"] + vec.mahalanobis(F.col("vec"), c["mean"], c["var"])).alias("lp")))
+    return with_models(frames, _constants(models), most).select(*frames.columns, "model_id", lps.alias("_lps"))
+
+
+def component_scores(frames: DataFrame, models: DataFrame, most: int = MAX_COMPONENTS) -> DataFrame:
     """PDF-1, PDF-2: log of weight times density of each component, as ``lp``."""
-    lp = F.log("weight") + vec.log_density(F.col("vec"), F.col("mean"), F.col("var"))
-    # The constant does not depend on frames, so it is computed once for each component.
-    const = models.withColumn("const", vec.log_constant(F.col("var")) + F.log("weight")).select("model_id", "comp_id", "mean", "var", "const")
-    rows = with_models(frames, const)
-    lp = vec.clamp_log(F.col("const") + vec.mahalanobis(F.col("vec"), F.col("mean"), F.col("var")))
-    return rows.select(*frames.columns, "model_id", "comp_id", lp.alias("lp"))
+    return _scored(frames, models, most).select(*frames.columns, "model_id", F.inline("_lps"))
 
 
 def log_sum(lps: Column, prune: float = PRUNE_NATS) -> Column:
@@ -193,21 +219,25 @@ def log_sum(lps: Column, prune: float = PRUNE_NATS) -> Column:
 
 
 def mixture_scores(frames: DataFrame, models: DataFrame, keys: list[str], prune: float = PRUNE_NATS) -> DataFrame:
-    """PDF-3, PDF-4: ``logp`` of each frame (named by ``keys``) under each model."""
-    lps = component_scores(frames, models).groupBy(*keys, "model_id").agg(F.collect_list("lp").alias("lps"))
-    return lps.select(*keys, "model_id", log_sum(F.col("lps"), prune).alias("logp"))
+    """PDF-3, PDF-4: ``logp`` of each frame (named by ``keys``, one row each) under each model; nothing is dealt out."""
+    return _scored(frames.select(*keys, "vec"), models).select(*keys, "model_id", log_sum(F.transform("_lps", lambda x: x["lp"]), prune).alias("logp"))
 
 
 def stream_scores(frames: DataFrame, models: DataFrame, keys: list[str], streams: list[tuple[int, int, float]]) -> DataFrame:
     """PDF-5: weighted sum of the scores of sub-vectors (start, size, weight); streams of weight 0 are left out."""
-    out = None
-    for lo, size, weight in streams:
-        if weight == 0:
-            continue
-        own = models.select("model_id", "comp_id", "weight", vec.part(F.col("mean"), lo, size).alias("mean"), vec.part(F.col("var"), lo, size).alias("var"))
-        one = mixture_scores(frames.withColumn("vec", vec.part(F.col("vec"), lo, size)), own, keys).withColumn("logp", F.col("logp") * weight)
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy(*keys, "model_id").agg(F.sum("logp").alias("logp"))
+    used = [s for s in streams if s[2] != 0]
+    part = lambda c, lo, size: vec.part(F.col(c), lo, size)
+    own = models.select("model_id", "comp_id", *[x for i, (lo, size, _) in enumerate(used) for x in (
+        part("mean", lo, size).alias(f"mean{i}"), part("var", lo, size).alias(f"var{i}"), (vec.log_constant(part("var", lo, size)) + F.log("weight")).alias(f"const{i}"))])
+    rows = with_models(frames.select(*keys, "vec"), own)
+    total = F.lit(0.0)
+
+    def scored(i: int, lo: int, size: int) -> Column:
+        return F.transform("_comps", lambda c: vec.clamp_log(c[f"const{i}"] + vec.mahalanobis(part("vec", lo, size), c[f"mean{i}"], c[f"var{i}"])))
+
+    for i, (lo, size, weight) in enumerate(used):
+        total = total + weight * log_sum(scored(i, lo, size))
+    return rows.select(*keys, "model_id", total.alias("logp"))
 
 
 def cosine(base: Column, a: Column, b: Column) -> Column:
@@ -227,14 +257,16 @@ def norm_distance(var: Column) -> Column:
 
 def posteriors(frames: DataFrame, models: DataFrame, keys: list[str], hard: bool = False, prune: float = PRUNE_NATS) -> DataFrame:
     """PDF-7, AGG-16: each frame's component shares ``gamma``; ``hard`` gives all to the best (the lowest component of equals)."""
-    rows = component_scores(frames, models)
-    w = Window.partitionBy(*keys, "model_id")
-    rows = rows.withColumn("best", F.max("lp").over(w))
-    if hard:
-        first = F.row_number().over(w.orderBy(F.desc("lp"), "comp_id"))
-        return rows.withColumn("gamma", F.when(first == 1, 1.0).otherwise(0.0)).drop("best")
-    p = F.when(F.col("lp") > F.col("best") - prune, F.exp(F.col("lp") - F.col("best"))).otherwise(0.0)
-    return rows.withColumn("p", p).withColumn("gamma", F.col("p") / F.sum("p").over(w)).drop("p", "best")
+    lp = F.transform("_lps", lambda x: x["lp"])
+    rows = _scored(frames, models).withColumn("_best", F.array_max(lp))
+    if hard:  # components stand in the order of their ids
+        shares = F.transform("_lps", lambda x, i: F.struct(x["comp_id"].alias("comp_id"), x["lp"].alias("lp"), F.when(i == F.col("_first"), 1.0).otherwise(0.0).alias("gamma")))
+        rows = rows.withColumn("_first", F.array_position(lp, F.col("_best")) - 1)
+    else:
+        mass = lambda x: F.when(x > F.col("_best") - prune, F.exp(x - F.col("_best"))).otherwise(0.0)
+        rows = rows.withColumn("_sum", F.aggregate(lp, F.lit(0.0), lambda s, x: s + mass(x)))
+        shares = F.transform("_lps", lambda x: F.struct(x["comp_id"].alias("comp_id"), x["lp"].alias("lp"), (mass(x["lp"]) / F.col("_sum")).alias("gamma")))
+    return rows.select(*frames.columns, "model_id", F.inline(shares))
 
 
 def occupation(post: DataFrame) -> DataFrame:

@@ -74,8 +74,9 @@ def label_prefix(rows: DataFrame, column: str, prefix: str) -> DataFrame:
 
 
 def thin(rows: DataFrame, key: str, share: float) -> DataFrame:
-    """FLT-9: a fixed share of rows by the hash of a key: the same rows each time."""
-    return rows.where(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(1000)) < int(share * 1000))
+    """FLT-9: a fixed share of rows by the MD5 of a key: the same rows each time."""
+    draw = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    return rows.where(draw % 1000 < int(share * 1000))
 
 
 def frames_at(frames: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -11,26 +11,45 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stores import materialised
+
 
 @dataclass
 class Ngrams:
     uni: DataFrame
     bi: DataFrame
     tri: DataFrame
+    #: ``w1, w2, w3, c``: how often each word is followed by two others; w2 and w3 are null at the end of a text.
+    counts: DataFrame | None = None
 
+    def pairs(self) -> DataFrame:
+        """All (w1, w2) that were counted."""
+        return self.counts.where("w2 is not null").select("w1", "w2").distinct()
 
-def estimate(words: DataFrame, by: str = "doc_id", order: str = "pos", least: int = 2, backoff: float = -0.4) -> Ngrams:
-    """LM-12: relative frequencies; bigrams and trigrams need ``least`` occurrences, contexts back off by a constant."""
+    def triples(self) -> DataFrame:
+        """All (w1, w2, w3) that were counted."""
+        return self.counts.where("w3 is not null").select("w1", "w2", "w3")
+
+
+def count_words(words: DataFrame, by: str = "doc_id", order: str = "pos") -> DataFrame:
+    """Counts of three words in a row, a written table: all shorter counts are sums of these, so the texts are read once."""
     w = Window.partitionBy(by).orderBy(order)
     rows = words.select(F.col("word").alias("w1"), F.lead("word", 1).over(w).alias("w2"), F.lead("word", 2).over(w).alias("w3"))
-    c1 = rows.groupBy("w1").agg(F.count(F.lit(1)).alias("c"))
-    c2 = rows.where("w2 is not null").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c"))
-    c3 = rows.where("w3 is not null").groupBy("w1", "w2", "w3").agg(F.count(F.lit(1)).alias("c"))
+    return materialised(rows.groupBy("w1", "w2", "w3").agg(F.count(F.lit(1)).alias("c")), "word-counts")
+
+
+def estimate(words: DataFrame, by: str = "doc_id", order: str = "pos", least: int = 2, backoff: float = -0.4) -> Ngrams:
+    """LM-12: relative frequencies; bigrams and trigrams need ``least`` occurrences, contexts back off by a constant."""
+    counts = count_words(words, by, order)
+    c3 = counts.where("w3 is not null")
+    c2 = materialised(counts.where("w2 is not null").groupBy("w1", "w2").agg(F.sum("c").alias("c")), "pair-counts")
+    # A text's last word has a row of its own in ``counts``, so these sums are the words' frequencies.
+    c1 = materialised(counts.groupBy("w1").agg(F.sum("c").alias("c")), "single-counts")
     total = c1.agg(F.sum("c").alias("total"))
     uni = c1.crossJoin(F.broadcast(total)).select("w1", F.log10(F.col("c") / F.col("total")).alias("p"), F.lit(backoff).alias("bo"))
     bi = c2.where(F.col("c") >= least).join(c1.withColumnRenamed("c", "m"), "w1").select("w1", "w2", F.log10(F.col("c") / F.col("m")).alias("p"), F.lit(backoff).alias("bo"))
     tri = c3.where(F.col("c") >= least).join(c2.withColumnRenamed("c", "m"), ["w1", "w2"]).select("w1", "w2", "w3", F.log10(F.col("c") / F.col("m")).alias("p"))
-    return Ngrams(uni, bi, tri)
+    return Ngrams(uni, bi, tri, counts)
 
 
 def _uni(rows: DataFrame, lm: Ngrams, word: str, out: str) -> DataFrame:
@@ -76,14 +95,15 @@ def fourgram(rows: DataFrame, lm: Ngrams, four: DataFrame, tri_backoff: DataFram
     return rows.withColumn("p", F.coalesce("_p4", F.coalesce("_b3", F.lit(0.0)) + F.col("_p3"))).drop("_p3", "_p4", "_b3")
 
 
-def next_words(histories: DataFrame, lm: Ngrams) -> DataFrame:
+def next_words(histories: DataFrame, lm: Ngrams, few: bool = False) -> DataFrame:
     """LM-6: ``p`` of every word of the model after each history (w1, w2).
 
-    Unigrams are laid under each history with both back-offs, then bigrams and trigrams replace what they have.
+    Unigrams are laid under each history with both back-offs, then bigrams and trigrams replace what they have. The result has
+    a row for each history and word; histories that the caller knows to be ``few`` go to all tasks.
     """
     base = histories.join(lm.bi.select("w1", "w2", F.col("bo").alias("_b2")), ["w1", "w2"], "left").join(
         lm.uni.select(F.col("w1").alias("w2"), F.col("bo").alias("_b1")), "w2", "left").na.fill(0.0, ["_b1", "_b2"])
-    rows = base.crossJoin(lm.uni.select(F.col("w1").alias("w3"), F.col("p").alias("_p1")))
+    rows = lm.uni.select(F.col("w1").alias("w3"), F.col("p").alias("_p1")).crossJoin(F.broadcast(base) if few else base)
     rows = rows.join(lm.bi.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("p").alias("_p2")), ["w2", "w3"], "left")
     rows = rows.join(lm.tri.withColumnRenamed("p", "_p3"), ["w1", "w2", "w3"], "left")
     p = F.coalesce("_p3", F.col("_b2") + F.coalesce("_p2", F.col("_b1") + F.col("_p1")))

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stores import materialised
+
 # -- lexicon -------------------------------------------------------------------------------------------
 
 
@@ -32,6 +34,77 @@ def look_ahead(lexicon: DataFrame, word_logp: DataFrame) -> DataFrame:
     return rows.select(F.explode(prefixes).alias("prefix"), "p").groupBy("prefix").agg(F.max("p").alias("bound"))
 
 
+def context_matrix(lexicon: DataFrame) -> DataFrame:
+    """DEC-2: phones that may meet where words meet: ``end_phone, start_phone, pairs``, with the number of word pairs that bring them together.
+
+    End phones and start phones are counted first, so words are never paired.
+    """
+    ends = lexicon.where(F.size("phones") > 0).groupBy(F.element_at("phones", -1).alias("end_phone")).agg(F.count(F.lit(1)).alias("_e"))
+    starts = lexicon.where(F.size("phones") > 0).groupBy(F.element_at("phones", 1).alias("start_phone")).agg(F.count(F.lit(1)).alias("_s"))
+    # Both sides have one row for each phone.
+    return ends.crossJoin(F.broadcast(starts)).select("end_phone", "start_phone", (F.col("_e") * F.col("_s")).alias("pairs"))
+
+
+def missing_models(lexicon: DataFrame, models: DataFrame) -> DataFrame:
+    """DEC-2: phones of the lexicon that ``models`` (phone) lacks, with the number of words that need them; no rows if all fit."""
+    used = lexicon.select("word_id", F.explode(F.array_distinct("phones")).alias("phone")).groupBy("phone").agg(F.count(F.lit(1)).alias("words"))
+    return used.join(models.select("phone").distinct(), "phone", "left_anti")
+
+
+def initial_tokens(utterances: DataFrame, pairs: DataFrame, singles: DataFrame, start: str = "<s>") -> DataFrame:
+    """DEC-20: one token for each utterance at the root with score 0 and a history: ``utt, node, state, h1, h2, ll``.
+
+    ``utterances`` has (utt, w1, w2); null words stand for the start symbol alone. Of two given words the history is the longest
+    suffix that the model has: ``pairs`` (w1, w2), ``singles`` (w1).
+    """
+    rows = utterances.join(pairs.select("w1", "w2", F.lit(True).alias("_two")).distinct(), ["w1", "w2"], "left")
+    rows = rows.join(singles.select(F.col("w1").alias("w2"), F.lit(True).alias("_one")).distinct(), "w2", "left")
+    given = F.col("w2").isNotNull()
+    return rows.select("utt", F.lit("").alias("node"), F.lit(0).alias("state"), F.when(given & F.col("_two"), F.col("w1")).alias("h1"),
+                       F.when(~given, F.lit(start)).when(F.col("_one") | F.col("_two"), F.col("w2")).alias("h2"), F.lit(0.0).alias("ll"))
+
+
+def phone_exits(tokens: DataFrame, children: DataFrame, last_state: int, log_next: float) -> DataFrame:
+    """DEC-17: tokens in the last state of a node enter the first state of its child nodes (node, child)."""
+    return tokens.where(F.col("state") == last_state).join(children, "node").select(
+        "t", F.col("child").alias("node"), F.lit(0).cast("long").alias("state"), "hist", "path_id", (F.col("ll") + log_next).alias("ll"))
+
+
+def word_exits(tokens: DataFrame, words: DataFrame, pairs: DataFrame, singles: DataFrame, last_state: int, log_next: float, scale: float, penalty: float) -> DataFrame:
+    """DEC-5, DEC-17: tokens that leave a word: a link record (t, path_id, hist, word) each, with the language score and the new total.
+
+    ``words`` has (node, word), ``pairs`` (hist, word, p), ``singles`` (word, p, bo). The word becomes the next history.
+    """
+    out = tokens.where(F.col("state") == last_state).join(words, "node")
+    out = out.join(pairs.select("hist", "word", F.col("p").alias("_p2")), ["hist", "word"], "left").join(singles.select("word", F.col("p").alias("_p1")), "word", "left")
+    out = out.join(singles.select(F.col("word").alias("hist"), "bo"), "hist", "left")
+    lm = F.coalesce("_p2", F.coalesce("bo", F.lit(0.0)) + F.col("_p1"))
+    return out.select("t", "path_id", "hist", "word", lm.alias("lm"), (F.col("ll") + log_next + scale * lm - penalty).alias("ll"))
+
+
+def final_tokens(tokens: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """DEC-19: the best token of each utterance's last frame, among ``allowed`` nodes (utt, node) if these are given; of equals the lowest path.
+
+    An utterance without an allowed token has no row.
+    """
+    last = tokens.groupBy("utt").agg(F.max("t").alias("t"))
+    rows = tokens.join(last, ["utt", "t"])
+    if allowed is not None:
+        rows = rows.join(allowed.select("utt", "node").distinct(), ["utt", "node"], "left_semi")
+    best = F.max_by(F.struct("t", "node", "path_id", "ll"), F.struct("ll", (-F.col("path_id")).alias("p"))).alias("_b")
+    return rows.groupBy("utt").agg(best).select("utt", "_b.*")
+
+
+def lattice_contexts(arcs: DataFrame, first: DataFrame, start: str = "<s>") -> DataFrame:
+    """DEC-19: arcs between nodes that remember the word that led to them: ``utt, src, before, dst, word, am, lm``.
+
+    A node becomes one for each word that enters it, so a bigram score can be given to each arc; the first node's is ``start``.
+    """
+    entered = arcs.select("utt", F.col("dst").alias("src"), F.col("word").alias("before")).distinct()
+    entered = entered.unionByName(first.select("utt", F.col("node").alias("src"), F.lit(start).alias("before")))
+    return arcs.join(entered, ["utt", "src"]).select("utt", "src", "before", "dst", "word", "am", "lm")
+
+
 # -- pruning -------------------------------------------------------------------------------------------
 # Bests are aggregates that are joined back, so that a frame of many tokens is never one window.
 
@@ -95,18 +168,37 @@ def depth_distribution(tokens: DataFrame) -> DataFrame:
 # -- traceback and lattices ----------------------------------------------------------------------------
 
 
-def traceback(links: DataFrame, ends: DataFrame, depth: int = 64) -> DataFrame:
+def traceback(links: DataFrame, ends: DataFrame) -> DataFrame:
     """DEC-8: from each end (utt, path_id) back along (utt, path_id, prev_id): ``utt, back, path_id``, back from 0.
 
-    One join for each step back, at most ``depth``.
+    Links are doubled: after k rounds a link leads 2**k steps back and all nodes up to there are known, so a path of n
+    links takes about log2(n) rounds, however long it is. Each round is written. Links that form a circle are an error.
     """
-    here = ends.select("utt", F.lit(0).alias("back"), "path_id")
-    out = here
-    prev = links.where("prev_id is not null").select("utt", "path_id", "prev_id")
-    for k in range(1, depth):
-        here = here.join(prev, ["utt", "path_id"]).select("utt", F.lit(k).alias("back"), F.col("prev_id").alias("path_id"))
-        out = out.unionByName(here)
-    return out
+    jump = materialised(links.where("prev_id is not null").select("utt", "path_id", "prev_id"), "jumps")
+    most = jump.count()
+    seen, step = materialised(ends.select("utt", F.lit(0).alias("back"), "path_id"), "seen"), 1
+    while True:
+        more = materialised(seen.join(jump, ["utt", "path_id"]).select("utt", (F.col("back") + step).alias("back"), F.col("prev_id").alias("path_id")), "further")
+        if more.isEmpty():
+            return seen
+        if step > most:
+            raise ValueError("the links form a circle")
+        seen = materialised(seen.unionByName(more), "seen", seen, more)
+        far = jump.select("utt", F.col("path_id").alias("prev_id"), F.col("prev_id").alias("_far"))
+        jump = materialised(jump.join(far, ["utt", "prev_id"]).select("utt", "path_id", F.col("_far").alias("prev_id")), "jumps", jump)
+        step *= 2
+
+
+def reference_path(links: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """DEC-18: the best path's words in order, as the reference of an error analysis, and totals of each utterance.
+
+    ``links`` has (utt, path_id, prev_id, word, end, am, lm). Gives (utt, ord, word, hist, end, am, lm) and (utt, words, am, lm).
+    """
+    back = traceback(links, ends).join(links, ["utt", "path_id"])
+    last = back.groupBy("utt").agg(F.max("back").alias("_n"))
+    w = Window.partitionBy("utt").orderBy(F.desc("back"))
+    ref = back.join(last, "utt").select("utt", (F.col("_n") - F.col("back")).alias("ord"), "word", F.lag("word").over(w).alias("hist"), "end", "am", "lm")
+    return ref, ref.groupBy("utt").agg(F.count(F.lit(1)).alias("words"), F.sum("am").alias("am"), F.sum("lm").alias("lm"))
 
 
 def lattice_arcs(word_links: DataFrame, lm_scale: float = 27.5) -> DataFrame:
@@ -125,27 +217,43 @@ def sorted_arcs(arcs: DataFrame) -> DataFrame:
     return arcs.withColumn("rank", F.row_number().over(Window.partitionBy("utt", "src").orderBy(F.desc("total"), "dst", "word")))
 
 
-def count_paths(arcs: DataFrame, first: DataFrame, last: DataFrame, depth: int) -> DataFrame:
+def _walk(arcs: DataFrame, start: DataFrame, step) -> list[DataFrame]:
+    """Written tables of what ``step(here, arcs)`` reaches, round by round, until nothing is left; a circle of arcs is an error."""
+    arcs = materialised(arcs, "arcs")
+    most, rounds, here = arcs.count(), [], start
+    while True:
+        here = materialised(step(here, arcs), "reached")
+        if here.isEmpty():
+            return rounds
+        if len(rounds) >= most:
+            raise ValueError("the arcs form a circle")
+        rounds.append(here)
+
+
+def _united(rounds: list[DataFrame], like: DataFrame) -> DataFrame:
+    out = like.limit(0)
+    for r in rounds:
+        out = out.unionByName(r)
+    return out
+
+
+def count_paths(arcs: DataFrame, first: DataFrame, last: DataFrame) -> DataFrame:
     """DEC-12: number of paths of each lattice from its first to its last node, by summed counts, without listing them."""
-    here = first.select("utt", F.col("node").alias("src"), F.lit(1).cast("long").alias("n"))
-    done = None
-    for _ in range(depth):
-        here = here.join(arcs.select("utt", "src", "dst"), ["utt", "src"]).groupBy("utt", F.col("dst").alias("src")).agg(F.sum("n").alias("n"))
-        ended = here.join(last.select("utt", F.col("node").alias("src")), ["utt", "src"]).select("utt", "n")
-        done = ended if done is None else done.unionByName(ended)
-    return done.groupBy("utt").agg(F.sum("n").alias("paths"))
-
-
-def paths(arcs: DataFrame, first: DataFrame, last: DataFrame, depth: int) -> DataFrame:
-    """DEC-12, SNK-6: all paths of at most ``depth`` arcs: ``utt, words, am, lm``."""
-    here = first.select("utt", F.col("node").alias("src"), F.array().cast("array<string>").alias("words"), F.lit(0.0).alias("am"), F.lit(0.0).alias("lm"))
-    step = arcs.select("utt", "src", "dst", F.col("word").alias("_w"), F.col("am").alias("_a"), F.col("lm").alias("_l"))
-    done = None
-    for _ in range(depth):
-        here = here.join(step, ["utt", "src"]).select("utt", F.col("dst").alias("src"), F.concat("words", F.array("_w")).alias("words"), (F.col("am") + F.col("_a")).alias("am"), (F.col("lm") + F.col("_l")).alias("lm"))
-        ended = here.join(last.select("utt", F.col("node").alias("src")), ["utt", "src"]).select("utt", "words", "am", "lm")
-        done = ended if done is None else done.unionByName(ended)
-    return done
+    start = first.select("utt", F.col("node").alias("src"), F.lit(1).cast("long").alias("n"))
+    rounds = _walk(arcs.select("utt", "src", "dst"), start, lambda here, a: here.join(a, ["utt", "src"]).groupBy("utt", F.col("dst").alias("src")).agg(F.sum("n").alias("n")))
+    ended = _united(rounds, start).join(last.select("utt", F.col("node").alias("src")), ["utt", "src"])
+    return ended.groupBy("utt").agg(F.sum("n").alias("paths"))
+
+
+def paths(arcs: DataFrame, first: DataFrame, last: DataFrame) -> DataFrame:
+    """DEC-12, SNK-6: all paths: ``utt, words, am, lm``. There may be exponentially many; ``count_paths`` tells how many."""
+    start = first.select("utt", F.col("node").alias("src"), F.array().cast("array<string>").alias("words"), F.lit(0.0).alias("am"), F.lit(0.0).alias("lm"))
+
+    def step(here: DataFrame, a: DataFrame) -> DataFrame:
+        return here.join(a, ["utt", "src"]).select("utt", F.col("dst").alias("src"), F.concat("words", F.array("_w")).alias("words"), (F.col("am") + F.col("_a")).alias("am"), (F.col("lm") + F.col("_l")).alias("lm"))
+
+    rounds = _walk(arcs.select("utt", "src", "dst", F.col("word").alias("_w"), F.col("am").alias("_a"), F.col("lm").alias("_l")), start, step)
+    return _united(rounds, start).join(last.select("utt", F.col("node").alias("src")), ["utt", "src"]).select("utt", "words", "am", "lm")
 
 
 def rescore(all_paths: DataFrame, scales: list[float]) -> DataFrame:
@@ -156,27 +264,39 @@ def rescore(all_paths: DataFrame, scales: list[float]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def arc_posteriors(arcs: DataFrame, scale: float = 1.0) -> DataFrame:
-    """DEC-13: forward-backward shares of a lattice's arcs, whose nodes are numbered in topological order."""
+def lattice_shares(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Share of each arc in all paths from first to last; nodes are numbered in topological order. Zeros if there is no path."""
+    nodes = np.unique(np.concatenate([src, dst, [first, last]]))
+    s, d = np.searchsorted(nodes, src), np.searchsorted(nodes, dst)
+    a, z = np.searchsorted(nodes, [first, last])
+    fwd, bwd = np.full(len(nodes), -np.inf), np.full(len(nodes), -np.inf)
+    fwd[a], bwd[z] = 0.0, 0.0
+    for k in np.argsort(s, kind="stable"):
+        fwd[d[k]] = np.logaddexp(fwd[d[k]], fwd[s[k]] + weight[k])
+    for k in np.argsort(-d, kind="stable"):
+        bwd[s[k]] = np.logaddexp(bwd[s[k]], bwd[d[k]] + weight[k])
+    return np.exp(fwd[s] + weight + bwd[d] - fwd[z]) if np.isfinite(fwd[z]) else np.zeros(len(s))
 
-    def run(pdf):
-        a = pdf.sort_values(["src", "dst"]).reset_index(drop=True)
-        nodes = np.unique(np.concatenate([a["src"], a["dst"]]))
-        src, dst = np.searchsorted(nodes, a["src"]), np.searchsorted(nodes, a["dst"])
-        w = a["total"].to_numpy() * scale
-        fwd, bwd = np.full(len(nodes), -np.inf), np.full(len(nodes), -np.inf)
-        fwd[0], bwd[-1] = 0.0, 0.0
-        for k in np.argsort(src, kind="stable"):
-            fwd[dst[k]] = np.logaddexp(fwd[dst[k]], fwd[src[k]] + w[k])
-        for k in np.argsort(-dst, kind="stable"):
-            bwd[src[k]] = np.logaddexp(bwd[src[k]], bwd[dst[k]] + w[k])
-        with np.errstate(invalid="ignore"):
-            p = np.exp(fwd[src] + w + bwd[dst] - fwd[-1])
-        return a.assign(posterior=np.nan_to_num(p))[["utt", "src", "dst", "word", "posterior"]]
 
+def arc_posteriors(arcs: DataFrame, first: DataFrame, last: DataFrame, scale: float = 1.0) -> DataFrame:
+    """DEC-13: forward-backward shares of lattices' arcs: ``utt, src, dst, word, posterior``.
+
+    A lattice is gathered into one row, and many go through Python at once.
+    """
     kind = arcs.schema["utt"].dataType.simpleString()
-    return arcs.select("utt", F.col("src").cast("long"), F.col("dst").cast("long"), "word", "total").groupBy("utt").applyInPandas(
-        run, f"utt {kind}, src long, dst long, word string, posterior double")
+    arc = F.struct(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "word", F.col("total").cast("double").alias("total"))
+    whole = arcs.groupBy("utt").agg(F.array_sort(F.collect_list(arc)).alias("arcs"))
+    ends = first.select("utt", F.col("node").cast("long").alias("a")).join(last.select("utt", F.col("node").cast("long").alias("z")), "utt")
+    rows = whole.join(ends, "utt").select("utt", "a", "z", "arcs.src", "arcs.dst", "arcs.word", "arcs.total")
+
+    def run(batches):
+        for pdf in batches:
+            pdf["posterior"] = [lattice_shares(np.asarray(s), np.asarray(d), np.asarray(w) * scale, a, z)
+                                for s, d, w, a, z in zip(pdf["src"], pdf["dst"], pdf["total"], pdf["a"], pdf["z"], strict=True)]
+            if len(pdf):
+                yield pdf[["utt", "src", "dst", "word", "posterior"]].explode(["src", "dst", "word", "posterior"])
+
+    return rows.mapInPandas(run, f"utt {kind}, src long, dst long, word string, posterior double")
 
 
 def match_nodes(nodes: DataFrame, tolerance: int = 3) -> DataFrame:
@@ -229,6 +349,8 @@ def error_regions(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     reference word is unknown, ``SEARCH`` if the reference scores better in all, else ``AM_LM``, ``LM`` or ``AM`` by which of the
     hypothesis' scores are better.
     """
+    # Each side is read twice, so both are made once.
+    ref, hyp = materialised(ref, "reference"), materialised(hyp, "hypothesis")
     matched = align_words(ref, hyp).select("utt", "end", "word", "hist", F.lit(True).alias("_m"))
     sides = []
     for rows, side in ((ref, 1), (hyp, 0)):

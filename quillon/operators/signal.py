@@ -6,12 +6,15 @@ windows goes through numpy at once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.vectors import read_pcm
+
 RATE, WINDOW, HOP, BINS, MELS = 16_000, 512, 160, 256, 24
 MEL_LOW, MEL_HIGH, MEL_HIGH_NARROW = 94.0, 6438.0, 3800.0
 WARP_START, WARP_STEP, WARPS = 0.80, 0.04, 11
@@ -61,23 +64,52 @@ def mel_matrix(warp: float = 1.0, narrow: bool = False) -> np.ndarray:
     return out
 
 
-def window_features(samples: np.ndarray, o: FeatureOptions = FeatureOptions()) -> np.ndarray:
-    """SIG-1 to SIG-11 for windows (n, 512): cepstra, then log energy, then zero crossings and strong bins."""
+def centred(samples: np.ndarray) -> np.ndarray:
+    """SIG-1: windows (n, 512) less their means."""
     x = samples.astype(np.float64)
-    x = x - x.mean(1, keepdims=True)
-    crossings = ((x[:, :-1] < 0) & (x[:, 1:] >= 0)).sum(1)
+    return x - x.mean(1, keepdims=True)
+
+
+def emphasised(x: np.ndarray) -> np.ndarray:
+    """SIG-2: each sample less 0.97 of the one before it; the first stays."""
     y = x.copy()
     y[:, 1:] -= 0.97 * x[:, :-1]
-    y *= 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(WINDOW) / (WINDOW - 1))
+    return y
+
+
+def tapered(x: np.ndarray) -> np.ndarray:
+    """SIG-3: a Hamming window."""
+    return x * (0.54 - 0.46 * np.cos(2 * np.pi * np.arange(WINDOW) / (WINDOW - 1)))
+
+
+def magnitudes(x: np.ndarray) -> np.ndarray:
+    """SIG-6: the lower half of the spectrum, over the window's length."""
+    return np.abs(np.fft.rfft(x, axis=1))[:, :BINS] / WINDOW
+
+
+def compressed(mel: np.ndarray, root10: bool) -> np.ndarray:
+    """SIG-9."""
+    return mel ** 0.1 if root10 else np.log10(1.0 + mel)
+
+
+def cosines(mel: np.ndarray, cepstra: int) -> np.ndarray:
+    """SIG-10: cepstra of the compressed bank; SIG-11, a lifter of length 0, changes nothing."""
+    i, j = np.arange(1, cepstra + 1)[:, None], np.arange(MELS)[None, :]
+    return mel @ np.cos(np.pi * i / MELS * (j + 0.5)).T
+
+
+def window_features(samples: np.ndarray, o: FeatureOptions = FeatureOptions()) -> np.ndarray:
+    """SIG-1 to SIG-11 for windows (n, 512): cepstra, then log energy, then zero crossings and strong bins."""
+    x = centred(samples)
+    crossings = ((x[:, :-1] < 0) & (x[:, 1:] >= 0)).sum(1)
+    y = tapered(emphasised(x))
     energy = np.log10(1.0 + (y * y).sum(1))
-    spectrum = np.abs(np.fft.rfft(y, axis=1))[:, :BINS] / WINDOW
+    spectrum = magnitudes(y)
     strong = (spectrum > spectrum.max(1, keepdims=True) / 2).sum(1)
     mel = spectrum @ mel_matrix(o.warp, o.narrow)
     if o.only_mel:
         return mel
-    mel = mel ** 0.1 if o.root10 else np.log10(1.0 + mel)
-    i, j = np.arange(1, o.cepstra + 1)[:, None], np.arange(MELS)[None, :]
-    parts = [mel @ np.cos(np.pi * i / MELS * (j + 0.5)).T]
+    parts = [cosines(compressed(mel, o.root10), o.cepstra)]
     if o.energy:
         parts.append(energy[:, None])
     if o.zero_crossings:
@@ -92,18 +124,38 @@ def windows(pcm: DataFrame) -> DataFrame:
     return rows.select("stream_id", "t", F.slice("pcm", (F.col("t") * HOP + 1).cast("int"), WINDOW).alias("samples"))
 
 
-def extract(pcm: DataFrame, options: FeatureOptions = FeatureOptions()) -> DataFrame:
-    """SIG-16: ``stream_id, t, vec`` for every window."""
+def per_window(pcm: DataFrame, compute: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``stream_id, t, vec``: what ``compute`` makes of each window, many windows at once."""
     rows = windows(pcm)
 
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                yield pdf[["stream_id", "t"]].assign(vec=list(window_features(np.stack(pdf["samples"].to_numpy()), options)))
+                yield pdf[["stream_id", "t"]].assign(vec=list(compute(np.stack(pdf["samples"].to_numpy()))))
 
     return rows.mapInPandas(run, f"stream_id {rows.schema['stream_id'].dataType.simpleString()}, t long, vec array<double>")
 
 
+def extract(pcm: DataFrame, options: FeatureOptions = FeatureOptions()) -> DataFrame:
+    """SIG-16: ``stream_id, t, vec`` for every window."""
+    return per_window(pcm, lambda samples: window_features(samples, options))
+
+
+def listed_pcm(spark: SparkSession, list_path: str) -> DataFrame:
+    """SIG-16: the raw files that a list file names, one path at the start of each line."""
+    named = [r.audio for r in spark.read.text(list_path).where("trim(value) <> ''").select(F.split(F.trim("value"), r"\s+")[0].alias("audio")).toLocalIterator()]
+    return read_pcm(spark, named) if named else read_pcm(spark, list_path).limit(0)
+
+
+def initial_statistics(features: DataFrame, frames: int = 100) -> DataFrame:
+    """SIG-16: mean and deviation of each dimension over a stream's first ``frames`` frames: ``stream_id, d, mean, dev``.
+
+    They normalise an unbounded source until more is known.
+    """
+    rows = features.where(F.col("t") < frames).select("stream_id", F.posexplode("vec").alias("d", "x"))
+    return rows.groupBy("stream_id", "d").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("dev"))
+
+
 def deltas(frames: DataFrame, size: int | None = None) -> DataFrame:
     """SIG-15: appends slopes sum(i (x[t+i] - x[t-i])) / 5, i = 1, 2; edge frames copy the slope of the second frame inside.
 

@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .numbering import dense_index
+from .segments import file_lines
+
 #: Text for probability zero, and the values that stand for it and for a missing word in the classic tables.
 ARPA_ZERO, LOG_ZERO, LOG_ABSENT = -99.0, -9e30, -9e60
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, pos, line`` of text files that are read whole, so that positions are those in the file."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("lines"))
-    return files.select("file", F.posexplode("lines").alias("pos", "line"))
-
-
 def _forward(value: Column) -> Column:
     return F.last(value, ignorenulls=True).over(Window.partitionBy("file").orderBy("pos"))
 
@@ -24,7 +21,7 @@ def read_arpa(spark: SparkSession, path: str, vocabulary: DataFrame | None = Non
 
     A log probability of -99 becomes LOG_ZERO, a missing back-off 0.
     """
-    rows = _lines(spark, path)
+    rows = file_lines(spark, path)
     n = F.regexp_extract("line", r"^\\(\d+)-grams:", 1).try_cast("int")
     stop = F.when(F.col("line").startswith("\\end\\") | F.col("line").startswith("\\data\\"), 0)
     rows = rows.select("line", _forward(F.coalesce(n, stop)).alias("n"), n.isNull().alias("body"))
@@ -64,20 +61,20 @@ def read_lexicon(spark: SparkSession, path: str, phones: DataFrame | None = None
     An empty pronunciation, or a phone that ``phones`` (name) lacks, ends the job.
     """
     p = F.split(F.trim("line"), "\\s+")
-    rows = _lines(spark, path).where("trim(line) <> ''").select("file", "pos", p[0].alias("word"), F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))).alias("phones"))
+    rows = file_lines(spark, path).where("trim(line) <> ''").select("file", "pos", p[0].alias("word"), F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))).alias("phones"))
     rows = rows.withColumn("phones", F.when(F.size("phones") == 0, F.raise_error(F.concat(F.lit("no pronunciation of "), "word")).cast("array<string>")).otherwise(F.col("phones")))
     if phones is not None:
         known = phones.agg(F.collect_set("name").alias("known"))  # a phone set is a few dozen names
         lost = F.filter("phones", lambda x: ~F.array_contains("known", x))
         rows = rows.crossJoin(F.broadcast(known)).withColumn("phones", F.when(F.size(lost) > 0, F.raise_error(F.concat(F.lit("unknown phone "), F.get(lost, F.lit(0)))).cast("array<string>")).otherwise(F.col("phones"))).drop("known")
-    ids = rows.groupBy("word").agg(F.min(F.struct("file", "pos")).alias("at")).select("word", (F.row_number().over(Window.orderBy("at")) - 1).alias("word_id"))
+    ids = dense_index(rows.groupBy("word").agg(F.min(F.struct("file", "pos")).alias("at")), [F.col("at")], "word_id").select("word", "word_id")
     variant = F.row_number().over(Window.partitionBy("word").orderBy("file", "pos"))
     return rows.withColumn("variant", variant).join(ids, "word").select("word", "word_id", "variant", "phones")
 
 
 def read_phones(spark: SparkSession, path: str) -> DataFrame:
     """SRC-8: ``phone_id, name, is_sil`` of a list with its two count lines; silences come first, names have at most 9 characters."""
-    rows = _lines(spark, path).where("trim(line) <> ''")
+    rows = file_lines(spark, path).where("trim(line) <> ''")
     sils = _forward(F.regexp_extract("line", r"^Number of SIL's:\s*(\d+)", 1).try_cast("int"))
     rows = rows.select("file", "pos", F.trim("line").alias("name"), sils.alias("sils")).where("not name like 'Number of %'")
     number = F.row_number().over(Window.partitionBy("file").orderBy("pos")) - 1
@@ -86,7 +83,7 @@ def read_phones(spark: SparkSession, path: str) -> DataFrame:
 
 def read_alignment(spark: SparkSession, path: str) -> DataFrame:
     """SRC-9: ``utt, l, m, r, b1, e1, b2, e2, b3, e3`` of phone lines ``#Phone# L M R |b|e|b|e|b|e|`` below banner lines ``## label ##``."""
-    rows = _lines(spark, path)
+    rows = file_lines(spark, path)
     rows = rows.select("line", _forward(F.nullif(F.regexp_extract("line", r"^##\s*(\S+)\s*##", 1), F.lit(""))).alias("utt")).where("line like '#Phone#%'")
     names = F.split(F.trim(F.regexp_extract("line", r"^#Phone#\s+([^|]*)", 1)), "\\s+")
     times = F.array_remove(F.transform(F.split(F.regexp_extract("line", r"\|(.*)$", 1), "\\|"), lambda x: F.trim(x)), "")
@@ -115,7 +112,7 @@ def lattice_lines(arcs: DataFrame, ends: DataFrame) -> DataFrame:
 
 def read_lattices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """SRC-12: arcs (utt, src, dst, word, am, lm) and ends (utt, first, last)."""
-    rows = _lines(spark, path)
+    rows = file_lines(spark, path)
     rows = rows.select("file", "pos", "line", _forward(F.nullif(F.regexp_extract("line", r"^name (.*)$", 1), F.lit(""))).alias("utt"))
     p = F.split("line", " ")
     arcs = rows.where(F.col("line").rlike(r"^\d+ \d+ ")).select("utt", p[0].cast("long").alias("src"), p[1].cast("long").alias("dst"), p[2].alias("word"), p[3].cast("double").alias("am"), p[4].cast("double").alias("lm"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.stores import materialised
+from .stores import materialised
 
 
 def dense_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 SOUND = 0
 
 
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, pos, line`` of text files that are read whole, so that positions are those in the file."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("lines"))
+    return files.select("file", F.posexplode("lines").alias("pos", "line"))
+
+
 def read_segments(spark: SparkSession, path: str, label_map: dict[str, int] | None = None, prefix_len: int = 0, filler: int | None = None,
                   least_gap: int = 5, check: bool = True) -> DataFrame:
     """SRC-4: ``stream_id, first, last, label, warp, info``; other lines are skipped.
@@ -63,14 +69,24 @@ def write_segments(segs: DataFrame, path: str, prefix: str = "SPK", **options) -
     lines.repartition("stream_id").sortWithinPartitions("stream_id", "ord", "sub").select("value").write.mode("overwrite").text(path)
 
 
-def read_regions(spark: SparkSession, path: str, label: str | None = None, channel: int | None = None) -> DataFrame:
-    """SRC-5: lines ``label channel begin end`` as ``stream_id, channel, first, last``; times are truncated and the end frame is left out."""
-    p = F.split(F.trim("value"), "\\s+")
-    rows = spark.read.text(path).where(F.size(p) >= 4).select(p[0].alias("stream_id"), p[1].cast("int").alias("channel"),
-                                                               F.floor(F.round(p[2].cast("double") * 100, 6)).alias("first"), (F.floor(F.round(p[3].cast("double") * 100, 6)) - 1).alias("last"))
+def read_regions(spark: SparkSession, path: str, label: str | None = None, channel: int | None = None, compat: bool = False, check: bool = True) -> DataFrame:
+    """SRC-5: lines ``label channel begin end`` as ``stream_id, channel, first, last``; times are truncated and the end frame is left out.
+
+    Frames are cut from decimal times; ``compat`` cuts the binary product, in which 0.29 s is frame 28. The regions of a label and
+    channel must be sorted and disjoint in their file when ``check`` is on. Files are read whole, as they name few regions.
+    """
+    cut = (lambda c: F.floor(c * 100)) if compat else (lambda c: F.floor(F.round(c * 100, 6)))
+    p = F.split(F.trim("line"), "\\s+")
+    rows = file_lines(spark, path).where(F.size(p) >= 4).select("file", "pos", p[0].alias("stream_id"), p[1].cast("int").alias("channel"),
+                                                               cut(p[2].cast("double")).alias("first"), (cut(p[3].cast("double")) - 1).alias("last"))
     if label is not None:
         rows = rows.where(F.col("stream_id") == label)
-    return rows if channel is None else rows.where(F.col("channel") == channel)
+    if channel is not None:
+        rows = rows.where(F.col("channel") == channel)
+    if check:
+        bad = F.col("first") <= F.lag("last").over(Window.partitionBy("file", "stream_id", "channel").orderBy("pos"))
+        rows = rows.withColumn("first", F.when(bad, F.raise_error(F.lit("regions are not sorted")).cast("long")).otherwise(F.col("first")))
+    return rows.select("stream_id", "channel", "first", "last")
 
 
 def write_frame_labels(frames: DataFrame, path: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ KINDS = {
     "ngram": ("n", "w1", "w2", "w3", "p", "bo"),
     "trie": ("node_id", "parent_id", "phone", "depth", "word_id"),
     "accumulators": ("d", "n", "w", "sx", "sxx"),
+    "clusters": ("cluster", "frames", "weight", "mean", "var"),
 }
 
 
@@ -33,12 +36,29 @@ def read(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return df
 
 
+#: Temporary folders of single-machine sessions, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the checkpoint folder, or below the warehouse where there is none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new path below ``spark.checkpoint.dir``; without that setting below a temporary folder, on a single machine only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master or 'a cluster'}")
+        base = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="quillon-")
+        _LOCAL[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/quillon-{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders that ``scratch`` named, whatever store they are in."""
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def round_trip(df: DataFrame, kind: str = "gmm") -> DataFrame:
     """The table as it comes back from a store."""
     path = scratch(df.sparkSession, kind)
@@ -46,8 +66,15 @@ def round_trip(df: DataFrame, kind: str = "gmm") -> DataFrame:
     return read(df.sparkSession, path, kind)
 
 
-def materialised(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written as Parquet and read again, which ends its lineage: for loops."""
-    path = scratch(df.sparkSession, name)
+def materialised(df: DataFrame, name: str = "step", *used: DataFrame) -> DataFrame:
+    """df written as Parquet and read again, which ends its lineage: for loops.
+
+    ``used`` are such tables that nothing reads after this one; they are deleted.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    remove(spark, *[p for p in (t.__dict__.pop("_quillon_path", None) for t in used) if p])
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillon_path = path
+    return out

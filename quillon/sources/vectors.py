@@ -12,15 +12,26 @@ from pyspark.sql import functions as F
 from ..functions.text import basename
 
 
-def read_pcm(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-1: raw 16-bit little-endian mono sound as ``stream_id, pcm``; an odd last byte is left out."""
-    files = spark.read.format("binaryFile").load(path).select(basename(F.col("path")).alias("stream_id"), "content")
+def decode_pcm(files: DataFrame) -> DataFrame:
+    """``stream_id, pcm`` of (stream_id, content): 16-bit little-endian samples, an odd last byte is left out. For tables and streams."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf[["stream_id"]].assign(pcm=[np.frombuffer(c, dtype="<i2", count=len(c) // 2).astype(np.int32) for c in pdf["content"]])
 
-    return files.mapInPandas(run, "stream_id string, pcm array<int>")
+    return files.select(F.col("stream_id").cast("string"), "content").mapInPandas(run, "stream_id string, pcm array<int>")
+
+
+def read_pcm(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """SRC-1: raw 16-bit little-endian mono sound of a file, a folder or a list of them as ``stream_id, pcm``."""
+    return decode_pcm(spark.read.format("binaryFile").load(path).select(basename(F.col("path")).alias("stream_id"), "content"))
+
+
+def stream_pcm(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
+    """SRC-16: the same from a folder into which files of sound keep coming, as a stream."""
+    files = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+             .option("maxFilesPerTrigger", files_per_batch).load(path))
+    return decode_pcm(files.select(basename(F.col("path")).alias("stream_id"), "content"))
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:

@@ -85,6 +85,32 @@ def batch_segments(frames: DataFrame, run: int = RUN) -> DataFrame:
     return rows.groupBy("stream_id").applyInPandas(one, OUT)
 
 
+def _best_so_far(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, every: int) -> Iterator[pd.DataFrame]:
+    n, labels, totals = state.get if state.exists else (0, [], [])
+    sums, out = dict(zip(labels, totals, strict=True)), []
+    rows = pd.concat(list(batches)).sort_values(["t", "label"])
+    for t, part in rows.groupby("t", sort=True):
+        for label, p in zip(part["label"].tolist(), part["logp"].tolist(), strict=True):
+            sums[label] = sums.get(label, 0.0) + p
+        n += 1
+        if n % every == 0:
+            best = min(sums, key=lambda x: (-sums[x], x))
+            out.append((str(key[0]), int(t), n, best, sums[best]))
+    state.update((n, list(sums), list(sums.values())))
+    yield pd.DataFrame(out, columns=["stream_id", "at", "frames", "label", "ll"])
+
+
+def partial_results(scores: DataFrame, every: int = 10) -> DataFrame:
+    """The best label so far after every ``every`` frames of a stream of (stream_id, t, label, logp): ``stream_id, at, frames, label, ll``.
+
+    A frame's scores come together; the state holds a sum for each label, and of equal labels the lowest is best.
+    """
+    rows = scores.select(F.col("stream_id").cast("string"), F.col("t").cast("long"), F.col("label").cast("long"), F.col("logp").cast("double"))
+    return rows.groupBy("stream_id").applyInPandasWithState(
+        lambda k, b, s: _best_so_far(k, b, s, every), "stream_id string, at long, frames long, label long, ll double",
+        "n long, labels array<long>, totals array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def session_segments(events: DataFrame, gap: str, late: str | None = None, time: str = "ts", value: str = "value") -> DataFrame:
     """Sessions of (stream_id, time) that a gap closes; on a stream, ``late`` is the watermark beyond which rows are dropped."""
     rows = events.withWatermark(time, late) if late else events

@@ -19,6 +19,7 @@ from quillon.operators import search as se
 from quillon.operators import signal as sg
 from quillon.sources import language as la
 from quillon.sources import segments as sm
+from quillon.sources import stores
 from quillon.sources import vectors as ve
 
 DDL = "stream_id string, first long, last long, label long"
@@ -108,6 +109,11 @@ def test_segment_files(spark, tmp_path):
         sm.read_segments(spark, str(path), label_map={"A": 1}).collect()
     (tmp_path / "u").write_text("f 1 1.00 2.00\nf 2 0.29 0.58\n")
     assert [(x["first"], x["last"]) for x in sm.read_regions(spark, str(tmp_path / "u"), "f").orderBy("first").collect()] == [(29, 57), (100, 199)]
+    assert sm.read_regions(spark, str(tmp_path / "u"), "f", channel=2, compat=True).first()["first"] == int(0.29 * 100) == 28
+    (tmp_path / "v").write_text("f 1 3.00 4.00\nf 1 1.00 2.00\n")
+    with pytest.raises(Exception, match="not sorted"):
+        sm.read_regions(spark, str(tmp_path / "v")).collect()
+    assert sm.read_regions(spark, str(tmp_path / "v"), check=False).count() == 2
 
 
 def test_vector_files(spark, tmp_path):
@@ -118,6 +124,9 @@ def test_vector_files(spark, tmp_path):
     assert [x.vec for x in ve.read_text_vectors(spark, str(tmp_path / "a.txt"), [1.0, 2.0], [2.0, 1.0]).orderBy("t").collect()] == [[0.0, 0.0], [1.0, 2.0]]
     (tmp_path / "a.raw").write_bytes(np.array([1, -2, 300], "<i2").tobytes() + b"x")
     assert ve.read_pcm(spark, str(tmp_path / "a.raw")).first().pcm == [1, -2, 300]
+    (tmp_path / "b.raw").write_bytes(b"\x05\x00")
+    (tmp_path / "list").write_text(f"{tmp_path}/a.raw x\n\n{tmp_path}/b.raw\n")
+    assert sorted((x.stream_id, x.pcm) for x in sg.listed_pcm(spark, str(tmp_path / "list")).collect()) == [("a", [1, -2, 300]), ("b", [5])]
 
 
 def test_gaussian_fit_and_merge(spark):
@@ -134,6 +143,19 @@ def test_log_sum_drops_far_components(spark):
     assert out[0] == pytest.approx(-9.873072, abs=1e-6) and out[1:] == [-1000.0, -1000.0]
 
 
+def test_scores_do_not_depend_on_blocks(spark):
+    r = np.random.default_rng(3)
+    f = spark.createDataFrame([(t, [float(x) for x in r.normal(0, 2, 3)]) for t in range(20)], "t long, vec array<double>")
+    rows = [(m, c, 1.0 / (m + 1), [float(x) for x in r.normal(0, 2, 3)], [1.0, 2.0, 0.5]) for m in range(5) for c in range(m + 1)]
+    models = spark.createDataFrame(rows, "model_id long, comp_id long, weight double, mean array<double>, var array<double>")
+    whole = sorted((x.t, x.model_id, x.comp_id, x.lp) for x in g.component_scores(f, models).collect())
+    for most in (1, 4, 7):
+        assert sorted((x.t, x.model_id, x.comp_id, x.lp) for x in g.component_scores(f, models, most).collect()) == whole
+    assert len(whole) == 20 * 15
+    plan = g.mixture_scores(f, models, ["t"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(t" not in plan
+
+
 def test_em_raises_likelihood_and_weights_sum_to_one(spark):
     r = np.random.default_rng(0)
     rows = [(int(t), [float(x) for x in r.normal((t % 2) * 4, 1, 3)]) for t in range(300)]
@@ -239,11 +261,50 @@ def test_pruning(spark):
     assert se.recombine(tok).count() == 1 and se.recombine(tok).first().path_id == 0
 
 
+def test_long_paths_and_circles(spark):
+    n = 300
+    links = spark.createDataFrame([("u", i, i - 1 if i else None) for i in range(n)], "utt string, path_id long, prev_id long")
+    end = lambda k: spark.createDataFrame([("u", k)], "utt string, path_id long")
+    back = {x.back: x.path_id for x in se.traceback(links, end(n - 1)).collect()}
+    assert back == {k: n - 1 - k for k in range(n)}
+    ring = spark.createDataFrame([("u", i, (i + 1) % 3) for i in range(3)], links.schema)
+    with pytest.raises(ValueError, match="circle"):
+        se.traceback(ring, end(0))
+    arcs = ring.select("utt", F.col("path_id").alias("src"), F.col("prev_id").alias("dst"))
+    with pytest.raises(ValueError, match="circle"):
+        se.count_paths(arcs, end(0).withColumnRenamed("path_id", "node"), end(2).withColumnRenamed("path_id", "node"))
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    class Conf(dict):
+        def get(self, k, default=None):
+            return dict.get(self, k, default)
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        stores.scratch(Session(), "x")
+    Session.conf["spark.checkpoint.dir"] = "file:///shared/"
+    assert stores.scratch(Session(), "x").startswith("file:///shared/quillon-x-")
+
+
+def test_token_operators(spark):
+    lex = spark.createDataFrame([(1, ["a", "b"]), (2, ["b"]), (3, ["a", "c"])], "word_id long, phones array<string>")
+    met = {(x.end_phone, x.start_phone): x.pairs for x in se.context_matrix(lex).collect()}
+    assert met == {("b", "a"): 4, ("b", "b"): 2, ("c", "a"): 2, ("c", "b"): 1}
+    assert [(x.phone, x.words) for x in se.missing_models(lex, spark.createDataFrame([("a",), ("b",)], "phone string")).collect()] == [("c", 1)]
+    tok = spark.createDataFrame([("u", 1, 5, 1, -1.0), ("u", 2, 5, 2, -3.0), ("u", 2, 6, 3, -2.0), ("v", 1, 6, 4, -1.0)], "utt string, t long, node long, path_id long, ll double")
+    assert sorted((x.utt, x.path_id) for x in se.final_tokens(tok).collect()) == [("u", 3), ("v", 4)]
+    allowed = spark.createDataFrame([("u", 5)], "utt string, node long")
+    assert [(x.utt, x.path_id) for x in se.final_tokens(tok, allowed).collect()] == [("u", 2)]
+
+
 def test_lattices_and_errors(spark):
     arcs = spark.createDataFrame([("u", 0, 1, "a", -1.0, -0.1, -1.1), ("u", 1, 2, "b", -1.0, -0.1, -1.1), ("u", 0, 2, "c", -3.0, -0.1, -3.1)], "utt string, src long, dst long, word string, am double, lm double, total double")
     end = lambda n: spark.createDataFrame([("u", n)], "utt string, node long")
-    assert sorted(x.words for x in se.paths(arcs, end(0), end(2), 3).collect()) == [["a", "b"], ["c"]]
-    post = {x.word: x.posterior for x in se.arc_posteriors(arcs).collect()}
+    assert sorted(x.words for x in se.paths(arcs, end(0), end(2)).collect()) == [["a", "b"], ["c"]]
+    post = {x.word: x.posterior for x in se.arc_posteriors(arcs, end(0), end(2)).collect()}
     assert post["a"] + post["c"] == pytest.approx(1) and post["a"] == pytest.approx(math.exp(-2.2) / (math.exp(-2.2) + math.exp(-3.1)))
     regions = spark.createDataFrame([(1, 0, 1, "AM")], "sub long, del long, ins long, blame string")
     assert se.word_error_rate(regions, spark.createDataFrame([(4,)], "words long")).first().wer == 50.0
