@@ -7,17 +7,3 @@ ORACLES: dict = {}
 for _part in (interval_queries, vector_queries, gaussian_queries, language_queries, search_queries, signal_queries, source_queries):
     QUERIES |= _part.REGISTRY.queries
     ORACLES |= _part.REGISTRY.oracles
-
-#: Inventory rows that another row's query computes as well.
-SAME = {
-    "join5_backoff_lookup": "lm3_trigram_backoff", "join6_vocabulary_encode": "str7_decode_words", "join11_decision_matrix": "agg17_articulatory_scores",
-    "set4_intersect": "join2_interval_intersect", "set5_except": "join3_interval_subtract", "set6_multi_way_merge": "win14_consensus",
-    "set7_concat_coalescing": "win13_concat", "set9_union_training_sets": "agg18_union_training_sets", "pdf4_batched_mixture": "pdf3_mixture_log_density",
-    "pdf18_articulatory_streams": "agg17_articulatory_scores", "snk2_vector_writer": "src2_vector_round_trip", "snk4_alignment_writer": "src9_alignment_round_trip",
-    "snk5_lattice_writer": "src12_lattice_round_trip", "snk6_path_list": "dec12_enumerate_paths", "snk10_model_writer": "src10_model_store",
-    "src17_training_records": "trn1_training_set", "dec4_state_update": "pdf17_viterbi_shares",
-}
-for _name, _as in SAME.items():
-    QUERIES[_name] = QUERIES[_as]
-    if _as in ORACLES:
-        ORACLES[_name] = ORACLES[_as]

@@ -69,7 +69,11 @@ def _(spark, d):
     return out.select(F.col("d").cast("long"), "n", F.round("sx", 6).alias("sx"), F.round("sxx", 5).alias("sxx"))
 
 
-@query("agg6_mmi_update")
+@query("agg6_mmi_update", v.with_views(f"""SELECT label AS model_id, d, {r('CASE WHEN second IS NULL THEN mean ELSE new END')} AS mean, {r('CASE WHEN second IS NULL THEN var ELSE spread END')} AS var FROM tried JOIN chosen USING (label) WHERE k = coalesce(second, 0)""", "gmm",
+    num="SELECT label, d, count(*)::DOUBLE AS wn, sum(x) AS xn, sum(x * x) AS xxn FROM dims GROUP BY 1, 2", den="SELECT label, d, count(*)::DOUBLE AS wd, sum(x) AS xd, sum(x * x) AS xxd FROM dims WHERE t % 3 = 0 GROUP BY 1, 2",
+    tried="SELECT *, (s * (mean * mean + var) + xxn - xxd) / (wn - wd + s) - new * new AS spread FROM (SELECT *, (s * mean + xn - xd) / (wn - wd + s) AS new FROM (SELECT gmm.label, gmm.d, mean, var, wn, xn, xxn, wd, xd, xxd, k, 2 * wd * pow(2, k) AS s FROM gmm JOIN num USING (label, d) JOIN den USING (label, d), (SELECT unnest(range(0, 60)) AS k)))",
+    good="SELECT label, k FROM tried GROUP BY 1, 2 HAVING min(spread) >= 0.01",
+    chosen="SELECT label, min(k) FILTER (k > one) AS second FROM (SELECT *, min(k) OVER (PARTITION BY label) AS one FROM good) GROUP BY label"))
 def _(spark, d):
     f = v.frames(spark, d)
     stats = lambda rows: g.as_vectors(g.accumulate(rows, ["label"]), ["label"], ("w", "sx", "sxx")).select("label", F.col("w")[0].alias("w"), "sx", "sxx")
@@ -164,12 +168,12 @@ def _(spark, d):
     return g.occupation(post).select("comp_id", F.round("count", 5).alias("count"))
 
 
-@query("agg17_articulatory_scores", v.with_views(f"SELECT t, phone, {r('sum(CASE WHEN wanted = 1 THEN x ELSE -x END)')} AS score FROM dims JOIN (SELECT phone, rule, (phone + rule) % 3 AS wanted FROM (SELECT unnest(range(0, 5)) AS phone), (SELECT unnest(range(0, 8)) AS rule)) ON d = rule WHERE wanted < 2 GROUP BY t, phone", "dims"))
+@query("agg17_articulatory_scores", v.with_views(f"SELECT t, phone, {r('sum(CASE WHEN wanted = 1 THEN x ELSE -x END)')} AS score FROM dims JOIN (SELECT phone, rule, (phone + rule) % 3 AS wanted FROM (SELECT unnest(range(0, 5)) AS phone), (SELECT unnest(range(0, 64)) AS rule)) ON d = rule WHERE wanted < 2 GROUP BY t, phone", "dims"))
 def _(spark, d):
-    rules = spark.range(5).select(F.col("id").alias("phone"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("rule"))
+    rules = spark.range(5).select(F.col("id").alias("phone"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("rule"))
     w = (F.col("phone") + F.col("rule")) % 3
     rules = rules.withColumn("wanted", F.when(w < 2, w))
-    scores = v.dims(spark, d).where("d < 8").select("t", F.col("d").alias("rule"), (F.col("x") / 2).alias("yes"), (-F.col("x") / 2).alias("no"))
+    scores = v.dims(spark, d).select("t", F.col("d").alias("rule"), (F.col("x") / 2).alias("yes"), (-F.col("x") / 2).alias("no"))
     return g.stream_decisions(scores, rules).withColumn("score", F.round("score", 6))
 
 

@@ -106,7 +106,8 @@ def _(spark, d):
     return iv.halve(v.segments_user(spark, d))
 
 
-@query("win6_resolve_overlap")
+@query("win6_resolve_overlap", v.with_views("""SELECT stream_id, first, last, unnest(CASE WHEN label <> 4 THEN [label] WHEN p IS NOT NULL THEN CASE WHEN q IS NOT NULL AND q <> 4 AND q <> p THEN [p, q] ELSE [p] END
+WHEN k = 1 THEN [coalesce(q, 4)] WHEN q IS NOT NULL AND q <> 4 THEN [4, q] ELSE [4] END) AS label FROM (SELECT *, last_value(CASE WHEN label <> 4 THEN label END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, lead(label) OVER w AS q, row_number() OVER w AS k FROM segments_user WINDOW w AS (PARTITION BY stream_id ORDER BY first, last))""", "segments_user").replace("SELECT stream_id, first, last, unnest", "SELECT stream_id::VARCHAR AS stream_id, first, last, unnest"))
 def _(spark, d):
     return iv.resolve_overlap(v.segments_user(spark, d), 4)
 
@@ -204,7 +205,7 @@ def _(spark, d):
     return iv.label_prefix(v.table(spark, d, "documents").select("doc_id", "source"), "source", "src1")
 
 
-@query("flt9_thin_occurrences")
+@query("flt9_thin_occurrences", v.with_views(f"SELECT {ALL} FROM segments_user WHERE ('0x' || left(md5(stream_id || ':' || first), 8))::BIGINT % 1000 < 250", "segments_user"))
 def _(spark, d):
     return iv.thin(v.segments_user(spark, d).withColumn("key", F.concat_ws(":", "stream_id", "first")), "key", 0.25).drop("key")
 

@@ -31,13 +31,6 @@ def model(spark, d) -> ng.Ngrams:
     return ng.estimate(v.words(spark, d))
 
 
-def triples(spark, d):
-    """All word triples that occur."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    rows = v.words(spark, d).select(F.col("word").alias("w1"), F.lead("word", 1).over(w).alias("w2"), F.lead("word", 2).over(w).alias("w3"))
-    return rows.where("w3 is not null").distinct()
-
-
 @query("lm1_unigram", v.with_views("SELECT w1, round(p, 6) + 0.0 AS p FROM u", "words", **LM))
 def _(spark, d):
     m = model(spark, d)
@@ -46,13 +39,15 @@ def _(spark, d):
 
 @query("lm2_bigram_backoff", v.with_views("SELECT w2 AS w1, w3 AS w2, round(any_value(coalesce(p2, coalesce(b1, 0) + p1)), 6) + 0.0 AS p FROM q3 GROUP BY 1, 2", "words", **LM))
 def _(spark, d):
-    pairs = triples(spark, d).select(F.col("w2").alias("w1"), F.col("w3").alias("w2")).distinct()
-    return ng.bigram(pairs, model(spark, d)).select("w1", "w2", F.round("p", 6).alias("p"))
+    m = model(spark, d)
+    pairs = m.triples().select(F.col("w2").alias("w1"), F.col("w3").alias("w2")).distinct()
+    return ng.bigram(pairs, m).select("w1", "w2", F.round("p", 6).alias("p"))
 
 
 @query("lm3_trigram_backoff", v.with_views(f"SELECT w1, w2, w3, round({P3}, 6) + 0.0 AS p FROM q3", "words", **LM))
 def _(spark, d):
-    return ng.trigram(triples(spark, d), model(spark, d)).select("w1", "w2", "w3", F.round("p", 6).alias("p"))
+    m = model(spark, d)
+    return ng.trigram(m.triples(), m).select("w1", "w2", "w3", F.round("p", 6).alias("p"))
 
 
 @query("lm4_fourgram_backoff", v.with_views(
@@ -70,27 +65,29 @@ def _(spark, d):
 
 @query("lm5_history_state", v.with_views("SELECT w1, w2, w3, CASE WHEN p3 IS NOT NULL THEN 3 WHEN p2 IS NOT NULL THEN 2 WHEN p1 IS NOT NULL THEN 1 ELSE 0 END AS order, CASE WHEN p2 IS NOT NULL THEN w2 END AS h1, CASE WHEN p1 IS NOT NULL THEN w3 END AS h2 FROM q3".replace(" AS order,", ' AS "order",'), "words", **LM))
 def _(spark, d):
-    return ng.trigram(triples(spark, d), model(spark, d)).select("w1", "w2", "w3", "order", "h1", "h2")
+    m = model(spark, d)
+    return ng.trigram(m.triples(), m).select("w1", "w2", "w3", "order", "h1", "h2")
 
 
-TOP = "SELECT w1, w2 FROM c2 ORDER BY c DESC, w1, w2 LIMIT 2"
+#: The first two words of each benchmark item are the histories to go on from.
+STARTS = "SELECT DISTINCT w[1] AS w1, w[2] AS w2 FROM (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark) WHERE len(w) > 1"
 
 
 @query("lm6_next_word_distribution", v.with_views(
-    "SELECT h.w1, h.w2, u.w1 AS w3, round(coalesce(t.p, coalesce(b2.bo, 0) + coalesce(b.p, coalesce(u2.bo, 0) + u.p)), 6) + 0.0 AS p FROM h CROSS JOIN u LEFT JOIN t ON t.w1 = h.w1 AND t.w2 = h.w2 AND t.w3 = u.w1 LEFT JOIN b b2 ON b2.w1 = h.w1 AND b2.w2 = h.w2 LEFT JOIN b ON b.w1 = h.w2 AND b.w2 = u.w1 LEFT JOIN u u2 ON u2.w1 = h.w2",
-    "words", **LM, h=TOP))
+    "SELECT w1, w2, count(*) AS words, round(sum(pow(10, p)), 5) + 0.0 AS mass, round(min(p), 6) + 0.0 AS least, round(max(p), 6) + 0.0 AS most FROM (SELECT h.w1, h.w2, coalesce(t.p, coalesce(b2.bo, 0) + coalesce(b.p, coalesce(u2.bo, 0) + u.p)) AS p FROM h CROSS JOIN u LEFT JOIN t ON t.w1 = h.w1 AND t.w2 = h.w2 AND t.w3 = u.w1 LEFT JOIN b b2 ON b2.w1 = h.w1 AND b2.w2 = h.w2 LEFT JOIN b ON b.w1 = h.w2 AND b.w2 = u.w1 LEFT JOIN u u2 ON u2.w1 = h.w2) GROUP BY 1, 2",
+    "words", **LM, h=STARTS))
 def _(spark, d):
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    pairs = v.words(spark, d).select(F.col("word").alias("w1"), F.lead("word").over(w).alias("w2")).where("w2 is not null")
-    top = pairs.groupBy("w1", "w2").count().orderBy(F.desc("count"), "w1", "w2").limit(2).select("w1", "w2")
-    return ng.next_words(top, model(spark, d)).withColumn("p", F.round("p", 6))
+    w = F.array_remove(F.split(F.lower("text"), "[^a-z]+"), "")
+    starts = v.table(spark, d, "benchmark").select(F.get(w, F.lit(0)).alias("w1"), F.get(w, F.lit(1)).alias("w2")).where("w2 is not null").distinct()
+    rows = ng.next_words(starts, model(spark, d), few=True)
+    return rows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("words"), F.round(F.sum(F.pow(F.lit(10.0), "p")), 5).alias("mass"), F.round(F.min("p"), 6).alias("least"), F.round(F.max("p"), 6).alias("most"))
 
 
 @query("lm7_hash_lookup", v.with_views("SELECT w1, w2, b.p IS NOT NULL AS found FROM (SELECT w2 AS w1, w1 AS w2 FROM c2) k LEFT JOIN b USING (w1, w2)", "words", **LM))
 def _(spark, d):
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    keys = v.words(spark, d).select(F.lead("word").over(w).alias("w1"), F.col("word").alias("w2")).where("w1 is not null").distinct()
-    return keys.join(model(spark, d).bi.select("w1", "w2", F.lit(True).alias("found")).hint("shuffle_hash"), ["w1", "w2"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    m = model(spark, d)
+    keys = m.pairs().select(F.col("w2").alias("w1"), F.col("w1").alias("w2"))
+    return keys.join(m.bi.select("w1", "w2", F.lit(True).alias("found")).hint("shuffle_hash"), ["w1", "w2"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 @query("lm8_consistency", v.with_views("SELECT 2 AS n, w1, w2, NULL::VARCHAR AS w3 FROM b WHERE w1 NOT IN (SELECT w1 FROM u) UNION SELECT 3, w1, w2, w3 FROM t ANTI JOIN b USING (w1, w2)", "words", **LM))
@@ -122,6 +119,35 @@ def _(spark, d):
     return nodes.groupBy(F.col("depth").cast("long")).agg(F.count(F.lit(1)).alias("nodes"), F.sum("words").alias("words"))
 
 
+@query("dec2_context_matrix", v.with_views("SELECT e AS end_phone, s AS start_phone, n * m AS pairs FROM (SELECT right(word, 1) AS e, count(*) AS n FROM w GROUP BY 1), (SELECT left(word, 1) AS s, count(*) AS m FROM w GROUP BY 1)", "words", w="SELECT DISTINCT word FROM words"))
+def _(spark, d):
+    return se.context_matrix(lexicon(spark, d))
+
+
+@query("dec2_missing_models", v.with_views("SELECT ph AS phone, count(*) AS words FROM (SELECT DISTINCT word, unnest(string_split(word, '')) AS ph FROM words) WHERE ph > 'r' GROUP BY ph", "words"))
+def _(spark, d):
+    models = spark.createDataFrame([(chr(c),) for c in range(ord("a"), ord("r") + 1)], "phone string")
+    return se.missing_models(lexicon(spark, d), models)
+
+
+@query("dec20_initial_state", v.with_views("SELECT utt, CASE WHEN b.w1 IS NOT NULL THEN s.w1 END AS h1, CASE WHEN s.w2 IS NULL THEN '<s>' WHEN b.w1 IS NOT NULL OR u.w1 IS NOT NULL THEN s.w2 END AS h2 FROM s LEFT JOIN b ON b.w1 = s.w1 AND b.w2 = s.w2 LEFT JOIN u ON u.w1 = s.w2",
+    "words", **LM, s="SELECT item_id AS utt, CASE WHEN item_id % 5 > 0 THEN w[1] END AS w1, CASE WHEN item_id % 5 > 0 THEN w[2] END AS w2 FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark)"))
+def _(spark, d):
+    """Items start from their first two words, every fifth from the start symbol."""
+    m = model(spark, d)
+    w = F.array_remove(F.split(F.lower("text"), "[^a-z]+"), "")
+    given = F.col("item_id") % 5 > 0
+    starts = v.table(spark, d, "benchmark").select(F.col("item_id").alias("utt"), F.when(given, F.get(w, F.lit(0))).alias("w1"), F.when(given, F.get(w, F.lit(1))).alias("w2"))
+    return se.initial_tokens(starts, m.bi, m.uni).select("utt", "h1", "h2")
+
+
+@query("join5_backoff_lookup", v.with_views("SELECT k.w1, k.w2, round(coalesce(b.p, coalesce(x.bo, 0) + y.p), 6) + 0.0 AS p FROM (SELECT DISTINCT w2 AS w1, w1 AS w2 FROM c2) k LEFT JOIN b ON b.w1 = k.w1 AND b.w2 = k.w2 LEFT JOIN u x ON x.w1 = k.w1 LEFT JOIN u y ON y.w1 = k.w2", "words", **LM))
+def _(spark, d):
+    """Pairs in the wrong order, most of which the model lacks."""
+    m = model(spark, d)
+    return ng.bigram(m.pairs().select(F.col("w2").alias("w1"), F.col("w1").alias("w2")), m).select("w1", "w2", F.round("p", 6).alias("p"))
+
+
 @query("lm11_look_ahead", v.with_views("SELECT prefix, round(max(p), 6) + 0.0 AS bound FROM pre JOIN u ON word = w1 GROUP BY prefix", "words", **LM, **PRE))
 def _(spark, d):
     p = model(spark, d).uni.select(F.col("w1").alias("word_id"), "p")

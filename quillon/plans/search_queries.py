@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import search as se
-from ..operators.numbering import dense_index
+from ..sources.numbering import dense_index
 from . import views as v
 from .registry import Registry
 
@@ -84,8 +84,66 @@ def _(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     links = o.select(F.col("o_custkey").alias("utt"), F.col("o_orderkey").alias("path_id"), F.lag("o_orderkey").over(w).alias("prev_id"), F.col("o_orderdate"))
     ends = links.groupBy("utt").agg(F.max_by("path_id", F.struct("o_orderdate", "path_id")).alias("path_id"))
-    longest = links.groupBy("utt").count().agg(F.max("count")).first()[0] or 1
-    return se.traceback(links.select("utt", "path_id", "prev_id"), ends, depth=int(longest))
+    return se.traceback(links.select("utt", "path_id", "prev_id"), ends)
+
+
+REFERENCE = {"ref": "SELECT o_custkey AS utt, (row_number() OVER w - 1)::INT AS ord, o_orderpriority AS word, lag(o_orderpriority) OVER w AS hist, -o_totalprice / 1000 AS am, -(o_orderkey % 9)::DOUBLE AS lm FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"}
+
+
+def _reference(spark, d):
+    """Each customer's orders as a path of words."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    links = v.table(spark, d, "orders").select(F.col("o_custkey").alias("utt"), F.col("o_orderkey").alias("path_id"), F.lag("o_orderkey").over(w).alias("prev_id"), F.lead("o_orderkey").over(w).alias("next_id"),
+                                              F.col("o_orderpriority").alias("word"), F.row_number().over(w).alias("end"), (-F.col("o_totalprice") / 1000).alias("am"), (-(F.col("o_orderkey") % 9)).cast("double").alias("lm"))
+    return se.reference_path(links.drop("next_id"), links.where("next_id is null").select("utt", "path_id"))
+
+
+@query("dec18_reference_path", v.with_views("SELECT utt, ord, word, hist, (round(am, 6) + 0.0) AS am, lm FROM ref", **REFERENCE))
+def _(spark, d):
+    return _reference(spark, d)[0].select("utt", "ord", "word", "hist", F.round("am", 6).alias("am"), "lm")
+
+
+@query("dec18_reference_totals", v.with_views("SELECT utt, count(*) AS words, (round(sum(am), 6) + 0.0) AS am, sum(lm) AS lm FROM ref GROUP BY utt", **REFERENCE))
+def _(spark, d):
+    return _reference(spark, d)[1].withColumn("am", F.round("am", 6))
+
+
+EXIT = {**TOKENS, "kids": "SELECT node, unnest([2 * node + 1, 2 * node + 2]) AS child FROM (SELECT unnest(range(0, 20)) AS node)",
+        "uni": "SELECT unnest(range(0, 40)) AS word, -0.05 * unnest(range(0, 40)) AS p, -0.1 * unnest(range(0, 40)) AS bo",
+        "pair": "SELECT hist, word, -(hist + 1) * (word % 3 + 1) / 10.0 AS p FROM (SELECT unnest(range(0, 5)) AS hist), (SELECT unnest(range(10, 20)) AS word) WHERE (hist + word) % 2 = 0"}
+
+
+@query("dec17_phone_exit", v.with_views("SELECT t, child AS node, 0::BIGINT AS state, hist, path_id, (round(ll - 1.7, 5) + 0.0) AS ll FROM tok JOIN kids USING (node) WHERE state = 3", **EXIT))
+def _(spark, d):
+    kids = spark.range(20).select(F.col("id").alias("node"), F.explode(F.array(2 * F.col("id") + 1, 2 * F.col("id") + 2)).alias("child"))
+    return _out(se.phone_exits(tokens(spark, d), F.broadcast(kids), 3, -1.7))
+
+
+@query("dec5_word_exit", v.with_views("SELECT t, path_id, tok.hist, w.word, (round(coalesce(pair.p, h.bo + w.p), 5) + 0.0) AS lm, (round(ll - 1.7 + 27.5 * coalesce(pair.p, h.bo + w.p) - 2, 4) + 0.0) AS ll FROM tok JOIN uni w ON w.word = tok.node AND node >= 10 LEFT JOIN pair ON pair.hist = tok.hist AND pair.word = w.word JOIN uni h ON h.word = tok.hist WHERE state = 3", **EXIT))
+def _(spark, d):
+    ids = spark.range(40).select(F.col("id").alias("word"), (-0.05 * F.col("id")).alias("p"), (-0.1 * F.col("id")).alias("bo"))
+    pairs = spark.range(5).select(F.col("id").alias("hist")).join(spark.range(10, 20).select(F.col("id").alias("word"))).where("(hist + word) % 2 = 0").withColumn("p", -(F.col("hist") + 1) * (F.col("word") % 3 + 1) / 10.0)
+    words = spark.range(10, 20).select(F.col("id").alias("node"), F.col("id").alias("word"))
+    out = se.word_exits(tokens(spark, d), F.broadcast(words), F.broadcast(pairs), F.broadcast(ids), 3, -1.7, 27.5, 2.0)
+    return out.select("t", "path_id", "hist", "word", F.round("lm", 5).alias("lm"), F.round("ll", 4).alias("ll"))
+
+
+def _line_tokens(spark, d):
+    """An order is an utterance, its lines are frames that hold a token on each of two nodes."""
+    li = v.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("utt"), F.col("l_linenumber").cast("long").alias("t"), F.col("l_partkey").alias("path_id"), (-F.col("l_extendedprice") / 500).alias("ll"), "l_discount")
+    other = li.select("utt", "t", (F.col("path_id") + 1_000_000).alias("path_id"), (F.col("ll") - F.col("l_discount") + 0.04).alias("ll"))
+    return li.drop("l_discount").unionByName(other).withColumn("node", F.col("path_id") % 5)
+
+
+FINAL = {"tk": "SELECT *, path_id % 5 AS node FROM (SELECT l_orderkey AS utt, l_linenumber::BIGINT AS t, l_partkey AS path_id, -l_extendedprice / 500 AS ll FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber::BIGINT, l_partkey + 1000000, -l_extendedprice / 500 - l_discount + 0.04 FROM lineitem)",
+         "ends": "SELECT tk.* FROM tk JOIN (SELECT utt, max(t) AS t FROM tk GROUP BY utt) USING (utt, t)"}
+
+
+@query("dec19_final_token", v.with_views("SELECT utt, t, node, path_id, (round(ll, 4) + 0.0) AS ll FROM (SELECT *, row_number() OVER (PARTITION BY utt ORDER BY ll DESC, path_id) AS k FROM ends WHERE node <> utt % 5) WHERE k = 1", **FINAL))
+def _(spark, d):
+    tk = _line_tokens(spark, d)
+    allowed = tk.select("utt", "node").where("node <> utt % 5")
+    return se.final_tokens(tk, allowed).withColumn("ll", F.round("ll", 4))
 
 
 ARC = {
@@ -114,6 +172,12 @@ def _(spark, d):
     return lattice(spark, d)[0].select("utt", "src", "dst", "word", F.round("total", 5).alias("total"))
 
 
+@query("dec19_lattice_contexts", v.with_views("SELECT arcs.utt, arcs.src, coalesce(p.word, '<s>') AS before, arcs.dst, arcs.word, (round(arcs.am, 5) + 0.0) AS am FROM arcs LEFT JOIN (SELECT DISTINCT utt, dst, word FROM arcs) p ON p.utt = arcs.utt AND p.dst = arcs.src JOIN ends ON ends.utt = arcs.utt WHERE p.word IS NOT NULL OR arcs.src = ends.a", **ARC).replace("WITH", "WITH RECURSIVE", 1))
+def _(spark, d):
+    arcs, first, _ = lattice(spark, d)
+    return se.lattice_contexts(arcs, first).select("utt", "src", "before", "dst", "word", F.round("am", 5).alias("am"))
+
+
 @query("dec11_dedup_arcs", "SELECT utt, src, dst, word, (round(max(total), 5) + 0.0) AS total FROM (SELECT l_orderkey AS utt, l_linenumber::BIGINT AS src, l_linenumber::BIGINT + 1 AS dst, l_returnflag AS word, -l_quantity / 27.5 - l_tax AS total FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber::BIGINT, l_linenumber::BIGINT + 1, l_returnflag, -l_discount * 40 / 27.5 - l_tax FROM lineitem) GROUP BY 1, 2, 3, 4")
 def _(spark, d):
     li = v.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("utt"), F.col("l_linenumber").cast("long").alias("prev_id"), (F.col("l_linenumber").cast("long") + 1).alias("path_id"),
@@ -129,27 +193,25 @@ def _(spark, d):
 
 @query("dec12_path_count", v.with_views("SELECT utt, count(*) AS paths FROM full_paths GROUP BY utt", **ARC).replace("WITH", "WITH RECURSIVE", 1))
 def _(spark, d):
-    return se.count_paths(*lattice(spark, d), depth=7)
+    return se.count_paths(*lattice(spark, d))
 
 
 @query("dec12_enumerate_paths", v.with_views("SELECT utt, array_to_string(words, ' ') AS words, (round(am, 4) + 0.0) AS am, (round(lm, 4) + 0.0) AS lm FROM full_paths", **ARC).replace("WITH", "WITH RECURSIVE", 1))
 def _(spark, d):
-    return se.paths(*lattice(spark, d), depth=7).select("utt", F.array_join("words", " ").alias("words"), F.round("am", 4).alias("am"), F.round("lm", 4).alias("lm"))
+    return se.paths(*lattice(spark, d)).select("utt", F.array_join("words", " ").alias("words"), F.round("am", 4).alias("am"), F.round("lm", 4).alias("lm"))
 
 
 @query("dec12_rescore_grid", v.with_views("SELECT scale, count(*) AS lattices, (round(sum(total) + 1e-6, 2) + 0.0) AS total FROM (SELECT utt, scale, max(am + scale * lm) AS total FROM full_paths, (SELECT unnest(range(0, 21)) * 2.5::DOUBLE AS scale) GROUP BY 1, 2) GROUP BY scale", **ARC).replace("WITH", "WITH RECURSIVE", 1))
 def _(spark, d):
-    best = se.rescore(se.paths(*lattice(spark, d), depth=7), [2.5 * k for k in range(21)])
+    best = se.rescore(se.paths(*lattice(spark, d)), [2.5 * k for k in range(21)])
     return best.groupBy("scale").agg(F.count(F.lit(1)).alias("lattices"), F.round(F.sum("total") + 1e-6, 2).alias("total"))
 
 
-@query("dec13_arc_posteriors", v.with_views("SELECT utt, 1::DOUBLE AS total FROM full_paths GROUP BY utt", **ARC).replace("WITH", "WITH RECURSIVE", 1))
+@query("dec13_arc_posteriors", v.with_views("""SELECT arcs.utt, arcs.src, arcs.dst, arcs.word, round(coalesce(sum(share), 0), 5) + 0.0 AS posterior FROM arcs LEFT JOIN
+(SELECT utt, unnest(nodes[:-2]) AS src, unnest(nodes[2:]) AS dst, exp(total) / sum(exp(total)) OVER (PARTITION BY utt) AS share FROM walked JOIN ends USING (utt) WHERE node = z AND len(nodes) > 1) p ON p.utt = arcs.utt AND p.src = arcs.src AND p.dst = arcs.dst GROUP BY 1, 2, 3, 4""",
+    **ARC, walked="SELECT utt, a AS node, [a] AS nodes, 0.0::DOUBLE AS total FROM ends UNION ALL SELECT w.utt, dst, list_append(nodes, dst), w.total + arcs.total FROM walked w JOIN arcs ON w.utt = arcs.utt AND w.node = src").replace("WITH", "WITH RECURSIVE", 1))
 def _(spark, d):
-    # Over all arcs that pass any cut of the lattice the shares sum to one; the cut before the last node is the check.
-    arcs, first, last = lattice(spark, d)
-    whole = se.count_paths(arcs, first, last, depth=7).select("utt")
-    post = se.arc_posteriors(arcs.join(whole, "utt", "left_semi"))
-    return post.join(last.select("utt", F.col("node").alias("dst")), ["utt", "dst"]).groupBy("utt").agg(F.round(F.sum("posterior"), 4).alias("total")).where("total > 0")
+    return se.arc_posteriors(*lattice(spark, d)).withColumn("posterior", F.round("posterior", 5))
 
 
 @query("dec14_nbest_rank", v.with_views("SELECT utt, hyp, words, rank, (round(score, 4) + 0.0) AS score FROM (SELECT *, row_number() OVER (PARTITION BY utt ORDER BY score DESC, hyp) AS rank FROM (SELECT utt, words, min(hyp) AS hyp, arg_min(round(am + 20 * lm - 2 * len(string_split(words, ' ')), 6), hyp) AS score FROM hyp GROUP BY 1, 2)) WHERE rank <= 5",

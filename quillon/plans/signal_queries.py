@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import clustering as cl
@@ -11,9 +12,10 @@ from ..operators import hmm
 from ..operators import intervals as iv
 from ..operators import signal as sg
 from ..sources import stores
+from ..sources import vectors as ve
 from ..streaming import online as on
 from . import views as v
-from .gaussian_queries import OWN, label_models
+from .gaussian_queries import LP, OWN, label_models, models
 from .registry import Registry
 
 REGISTRY = Registry()
@@ -43,16 +45,100 @@ def _(spark, d):
     return f.select("stream_id", "t", F.round(F.col("vec")[12], 5).alias("energy"), F.col("vec")[13].cast("long").alias("crossings"))
 
 
-@query("sig11_cepstra")
+#: Sound of the suppliers, whose spectra DuckDB can work out by the definition.
+SOUND = {
+    "s": "SELECT s_suppkey AS stream_id, i, ((i * i * (s_suppkey % 13 + 7) + i * 31 + s_suppkey) % 2001) - 1000 AS x FROM (SELECT s_suppkey, unnest(range(0, 1312)) AS i FROM supplier)",
+    "centred": "SELECT stream_id, t, i - t * 160 AS k, x - avg(x) OVER (PARTITION BY stream_id, t) AS y FROM s, (SELECT unnest(range(0, 6)) AS t) WHERE i BETWEEN t * 160 AND t * 160 + 511",
+    "emphasised": "SELECT stream_id, t, k, y - 0.97 * coalesce(lag(y) OVER (PARTITION BY stream_id, t ORDER BY k), 0) AS y FROM centred",
+    "tapered": "SELECT stream_id, t, k, y * (0.54 - 0.46 * cos(2 * pi() * k / 511)) AS y FROM emphasised",
+    "wave": "SELECT k, b, cos(2 * pi() * k * b / 512) AS c, sin(2 * pi() * k * b / 512) AS s FROM (SELECT unnest(range(0, 512)) AS k), (SELECT unnest(range(0, 256)) AS b)",
+    "spectrum": "SELECT stream_id, t, b, sqrt(pow(sum(y * c), 2) + pow(sum(y * s), 2)) / 512 AS m FROM tapered JOIN wave USING (k) GROUP BY 1, 2, 3",
+    "scale": "SELECT 2595 * log10(1 + 94.0 / 700) AS low, (2595 * log10(1 + 6438.0 / 700) - 2595 * log10(1 + 94.0 / 700)) / 25 AS step",
+}
+
+
+def _bank(warp: float) -> dict[str, str]:
+    """The mel bank by its definition: an edge is the first bin at or above its place on the mel scale."""
+    return {
+        "edge": f"SELECT k, min(b) AS e FROM scale, (SELECT unnest(range(0, 26)) AS k), (SELECT unnest(range(0, 256)) AS b) WHERE 2595 * log10(1 + 8000.0 * b / 256 * {warp} / 700) >= step * k + low GROUP BY k",
+        "bank": "SELECT x.k AS a, b, CASE WHEN b < y.e THEN (b - x.e) / (y.e - x.e) ELSE (z.e - b) / (z.e - y.e) END AS w FROM edge x JOIN edge y ON y.k = x.k + 1 JOIN edge z ON z.k = x.k + 2, (SELECT unnest(range(0, 256)) AS b) WHERE b BETWEEN x.e AND z.e",
+        "mel": "SELECT stream_id, t, a, sum(m * w) AS m FROM spectrum JOIN bank USING (b) GROUP BY 1, 2, 3",
+    }
+
+
+def sound(spark, d):
+    i = F.col("stream_id")
+    return v.table(spark, d, "supplier").select(F.col("s_suppkey").alias("stream_id")).select("stream_id", F.transform(
+        F.expr("sequence(0L, 1311L)"), lambda k: ((k * k * (i % 13 + 7) + k * 31 + i) % 2001 - 1000).cast("int")).alias("pcm"))
+
+
+def _sums(rows, places):
+    """Two sums of each vector, the second weighted by place, so that a wrong order shows."""
+    plain = F.aggregate(F.transform("vec", F.abs), F.lit(0.0), lambda a, x: a + x)
+    weighted = F.aggregate(F.transform("vec", lambda x, k: x * k), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("stream_id", "t", F.round(plain, places).alias("total"), F.round(weighted, places).alias("weighted"))
+
+
+def _stage(table: str, places: int) -> str:
+    return v.with_views(f"SELECT stream_id, t, round(sum(abs(y)), {places}) + 0.0 AS total, round(sum(y * k), {places}) + 0.0 AS weighted FROM {table} GROUP BY 1, 2", **SOUND)
+
+
+@query("sig1_dc_offset", _stage("centred", 3))
+def _(spark, d):
+    return _sums(sg.per_window(sound(spark, d), sg.centred), 3)
+
+
+@query("sig2_pre_emphasis", _stage("emphasised", 3))
+def _(spark, d):
+    return _sums(sg.per_window(sound(spark, d), lambda x: sg.emphasised(sg.centred(x))), 3)
+
+
+@query("sig3_hamming_window", _stage("tapered", 3))
+def _(spark, d):
+    return _sums(sg.per_window(sound(spark, d), lambda x: sg.tapered(sg.emphasised(sg.centred(x)))), 3)
+
+
+@query("sig6_spectrum", v.with_views("SELECT stream_id, t, b, round(m, 5) + 0.0 AS m FROM spectrum", **SOUND))
+def _(spark, d):
+    f = sg.per_window(sound(spark, d), lambda x: sg.magnitudes(sg.tapered(sg.emphasised(sg.centred(x)))))
+    return f.select("stream_id", "t", F.posexplode("vec").alias("b", "m")).select("stream_id", "t", F.col("b").cast("long"), F.round("m", 5).alias("m"))
+
+
+@query("sig7_strong_bins", v.with_views("SELECT stream_id, t, count(*) AS strong FROM (SELECT *, max(m) OVER (PARTITION BY stream_id, t) AS top FROM spectrum) WHERE m > top / 2 GROUP BY 1, 2", **SOUND))
+def _(spark, d):
+    f = sg.extract(sound(spark, d), sg.FeatureOptions(zero_crossings=True))
+    return f.select("stream_id", "t", F.element_at("vec", -1).cast("long").alias("strong"))
+
+
+def _elements(f, places=5):
+    return f.select("stream_id", "t", F.posexplode("vec").alias("d", "x")).select("stream_id", "t", F.col("d").cast("long"), F.round("x", places).alias("x"))
+
+
+@query("sig8_mel_bank", v.with_views("SELECT stream_id, t, a AS d, round(m, 5) + 0.0 AS x FROM mel", **SOUND, **_bank(1.0)))
+def _(spark, d):
+    return _elements(sg.extract(sound(spark, d), sg.FeatureOptions(only_mel=True)))
+
+
+@query("sig9_tenth_root", v.with_views("SELECT stream_id, t, a AS d, round(pow(m, 0.1), 6) + 0.0 AS x FROM mel", **SOUND, **_bank(1.0)))
+def _(spark, d):
+    bank = sg.mel_matrix()
+    return _elements(sg.per_window(sound(spark, d), lambda x: sg.compressed(sg.magnitudes(sg.tapered(sg.emphasised(sg.centred(x)))) @ bank, True)), 6)
+
+
+@query("sig10_cepstra", v.with_views("SELECT stream_id, t, c - 1 AS d, round(sum(log10(1 + m) * cos(pi() * c / 24 * (a + 0.5))), 5) + 0.0 AS x FROM mel, (SELECT unnest(range(1, 13)) AS c) GROUP BY 1, 2, 3", **SOUND, **_bank(1.0)))
+def _(spark, d):
+    return _elements(sg.extract(sound(spark, d), sg.FeatureOptions(energy=False)))
+
+
+@query("sig13_warped_mel", v.with_views("SELECT stream_id, t, a AS d, round(m, 5) + 0.0 AS x FROM mel", **SOUND, **_bank(1.12)))
 def _(spark, d):
-    f = sg.extract(pcm(spark, d))
-    return f.select("stream_id", "t", F.posexplode("vec").alias("d", "x")).select("stream_id", "t", "d", F.round("x", 5).alias("x"))
+    return _elements(sg.extract(sound(spark, d), sg.FeatureOptions(warp=sg.warp_factor(8), only_mel=True)))
 
 
-@query("sig13_warped_mel")
+@query("sig16_first_frames", v.with_views("SELECT stream_id, avg(x) AS m0, round(avg(x), 5) + 0.0 AS mean, round(stddev_pop(x), 5) + 0.0 AS dev FROM (SELECT stream_id, t, log10(1 + sum(y * y)) AS x FROM tapered WHERE t < 4 GROUP BY 1, 2) GROUP BY 1", **SOUND).replace("avg(x) AS m0, ", ""))
 def _(spark, d):
-    f = sg.extract(pcm(spark, d), sg.FeatureOptions(warp=sg.warp_factor(8), only_mel=True))
-    return f.select("stream_id", "t", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    stats = sg.initial_statistics(sg.extract(sound(spark, d)), 4).where("d = 12")
+    return stats.select("stream_id", F.round("mean", 5).alias("mean"), F.round("dev", 5).alias("dev"))
 
 
 @query("sig15_deltas", v.with_views("""SELECT t, d, round(coalesce(y, first_value(y IGNORE NULLS) OVER (PARTITION BY d ORDER BY t ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), last_value(y IGNORE NULLS) OVER (PARTITION BY d ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)), 6) + 0.0 AS y
@@ -62,7 +148,10 @@ def _(spark, d):
     return f.select("t", F.posexplode(F.slice("vec", 65, 64)).alias("d", "y")).select("t", F.col("d").cast("long"), F.round("y", 6).alias("y"))
 
 
-@query("sig15_delta_deltas")
+SLOPE = "SELECT t, d, coalesce(y, first_value(y IGNORE NULLS) OVER (PARTITION BY d ORDER BY t ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), last_value(y IGNORE NULLS) OVER (PARTITION BY d ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) AS x FROM (SELECT t, d, ((lead(x, 1) OVER w - lag(x, 1) OVER w) + 2 * (lead(x, 2) OVER w - lag(x, 2) OVER w)) / 5 AS y FROM {} WINDOW w AS (PARTITION BY d ORDER BY t))"
+
+
+@query("sig15_delta_deltas", v.with_views("SELECT t, round(sum(x * x), 5) + 0.0 AS power FROM second GROUP BY t", "dims", first=SLOPE.format("dims"), second=SLOPE.format("first")))
 def _(spark, d):
     f = sg.deltas(sg.deltas(v.frames(spark, d).select(F.lit(0).alias("stream_id"), "t", "vec")), 64)
     return f.select("t", F.round(F.aggregate(F.slice("vec", 129, 64), F.lit(0.0), lambda a, x: a + x * x), 5).alias("power"))
@@ -73,59 +162,117 @@ def _scores(spark, d):
     return s.select(F.lit("0").alias("stream_id"), "t", F.col("model_id").alias("label"), "logp")
 
 
-@query("dec9_segment_decode")
+def _utt():
+    return F.format_string("u%d", F.floor(F.col("t") / 25)).alias("utt")
+
+
+#: Each frame's scores as a list over the labels; utterances of 25 frames.
+OBS = {"obs": "SELECT t // 25 AS u, t % 25 AS k, list(logp ORDER BY model_id) AS o FROM own GROUP BY t"}
+
+
+def _recursive(query_text: str, *names: str, **more: str) -> str:
+    return v.with_views(query_text, *names, **more).replace("WITH", "WITH RECURSIVE", 1)
+
+
+RING = {
+    "ob": "SELECT row_number() OVER (ORDER BY t) AS k, list(logp ORDER BY model_id) AS o FROM own GROUP BY t",
+    "ring": """SELECT k, o AS r0, list_transform(o, lambda x: -1e300::DOUBLE) AS r1, list_transform(o, lambda x: -1e300::DOUBLE) AS r2 FROM ob WHERE k = 1 UNION ALL
+SELECT ob.k, list_transform(range(1, len(o) + 1), lambda l: list_max(list_transform(range(1, len(o) + 1), lambda a: CASE WHEN a <> l THEN r2[a] ELSE -1e300 END)) - 5 + o[l]),
+list_transform(range(1, len(o) + 1), lambda l: r0[l] + o[l]), list_transform(range(1, len(o) + 1), lambda l: greatest(r1[l], r2[l]) + o[l]) FROM ring JOIN ob ON ob.k = ring.k + 1""",
+}
+
+
+@query("dec9_segment_decode", _recursive("SELECT round(greatest(list_max(r0), list_max(r1), list_max(r2)), 3) + 0.0 AS ll, true AS long_enough FROM ring WHERE k = (SELECT max(k) FROM ob)", "gmm", **OWN, **RING))
 def _(spark, d):
-    return hmm.decode_segments(_scores(spark, d), 3, -5.0)
+    """The score of the segmentation, worked out anew from its segments, is the best there is."""
+    s = _scores(spark, d)
+    segs = stores.materialised(hmm.decode_segments(s, 3, -5.0), "segments")
+    frames = segs.select("label", F.explode(F.sequence("first", "last")).alias("t")).join(s, ["t", "label"]).agg(F.sum("logp").alias("ll"))
+    end = segs.agg(F.max("last").alias("end"))
+    runs = segs.crossJoin(F.broadcast(end)).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("last") < F.col("end"), F.col("last") - F.col("first") + 1)).alias("least"))
+    return frames.crossJoin(runs).select(F.round(F.col("ll") - 5.0 * (F.col("n") - 1), 3).alias("ll"), (F.coalesce("least", F.lit(3)) >= 3).alias("long_enough"))
+
+
+def _phones(spark, d):
+    """The labels as five phones of two states."""
+    return _scores(spark, d).select(_utt(), "t", F.concat(F.lit("p"), F.floor(F.col("label") / 2)).alias("phone"), (F.col("label") % 2).alias("state"), "logp")
+
 
+def _aligned(spark, d):
+    s = _phones(spark, d)
+    words = s.select("utt").distinct().withColumn("phones", F.array(*[F.lit(p) for p in ("p0", "p2", "p4", "p1", "p3")]))
+    return s, hmm.forced_alignment(s, words, states=2)
 
-@query("dec6_forced_alignment")
+
+CHAIN = {
+    "ob": "SELECT u, k, list_transform([1, 2, 5, 6, 9, 10, 3, 4, 7, 8], lambda i: o[i]) AS o FROM obs",
+    "chain": "SELECT u, k, list_transform(range(1, 11), lambda i: CASE WHEN i = 1 THEN o[1] ELSE -1e300 END) AS f FROM ob WHERE k = 0 UNION ALL SELECT ob.u, ob.k, list_transform(range(1, 11), lambda i: greatest(f[i] - 0.1, CASE WHEN i > 1 THEN f[i - 1] - 2.0 ELSE -1e300 END) + o[i]) FROM chain JOIN ob ON ob.u = chain.u AND ob.k = chain.k + 1",
+}
+
+
+@query("dec6_forced_alignment", _recursive("SELECT 'u' || u AS utt, 10::BIGINT AS states, 25::BIGINT AS frames, round(f[10], 3) + 0.0 AS ll FROM chain WHERE k = 24", "gmm", **OWN, **OBS, **CHAIN))
 def _(spark, d):
-    s = _scores(spark, d).select(F.format_string("u%d", F.floor(F.col("t") / 25)).alias("utt"), "t", F.concat(F.lit("p"), F.floor(F.col("label") / 3)).alias("phone"), (F.col("label") % 3).alias("state"), "logp").where("phone <> 'p3'")
-    words = s.select("utt").distinct().withColumn("phones", F.array(F.lit("p0"), F.lit("p2"), F.lit("p1")))
-    return hmm.forced_alignment(s, words).withColumn("ll", F.round("ll", 4))
+    """The score of the alignment, worked out anew from its segments, is the best there is."""
+    s, path = _aligned(spark, d)
+    path = stores.materialised(path, "alignment")
+    heard = path.select("utt", "phone", "state", F.explode(F.sequence("first", "last")).alias("t")).join(s, ["utt", "t", "phone", "state"]).groupBy("utt").agg(F.sum("logp").alias("heard"), F.count(F.lit(1)).alias("frames"))
+    n = path.groupBy("utt").agg(F.count(F.lit(1)).alias("states"))
+    return heard.join(n, "utt").select("utt", "states", "frames", F.round(F.col("heard") - 0.1 * (F.col("frames") - F.col("states")) - 2.0 * (F.col("states") - 1), 3).alias("ll"))
 
 
 def _states(spark, d):
-    return _scores(spark, d).where("label < 4").select(F.format_string("u%d", F.floor(F.col("t") / 25)).alias("utt"), "t", F.col("label").alias("state"), "logp")
+    return _scores(spark, d).select(_utt(), "t", F.col("label").alias("state"), "logp")
 
 
-ERGODIC, FLAT = np.log(np.full((4, 4), 0.1) + np.eye(4) * 0.6), np.log(np.full(4, 0.25))
+ERGODIC, FLAT = np.log(np.full((10, 10), 0.04) + np.eye(10) * 0.6), np.log(np.full(10, 0.1))
+#: Sums over paths, forwards and backwards; a change costs 0.04 of the mass, staying leaves 0.64.
+BOTH_WAYS = {
+    "fw": "SELECT u, k, list_transform(o, lambda x: x + ln(0.1)) AS f FROM obs WHERE k = 0 UNION ALL SELECT obs.u, obs.k, list_transform(range(1, 11), lambda j: list_max(f) + ln(0.04 * list_sum(list_transform(f, lambda x: exp(x - list_max(f)))) + 0.6 * exp(f[j] - list_max(f))) + o[j]) FROM fw JOIN obs ON obs.u = fw.u AND obs.k = fw.k + 1",
+    "ends": "SELECT u, max(k) AS z FROM obs GROUP BY u",
+    "bw": "SELECT u, z AS k, list_transform(range(1, 11), lambda i: 0.0::DOUBLE) AS g FROM ends UNION ALL SELECT u, k, list_transform(range(1, 11), lambda j: list_max(h) + ln(0.04 * list_sum(list_transform(h, lambda x: exp(x - list_max(h)))) + 0.6 * exp(h[j] - list_max(h)))) FROM (SELECT bw.u, bw.k - 1 AS k, list_transform(range(1, 11), lambda j: g[j] + o[j]) AS h FROM bw JOIN obs ON obs.u = bw.u AND obs.k = bw.k WHERE bw.k > 0)",
+    "total": "SELECT u, list_max(f) + ln(list_sum(list_transform(f, lambda x: exp(x - list_max(f))))) AS total FROM fw JOIN ends USING (u) WHERE k = z",
+}
 
 
-@query("pdf16_baum_welch_shares", v.with_views("SELECT t, 1::DOUBLE AS total FROM frames", "frames"))
+@query("pdf16_baum_welch_shares", _recursive("SELECT u * 25 + k AS t, unnest(range(0, 10)) AS state, unnest(list_transform(range(1, 11), lambda j: round(exp(f[j] + g[j] - total), 5) + 0.0)) AS gamma FROM fw JOIN bw USING (u, k) JOIN total USING (u)", "gmm", **OWN, **OBS, **BOTH_WAYS))
 def _(spark, d):
-    return hmm.state_shares(_states(spark, d), ERGODIC, FLAT).groupBy("t").agg(F.round(F.sum("gamma"), 6).alias("total"))
+    return hmm.state_shares(_states(spark, d), ERGODIC, FLAT).select("t", "state", F.round("gamma", 5).alias("gamma"))
 
 
-@query("pdf17_viterbi_shares", v.with_views("SELECT t, 1::DOUBLE AS total FROM frames", "frames"))
+@query("pdf17_viterbi_shares", _recursive("SELECT 'u' || u AS utt, round(list_max(f), 3) + 0.0 AS ll FROM best JOIN (SELECT u, max(k) AS k FROM obs GROUP BY u) USING (u, k)", "gmm", **OWN, **OBS,
+    best="SELECT u, k, list_transform(o, lambda x: x + ln(0.1)) AS f FROM obs WHERE k = 0 UNION ALL SELECT obs.u, obs.k, list_transform(range(1, 11), lambda j: greatest(list_max(f) + ln(0.04), f[j] + ln(0.64)) + o[j]) FROM best JOIN obs ON obs.u = best.u AND obs.k = best.k + 1"))
 def _(spark, d):
-    return hmm.state_shares(_states(spark, d), ERGODIC, FLAT, best_path=True).groupBy("t").agg(F.sum("gamma").alias("total"))
+    """DEC-4, PDF-17: the score of the best path, worked out anew from its states."""
+    s = _states(spark, d)
+    path = hmm.state_shares(s, ERGODIC, FLAT, best_path=True).where("gamma = 1").select("utt", "t", "state")
+    before = F.lag("state").over(Window.partitionBy("utt").orderBy("t"))
+    move = F.when(before.isNull(), float(np.log(0.1))).when(before == F.col("state"), float(np.log(0.64))).otherwise(float(np.log(0.04)))
+    return path.withColumn("move", move).join(s, ["utt", "t", "state"]).groupBy("utt").agg(F.round(F.sum(F.col("move") + F.col("logp")), 3).alias("ll"))
 
 
-LEXICON = [("ab", ("p0", "p1")), ("a", ("p0",)), ("cb", ("p2", "p1")), ("c", ("p2",)), ("abc", ("p0", "p1", "p2"))]
+LEXICON = [("ab", ("p0", "p1")), ("a", ("p0",)), ("cb", ("p2", "p1")), ("c", ("p2",)), ("abc", ("p0", "p1", "p2")), ("de", ("p3", "p4"))]
 
 
 @query("dec3_token_passing")
 def _(spark, d):
     from ..operators import recognise as rc
 
-    s = _scores(spark, d).select(F.format_string("u%d", F.floor(F.col("t") / 25)).alias("utt"), "t", F.concat(F.lit("p"), F.floor(F.col("label") / 3)).alias("phone"), (F.col("label") % 3).alias("state"), "logp").where("phone <> 'p3'")
+    s = _phones(spark, d)
     lm = rc.Bigram({w: (-0.5 - 0.1 * i, -0.3) for i, (w, _) in enumerate(LEXICON)}, {("ab", "c"): -0.2, ("a", "cb"): -0.3})
-    return rc.recognise(s, LEXICON, lm).select("utt", "ord", "word", "first", "last", F.round("am", 4).alias("am"), F.round("lm", 4).alias("lm"))
+    return rc.recognise(s, LEXICON, lm, rc.Search(states=2)).select("utt", "ord", "word", "first", "last", F.round("am", 4).alias("am"), F.round("lm", 4).alias("lm"))
 
 
-@query("dec21_adapt_statistics")
+@query("dec21_adapt_statistics", v.with_views("SELECT 'p' || (label // 2) AS phone, label % 2 AS state, d, count(*) AS n, round(sum(x), 5) + 0.0 AS sx, round(sum(x * x), 5) + 0.0 AS sxx FROM dims GROUP BY 1, 2, 3", "dims"))
 def _(spark, d):
-    s = _scores(spark, d).select(F.lit("u").alias("utt"), "t", F.concat(F.lit("p"), F.floor(F.col("label") / 3)).alias("phone"), (F.col("label") % 3).alias("state"), "logp").where("phone <> 'p3'")
-    words = spark.createDataFrame([("u", ["p0", "p1", "p2"])], "utt string, phones array<string>")
-    frames = v.frames(spark, d).select(F.lit("u").alias("utt"), "t", "vec")
-    out = hmm.adapt_statistics(hmm.forced_alignment(s, words), frames)
-    return out.select("phone", "state", "d", "n", F.round("sx", 5).alias("sx"), F.round("sxx", 5).alias("sxx"))
+    """The frames' own runs are the alignment."""
+    path = v.runs(spark, d).select(F.lit("u").alias("utt"), F.concat(F.lit("p"), F.floor(F.col("label") / 2)).alias("phone"), (F.col("label") % 2).alias("state"), "first", "last")
+    out = hmm.adapt_statistics(path, v.frames(spark, d).select(F.lit("u").alias("utt"), "t", "vec"))
+    return out.select("phone", "state", F.col("d").cast("long"), "n", F.round("sx", 5).alias("sx"), F.round("sxx", 5).alias("sxx"))
 
 
 @query("pdf15_mllr_adaptation")
 def _(spark, d):
-    acc = g.as_vectors(g.fit(v.frames(spark, d).where("t % 2 = 0"), ["label"]), ["label"], ("w", "sx"))
+    acc = g.as_vectors(g.fit(v.frames(spark, d), ["label"]), ["label"], ("w", "sx"))
     base = label_models(spark, d).select(F.col("model_id").alias("comp_id"), F.col("model_id").alias("label"), "mean", "var")
     stats = base.join(acc.select("label", F.col("w")[0].alias("w"), "sx"), "label").withColumn("node", F.col("label") % 2 + 1).drop("label")
     out = hmm.adapt_tree(stats, {0: None, 1: 0, 2: 0})
@@ -177,9 +324,38 @@ def _(spark, d):
     return cl.pair_gains(g.accumulate(v.frames(spark, d), ["label"])).select("a", "b")
 
 
-@query("join7_models_by_frames", v.with_views("SELECT label, model_id, count(*) AS n FROM own GROUP BY 1, 2", "gmm", **OWN))
+@query("join7_models_by_frames", v.with_views("SELECT t, label, comp AS comp_id, round(lp, 5) + 0.0 AS lp FROM lp", "gmm", **LP))
+def _(spark, d):
+    return g.component_scores(v.frames(spark, d), models(spark, d)).select("t", "label", "comp_id", F.round("lp", 5).alias("lp"))
+
+
+@query("trn2_train_one_model", v.with_views("SELECT 0::BIGINT AS comp_id, 1::DOUBLE AS weight, d, round(avg(x), 5) + 0.0 AS mean, round(greatest(var_pop(x), 0.01), 5) + 0.0 AS var FROM dims GROUP BY d", "dims"))
+def _(spark, d):
+    """A model of one component, where training has nothing to split."""
+    m = cl.train_mixture(v.frames(spark, d), ["t"], 1)
+    return m.select("comp_id", "weight", F.posexplode(F.arrays_zip("mean", "var")).alias("d", "p")).select("comp_id", "weight", F.col("d").cast("long"), F.round("p.mean", 5).alias("mean"), F.round("p.var", 5).alias("var"))
+
+
+@query("dia6_cluster_store", v.with_views("SELECT label AS cluster, d, count(*) AS frames, round(avg(x), 5) + 0.0 AS mean, round(greatest(var_pop(x), 0.01), 5) + 0.0 AS var FROM dims GROUP BY 1, 2", "dims"))
 def _(spark, d):
-    return g.component_scores(v.frames(spark, d), label_models(spark, d)).groupBy("label", "model_id").agg(F.count(F.lit(1)).alias("n"))
+    path = stores.scratch(spark, "clusters")
+    cl.save_clusters(v.frames(spark, d), path)
+    back = cl.load_clusters(spark, path)
+    return back.select(F.col("model_id").alias("cluster"), "frames", F.posexplode(F.arrays_zip("mean", "var")).alias("d", "p")).select(
+        "cluster", F.col("d").cast("long"), "frames", F.round("p.mean", 5).alias("mean"), F.round("p.var", 5).alias("var"))
+
+
+@query("src17_training_records", v.with_views("SELECT label, last - first + 1 AS length, count(*) AS n FROM runs GROUP BY 1, 2", "runs"))
+def _(spark, d):
+    """A training folder with a part for each label, of which one label after the other is scanned."""
+    path = stores.scratch(spark, "records")
+    v.runs(spark, d).write.partitionBy("label").parquet(path)
+    labels = [r.label for r in v.frames(spark, d).select("label").distinct().orderBy("label").collect()]
+    out = None
+    for x in labels:
+        part = spark.read.parquet(path).where(F.col("label") == x).select(F.col("label").cast("long"), iv.length().alias("length"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("label", "length").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("dia4_cluster_merging")
@@ -245,7 +421,27 @@ def _(spark, d):
     return on.tumbling_means(_events(spark, d), "1 day").withColumn("mean", F.round(F.col("mean") + 1e-9, 5))
 
 
-@query("str_watermarked_stream")
+@query("str_sliding_windows", 'SELECT user_id AS stream_id, b AS "begin", count(*) AS frames, (round(avg(value) + 1e-9, 5) + 0.0) AS mean FROM (SELECT user_id, value, unnest([time_bucket(INTERVAL 12 HOUR, ts), time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR]) AS b FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL) GROUP BY 1, 2')
+def _(spark, d):
+    return on.tumbling_means(_events(spark, d), "1 day", slide="12 hours").withColumn("mean", F.round(F.col("mean") + 1e-9, 5))
+
+
+@query("str_partial_results", v.with_views('SELECT t AS "at", n AS frames, arg_max(model_id, s) AS label, round(max(s), 3) + 0.0 AS ll FROM (SELECT model_id, t, row_number() OVER (PARTITION BY model_id ORDER BY t) AS n, sum(logp) OVER (PARTITION BY model_id ORDER BY t) AS s FROM own) WHERE n % 10 = 0 GROUP BY t, n', "gmm", **OWN))
+def _(spark, d):
+    s = stores.materialised(_scores(spark, d), "scores").coalesce(1)
+    return _run(on.partial_results(_stream_of(spark, s, "score-stream"))).select("at", "frames", "label", F.round("ll", 3).alias("ll"))
+
+
+@query("src16_audio_stream", v.with_views("SELECT stream_id::VARCHAR AS stream_id, t, count(*) AS n, sum(x)::BIGINT AS total FROM s, (SELECT unnest(range(0, 6)) AS t) WHERE i BETWEEN t * 160 AND t * 160 + 511 GROUP BY 1, 2", s=SOUND["s"]))
+def _(spark, d):
+    """Bodies of sound files come in as a stream, are decoded and cut into windows."""
+    byte = lambda x: F.lpad(F.hex(x), 2, "0")
+    body = F.unhex(F.array_join(F.transform("pcm", lambda x: F.concat(byte(F.pmod(x, F.lit(256))), byte(F.floor(F.pmod(x, F.lit(65536)) / 256)))), ""))
+    w = _run(sg.windows(ve.decode_pcm(_stream_of(spark, sound(spark, d).select("stream_id", body.alias("content")), "sound"))))
+    return w.select("stream_id", "t", F.size("samples").cast("long").alias("n"), F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("str_watermarked_stream", 'SELECT user_id AS stream_id, b AS "begin", count(*) AS frames, (round(avg(value) + 1e-9, 5) + 0.0) AS mean FROM (SELECT user_id, value, time_bucket(INTERVAL 1 DAY, ts) AS b, max(ts) OVER () AS latest FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL) WHERE b + INTERVAL 1 DAY <= latest - INTERVAL 1 DAY GROUP BY 1, 2')
 def _(spark, d):
     rows = _events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
     return _run(on.tumbling_means(_stream_of(spark, rows, "events"), "1 day", late="1 day")).withColumn("mean", F.round(F.col("mean") + 1e-9, 5))

@@ -12,8 +12,9 @@ from ..sources import segments as se
 from ..sources import stores
 from ..sources import vectors as ve
 from . import views as v
-from .gaussian_queries import label_models
-from .language_queries import lexicon, model
+from ..operators.search import build_trie
+from .gaussian_queries import OWN, label_models
+from .language_queries import LM, PRE, lexicon, model
 from .registry import Registry
 from .search_queries import ARC, lattice
 
@@ -78,7 +79,7 @@ def _(spark, d):
     return rows.select("t", F.posexplode("vec").alias("d", "x")).select("t", F.col("d").cast("long"), F.round("x", 5).alias("x"))
 
 
-@query("snk9_posterior_lines")
+@query("snk9_posterior_lines", v.with_views("SELECT string_agg(printf('%.6f', p / total), ' ' ORDER BY model_id) AS value FROM (SELECT *, sum(p) OVER (PARTITION BY t) AS total FROM (SELECT t, model_id, exp((logp - max(logp) OVER (PARTITION BY t)) / 30) AS p FROM own)) GROUP BY t", "gmm", **OWN))
 def _(spark, d):
     path = stores.scratch(spark, "posteriors")
     s = g.mixture_scores(v.frames(spark, d), label_models(spark, d), ["t"])
@@ -94,7 +95,7 @@ def _arpa(spark, d):
             .unionByName(m.tri.select(F.lit(3).alias("n"), "w1", "w2", "w3", "p", F.lit(0.0).alias("bo"))))
 
 
-@query("src6_arpa_round_trip")
+@query("src6_arpa_round_trip", v.with_views("SELECT 1 AS n, count(*) AS rows, round(sum(round(p, 6)), 1) + 0.0 AS total, round(sum(bo), 1) + 0.0 AS backoff FROM u UNION ALL SELECT 2, count(*), round(sum(round(p, 6)), 1) + 0.0, round(sum(bo), 1) + 0.0 FROM b UNION ALL SELECT 3, count(*), round(sum(round(p, 6)), 1) + 0.0, 0.0 FROM t", "words", **LM))
 def _(spark, d):
     path = stores.scratch(spark, "arpa")
     la.write_arpa(_arpa(spark, d), path)
@@ -130,24 +131,45 @@ def _(spark, d):
     return la.read_alignment(spark, path).groupBy("utt", "l", "m", "r").agg(F.count(F.lit(1)).alias("n"), F.sum("b1").alias("b1"), F.sum("e3").alias("e3"))
 
 
-@query("src10_model_store", v.with_views("SELECT label AS model_id, count(*) AS dims FROM gmm GROUP BY label", "gmm"))
+@query("src10_model_store", v.with_views("SELECT label AS model_id, d, round(mean, 6) + 0.0 AS mean, round(var, 6) + 0.0 AS var FROM gmm", "gmm"))
 def _(spark, d):
-    return stores.round_trip(label_models(spark, d)).select("model_id", F.size("mean").cast("long").alias("dims"))
+    m = stores.round_trip(label_models(spark, d)).select("model_id", F.posexplode(F.arrays_zip("mean", "var")).alias("d", "p"))
+    return m.select("model_id", F.col("d").cast("long"), F.round("p.mean", 6).alias("mean"), F.round("p.var", 6).alias("var"))
 
 
-@query("src11_ngram_store")
+@query("snk10_tree_writer", v.with_views("SELECT n::INT AS depth, nxt AS following, right(prefix, 1) AS phone, count(*) AS nodes FROM (SELECT DISTINCT n, prefix, nxt, CASE WHEN n = len(word) THEN word END AS w FROM pre) GROUP BY 1, 2, 3", "words", **PRE))
 def _(spark, d):
-    return stores.round_trip(_arpa(spark, d), "ngram").groupBy("n").agg(F.count(F.lit(1)).alias("rows"))
+    nodes = build_trie(lexicon(spark, d)).select(F.col("node").alias("node_id"), F.col("parent").alias("parent_id"), "phone", "depth", "word_id", "next")
+    return stores.round_trip(nodes, "trie").groupBy("depth", F.col("next").alias("following"), "phone").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-@query("src12_lattice_round_trip", v.with_views("SELECT utt::VARCHAR AS utt, count(*) AS arcs, min(src) AS first, max(dst) AS last FROM arcs GROUP BY utt", **ARC).replace("WITH", "WITH RECURSIVE", 1))
+@query("src11_ngram_store", v.with_views("SELECT n, count(*) AS rows, count(DISTINCT w1) AS firsts, round(sum(p), 2) + 0.0 AS total FROM (SELECT 1 AS n, w1, p FROM u UNION ALL SELECT 2, w1, p FROM b UNION ALL SELECT 3, w1, p FROM t) GROUP BY n", "words", **LM))
+def _(spark, d):
+    return stores.round_trip(_arpa(spark, d), "ngram").groupBy("n").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("w1").alias("firsts"), F.round(F.sum("p"), 2).alias("total"))
+
+
+@query("src12_lattice_round_trip", v.with_views("SELECT utt::VARCHAR AS utt, src, dst, word, round(am, 4) + 0.0 AS am, round(lm, 4) + 0.0 AS lm, a AS first, z AS last FROM arcs JOIN ends USING (utt)", **ARC).replace("WITH", "WITH RECURSIVE", 1))
 def _(spark, d):
     arcs, first, last = lattice(spark, d)
     ends = first.withColumnRenamed("node", "first").join(last.withColumnRenamed("node", "last"), "utt")
     path = stores.scratch(spark, "lattices")
     la.lattice_lines(arcs, ends).repartition("utt").sortWithinPartitions("utt", "sec", "a", "b").select("value").write.text(path)
-    back, _ = la.read_lattices(spark, path)
-    return back.groupBy("utt").agg(F.count(F.lit(1)).alias("arcs"), F.min("src").alias("first"), F.max("dst").alias("last"))
+    back, limits = la.read_lattices(spark, path)
+    return back.join(limits, "utt").select("utt", "src", "dst", "word", F.round("am", 4).alias("am"), F.round("lm", 4).alias("lm"), "first", "last")
+
+
+@query("snk5_lattice_lines", v.with_views("SELECT utt, printf('%d %d %s %.6f %.6f', src, dst, word, am, lm) AS value FROM arcs UNION ALL SELECT utt, unnest(['name ' || utt, 'nodes ' || (n + 1), 'initial ' || a, 'final ' || z, 'transitions']) FROM ends JOIN (SELECT utt, count(DISTINCT dst) AS n FROM arcs GROUP BY utt) USING (utt)", **ARC).replace("WITH", "WITH RECURSIVE", 1))
+def _(spark, d):
+    arcs, first, last = lattice(spark, d)
+    return la.lattice_lines(arcs, first.withColumnRenamed("node", "first").join(last.withColumnRenamed("node", "last"), "utt")).select("utt", "value")
+
+
+@query("snk4_alignment_lines", "SELECT l_orderkey AS utt, printf('#Phone# %s %s %s |%d|%d|%d|%d|%d|%d|', l_returnflag, l_linestatus, l_returnflag, l_linenumber, l_linenumber, l_linenumber + 1, l_linenumber + 1, l_linenumber + 2, l_linenumber + 2) AS value FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, printf('## %d ##', l_orderkey) FROM lineitem")
+def _(spark, d):
+    b = F.col("l_linenumber")
+    rows = v.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("utt"), F.col("l_returnflag").alias("l"), F.col("l_linestatus").alias("m"), F.col("l_returnflag").alias("r"),
+                                                b.alias("b1"), b.alias("e1"), (b + 1).alias("b2"), (b + 1).alias("e2"), (b + 2).alias("b3"), (b + 2).alias("e3"))
+    return la.alignment_lines(rows).select("utt", "value")
 
 
 @query("src13_trial_list", "SELECT c_custkey::VARCHAR AS spk, 'f' AS gender, n_name AS audio_label, '1' AS channel, 'a' AS audio, 's' AS segments FROM customer JOIN (SELECT n_nationkey, replace(n_name, ' ', '_') AS n_name FROM nation) ON c_nationkey = n_nationkey")
@@ -165,7 +187,7 @@ def _(spark, d):
     return la.read_file_list(spark, path)
 
 
-@query("src15_options")
+@query("src15_options", "SELECT 150::DOUBLE AS beam, true AS compat, true AS has_template")
 def _(spark, d):
     o = config.load(["--beam", "150", "--compat"])
     return spark.createDataFrame([(o.beam, o.compat, len(config.template()) > 0)], "beam double, compat boolean, has_template boolean")

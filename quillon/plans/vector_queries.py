@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vec
-from ..operators.numbering import dense_index
+from ..sources.numbering import dense_index
 from . import views as v
 from .registry import Registry
 
@@ -111,6 +111,13 @@ def _(spark, d):
     return tx.decode(ids, vocab)
 
 
+@query("join6_vocabulary_encode", v.with_views("SELECT word_id, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations) JOIN vocab USING (word) GROUP BY 1", "words", **VOCAB))
+def _(spark, d):
+    """The conversations' words in the documents' vocabulary; words that it lacks go."""
+    said = v.table(spark, d, "conversations").select(F.explode(F.array_remove(F.split(F.lower("text"), "[^a-z]+"), "")).alias("word"))
+    return tx.encode(said, vocabulary(spark, d), keep_unknown=False).groupBy("word_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("math3_true_modulo", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, ((l_linenumber - l_orderkey) % 7 + 7) % 7 AS m FROM lineitem")
 def _(spark, d):
     li = v.table(spark, d, "lineitem")

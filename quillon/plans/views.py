@@ -94,5 +94,6 @@ def with_views(query: str, *names: str, **more: str) -> str:
         for x in [*_NEEDS.get(n, []), n]:
             if x not in order:
                 order.append(x)
-    parts = [f"{n} AS ({SQL[n]})" for n in order] + [f"{n} AS ({q})" for n, q in more.items()]
+    # Materialised, so that a table that is used more than once is made once.
+    parts = [f"{n} AS MATERIALIZED ({SQL[n]})" for n in order] + [f"{n} AS MATERIALIZED ({q})" for n, q in more.items()]
     return f"WITH {', '.join(parts)} {query}"
