@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .wordbpe import default_tokenizer, encoder
+from .workers import lean
 
 CAPACITY = 2048
 
@@ -34,7 +35,7 @@ class SquaresPacker:
     A sequence is a list of pieces (key, start, ids as bytes, document's token count).
     """
 
-    def __init__(self, capacity: int = CAPACITY, max_open: int = 4096):
+    def __init__(self, capacity: int = CAPACITY, max_open: int = 2048):
         self.capacity, self.max_open = capacity, max_open
         self.count = np.zeros(capacity + 1, dtype=np.int64)
         self.at: list[list[list]] = [[] for _ in range(capacity + 1)]
@@ -148,7 +149,7 @@ def _schema(id_type: T.DataType, with_ids: bool) -> T.StructType:
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, *, capacity: int = CAPACITY, end_id: int = 1,
-         id_col: str = "doc_id", text_col: str = "text", max_open: int = 4096, with_ids: bool = True) -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", max_open: int = 2048, with_ids: bool = True) -> DataFrame:
     """Packs the documents; one row for each piece, with its token ids unless ``with_ids`` is off.
 
     ``sequence_id`` is the task's number times 2**32 plus a running number, so it is unique and has gaps.
@@ -193,4 +194,4 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, *, capacity: int =
             yield batch()
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, _schema(src.schema[0].dataType, with_ids))
+    return src.mapInArrow(lean(run, "encoder"), _schema(src.schema[0].dataType, with_ids))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workers import claim
+from .workers import claim, lean
 
 MARK = "▁"
 
@@ -124,4 +124,4 @@ def token_counts(docs: DataFrame, model_file: str | None = None, *, id_col: str
             total = [sum(map(table.__getitem__, w)) for w in words]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array([len(w) for w in words], dtype=np.int64)), pa.array(total, type=pa.int64())], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run, "trie"), schema)

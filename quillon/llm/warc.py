@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import shuffle_parts, work_path, written
+from .workers import lean
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -131,7 +132,7 @@ def write_archives(pages: DataFrame, path: str | None = None, *, id_col: str = "
         T.StructField("file", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()),
         T.StructField("page_id", kind), T.StructField("url", T.StringType()), T.StructField("payload_digest", T.StringType()),
         T.StructField("record_type", T.StringType())])
-    return written(rows.mapInArrow(run, schema), "warc-index")
+    return written(rows.mapInArrow(lean(run), schema), "warc-index")
 
 
 def ranges(rows: list[tuple[str, int, int]], gap: int, most: int) -> list[tuple[str, int, int, int, int]]:
@@ -191,7 +192,7 @@ def read_records(index: DataFrame, *, gap: int = 64 << 10, most: int = 8 << 20,
     schema = T.StructType([
         T.StructField("page_id", ids), T.StructField("url", T.StringType()), T.StructField("payload_bytes", T.LongType()),
         T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", ids)])
-    return cut.mapInArrow(run, schema.add("payload", T.BinaryType()) if payload else schema)
+    return cut.mapInArrow(lean(run), schema.add("payload", T.BinaryType()) if payload else schema)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:

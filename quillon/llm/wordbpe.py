@@ -21,7 +21,7 @@ class ChunkEncoder:
     ``max_chars`` are never remembered.
     """
 
-    def __init__(self, path: str, max_entries: int = 450_000, max_chars: int = 40):
+    def __init__(self, path: str, max_entries: int = 240_000, max_chars: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
