@@ -88,7 +88,12 @@ def _(spark, d):
     return iv.widen(v.segments_user(spark, d), 1, 12, only=3)
 
 
-@query("win3_absorb_short")
+FILLED = {"two": "SELECT stream_id, first, last, CASE WHEN label = 3 THEN 2 ELSE label END AS label FROM segments_user",
+          "filled": "SELECT * FROM two UNION ALL SELECT stream_id, last + 1, n - 1, 9 FROM (SELECT *, lead(first) OVER (PARTITION BY stream_id ORDER BY first) AS n FROM two) WHERE n > last + 1",
+          "seam": "SELECT *, label = 9 AND lag(label) OVER w = 2 AND lag(last - first + 1) OVER w > 4 AND lead(label) OVER w = 2 AND lead(last - first + 1) OVER w > 4 AS gone FROM filled WINDOW w AS (PARTITION BY stream_id ORDER BY first, last)"}
+
+
+@query("win3_absorb_short", v.with_views("SELECT stream_id::VARCHAR AS stream_id, min(first) AS first, max(last) AS last, arg_min(label, first) AS label FROM (SELECT *, sum(new) OVER (PARTITION BY stream_id ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS part FROM (SELECT *, CASE WHEN coalesce(gone, false) OR coalesce(lag(gone) OVER (PARTITION BY stream_id ORDER BY first, last), false) THEN 0 ELSE 1 END AS new FROM seam)) GROUP BY stream_id, part", "segments_user", **FILLED))
 def _(spark, d):
     return iv.absorb_short(iv.fill_gaps(iv.merge_labels(v.segments_user(spark, d), 2, 3), 9), 2, 9, 4)
 
@@ -112,13 +117,23 @@ def _(spark, d):
     return iv.resolve_overlap(v.segments_user(spark, d), 4)
 
 
-@query("win7_mask_to_segments")
+MASK = {"mask": "SELECT t, x > 0 AS on_ FROM dims WHERE d = 0",
+        "island": "SELECT on_, min(t) AS a, max(t) AS b, count(*) AS n FROM (SELECT *, row_number() OVER (ORDER BY t) - row_number() OVER (PARTITION BY on_ ORDER BY t) AS g FROM mask) GROUP BY on_, g",
+        "held": "SELECT a, b, on_ OR (n < 3 AND a > (SELECT min(t) FROM mask) AND b < (SELECT max(t) FROM mask)) AS on_ FROM island"}
+
+
+@query("win7_mask_to_segments", v.with_views("SELECT '0' AS stream_id, min(a) AS first, max(b) AS last, any_value(CASE WHEN on_ THEN 2 ELSE 1 END)::BIGINT AS label FROM (SELECT *, row_number() OVER (ORDER BY a) - row_number() OVER (PARTITION BY on_ ORDER BY a) AS g FROM held) GROUP BY on_, g", "dims", **MASK))
 def _(spark, d):
     mask = v.dims(spark, d).where("d = 0").select(F.lit(0).alias("stream_id"), "t", (F.col("x") > 0).alias("on"))
     return iv.mask_to_segments(mask, hold=3)
 
 
-@query("win8_drop_low_energy")
+LOUD = {"fr": "SELECT stream_id, first, last, label, unnest(range(first, last + 1)) AS t FROM segments_user",
+        "loud": "SELECT stream_id, first, last, label, min(t) AS a, max(t) AS b FROM (SELECT *, t - row_number() OVER (PARTITION BY stream_id, first ORDER BY t) AS g FROM fr WHERE (t * 37 + stream_id * 11) % 101 > 30) GROUP BY stream_id, first, last, label, g",
+        "part": "SELECT stream_id, label, last > first AS long_, CASE WHEN a = first THEN a ELSE a - 1 END AS s, CASE WHEN lead(a) OVER (PARTITION BY stream_id, first ORDER BY a) IS NOT NULL THEN b + 2 WHEN b < last THEN b + 1 ELSE b END AS e FROM loud"}
+
+
+@query("win8_drop_low_energy", v.with_views("SELECT stream_id::VARCHAR AS stream_id, s AS first, e AS last, label FROM part WHERE e - s > 3 AND long_", "segments_user", **LOUD))
 def _(spark, d):
     e = iv.expand(v.segments_user(spark, d)).select("stream_id", "t", F.pmod(F.col("t") * 37 + F.col("stream_id") * 11, F.lit(101)).cast("double").alias("energy"))
     return iv.drop_low_energy(v.segments_user(spark, d), e, 30.0, min_silence=0, min_speech=3, pad=1)

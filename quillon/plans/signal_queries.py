@@ -401,12 +401,21 @@ def _energy_stream(spark, d):
     return v.energy(spark, d).select("stream_id", "t", (F.col("energy") - 20.0).alias("energy"))
 
 
-@query("str_online_segments")
+#: Frames of a stream up to the fourth silent one in a row that ends an utterance.
+LISTEN = {"en": "SELECT stream_id, t, energy - 20 AS e FROM energy",
+          "runs4": "SELECT *, sum(CASE WHEN e < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id, r ORDER BY t) AS k FROM (SELECT *, sum(CASE WHEN e >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY t) AS r FROM en)",
+          "marked": "SELECT *, e < 0 AND k = 4 AS stop FROM runs4",
+          "grouped": "SELECT *, coalesce(sum(CASE WHEN stop THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM marked",
+          "begun": "SELECT *, min(CASE WHEN e > 0 THEN t END) OVER (PARTITION BY stream_id, g) AS b FROM grouped"}
+UTTERANCES = v.with_views("SELECT stream_id::VARCHAR AS stream_id, any_value(b) AS first, max(t) AS last, count(*) FILTER (e >= 0 AND t >= b) AS frames, round(avg(e) FILTER (e >= 0 AND t >= b), 5) + 0.0 AS mean FROM begun GROUP BY stream_id, g HAVING bool_or(stop) AND any_value(b) IS NOT NULL", "energy", **LISTEN)
+
+
+@query("str_online_segments", UTTERANCES)
 def _(spark, d):
     return _run(on.online_segments(_stream_of(spark, _energy_stream(spark, d), "energy"), 3)).select("stream_id", "first", "last", "frames", F.round("mean", 5).alias("mean"))
 
 
-@query("str_batch_segments")
+@query("str_batch_segments", UTTERANCES)
 def _(spark, d):
     return on.batch_segments(_energy_stream(spark, d), 3).select("stream_id", "first", "last", "frames", F.round("mean", 5).alias("mean"))
 
