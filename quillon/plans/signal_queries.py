@@ -253,13 +253,25 @@ def _(spark, d):
 LEXICON = [("ab", ("p0", "p1")), ("a", ("p0",)), ("cb", ("p2", "p1")), ("c", ("p2",)), ("abc", ("p0", "p1", "p2")), ("de", ("p3", "p4"))]
 
 
-@query("dec3_token_passing")
+#: The decoder's search without a tree and without beams: the best score at each place of each word after each word before it.
+DECODER = {
+    "word": "SELECT * FROM (VALUES " + ", ".join(f"('{w}', {-0.5 - 0.1 * i}, {[2 * int(p[1]) + s + 1 for p in ph for s in (0, 1)]})" for i, (w, ph) in enumerate(LEXICON)) + ") x(w, p, places)",
+    "gain": "SELECT h, w, 27.5 * ln(10) * CASE WHEN h = 'ab' AND w = 'c' THEN -0.2 WHEN h = 'a' AND w = 'cb' THEN -0.3 WHEN h = '<s>' THEN p ELSE p - 0.3 END AS gain FROM word, (SELECT w AS h FROM word UNION ALL SELECT '<s>')",
+    "held": """SELECT u, 0::BIGINT AS k, w, 1::BIGINT AS i, '<s>' AS h, o[places[1]] AS s FROM obs, word WHERE k = 0 UNION ALL
+SELECT u, k, c.w, c.i, c.h, max(c.s) + any_value(o[places[c.i]]) AS s FROM (SELECT u, k + 1 AS k, unnest(nxt).w AS w, unnest(nxt).i AS i, unnest(nxt).h AS h, unnest(nxt).s AS s FROM
+(SELECT u, k, CASE WHEN i < len(places) THEN [{'w': w, 'i': i, 'h': h, 's': s - 0.2}, {'w': w, 'i': i + 1, 'h': h, 's': s - 1.7}] ELSE list_prepend({'w': w, 'i': i, 'h': h, 's': s - 0.2}, list_transform(every, lambda v: {'w': v, 'i': 1::BIGINT, 'h': w, 's': s - 1.7 + gain})) END AS nxt
+FROM held JOIN word USING (w) JOIN gain USING (h, w), (SELECT list(w) AS every FROM word))) c JOIN obs USING (u, k) JOIN word ON word.w = c.w GROUP BY u, k, c.w, c.i, c.h""",
+}
+
+
+@query("dec3_token_passing", _recursive("SELECT 'u' || u AS utt, round(max(s - 1.7 + gain), 3) + 0.0 AS ll FROM held JOIN word USING (w) JOIN gain USING (h, w) JOIN (SELECT u, max(k) AS k FROM obs GROUP BY u) USING (u, k) WHERE i = len(places) GROUP BY u", "gmm", **OWN, **OBS, **DECODER))
 def _(spark, d):
+    """The score of the recognised words, with beams wide enough to keep the best."""
     from ..operators import recognise as rc
 
-    s = _phones(spark, d)
     lm = rc.Bigram({w: (-0.5 - 0.1 * i, -0.3) for i, (w, _) in enumerate(LEXICON)}, {("ab", "c"): -0.2, ("a", "cb"): -0.3})
-    return rc.recognise(s, LEXICON, lm, rc.Search(states=2)).select("utt", "ord", "word", "first", "last", F.round("am", 4).alias("am"), F.round("lm", 4).alias("lm"))
+    words = rc.recognise(_phones(spark, d), LEXICON, lm, rc.Search(states=2, beam=1e6, state_beam=1e6, end_beam=1e6))
+    return words.groupBy("utt").agg(F.round(F.sum(F.col("am") + F.col("lm")), 3).alias("ll"))
 
 
 @query("dec21_adapt_statistics", v.with_views("SELECT 'p' || (label // 2) AS phone, label % 2 AS state, d, count(*) AS n, round(sum(x), 5) + 0.0 AS sx, round(sum(x * x), 5) + 0.0 AS sxx FROM dims GROUP BY 1, 2, 3", "dims"))
