@@ -241,9 +241,9 @@ def stream_scores(frames: DataFrame, models: DataFrame, keys: list[str], streams
 
 
 def cosine(base: Column, a: Column, b: Column) -> Column:
-    """PDF-6: cosine between the offsets of two means from a base mean."""
+    """PDF-6: cosine between the offsets of two means from a base mean; null if one is the base."""
     x, y = vec.subtract(base, a), vec.subtract(base, b)
-    return vec.dot(x, y) / (F.sqrt(vec.dot(x, x)) * F.sqrt(vec.dot(y, y)))
+    return F.try_divide(vec.dot(x, y), F.sqrt(vec.dot(x, x)) * F.sqrt(vec.dot(y, y)))
 
 
 def scaled_distance(a: Column, b: Column, var: Column) -> Column:
@@ -390,8 +390,9 @@ def llr(scores: DataFrame, keys: list[str], ubm) -> DataFrame:
 
 
 def standardise(scores: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
-    """SPK-2: scores less the mean over the deviation of ``stats`` (keys, mean, dev)."""
-    return scores.join(stats, keys).withColumn("score", (F.col("score") - F.col("mean")) / F.col("dev")).drop("mean", "dev")
+    """SPK-2: scores less the mean over the deviation of ``stats`` (keys, mean, dev); 0 where there is no deviation, as all scores are the mean."""
+    z = F.when(F.col("dev") > 0, (F.col("score") - F.col("mean")) / F.col("dev")).otherwise(0.0)
+    return scores.join(stats, keys).withColumn("score", z).drop("mean", "dev")
 
 
 def score_stats(scores: DataFrame, keys: list[str]) -> DataFrame:
