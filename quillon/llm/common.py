@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Temporary folders of single-machine sessions, by application.
+_LOCAL: dict[str, str] = {}
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: ASCII letters, the only ones the text contracts fold.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors can reach.
+    """Folder that the driver and all executors can reach: ``spark.checkpoint.dir``.
 
-    It is ``spark.checkpoint.dir``; a folder of our own is set only where the session has none,
-    which is the case for a single machine.
+    Where the session names none, a temporary folder serves, but on a single machine only; a cluster without a shared
+    folder is an error, as other executors would not see what one has written.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master or 'a cluster'}")
+    key = spark.sparkContext.applicationId
+    if key not in _LOCAL:
+        _LOCAL[key] = "file://" + tempfile.mkdtemp(prefix="quillon-")
+    return _LOCAL[key]
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -32,12 +40,54 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: lineage ends here."""
-    path = work_path(df.sparkSession, name)
+class settings:
+    """Sets session settings for a block and puts the old ones back."""
+
+    def __init__(self, spark: SparkSession, values: dict[str, str]):
+        self.spark, self.values = spark, values
+
+    def __enter__(self) -> None:
+        self.old = {k: self.spark.conf.get(k, None) for k in self.values}
+        for k, v in self.values.items():
+            self.spark.conf.set(k, v)
+
+    def __exit__(self, *_) -> None:
+        for k, v in self.old.items():
+            if v is None:
+                self.spark.conf.unset(k)
+            else:
+                self.spark.conf.set(k, v)
+
+
+def written(df: DataFrame, name: str, *used: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: lineage ends here.
+
+    Shuffle files of the write go when it is over. ``used`` are written tables that nothing reads after this one; they are deleted.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    with settings(spark, {CLEANUP: "true"}):
+        df.write.parquet(path)
+    discard(*used)
+    out = spark.read.schema(schema).parquet(path)
+    out._quillon_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` returned; others are left alone."""
+    for t in tables:
+        path = t.__dict__.pop("_quillon_path", None)
+        if path:
+            delete_path(t.sparkSession, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system, whatever store it is in."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -59,11 +109,13 @@ def fold_ascii(text: Column) -> Column:
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the folder. Batches to Python are kept small, as texts are long; a limit that the session has set itself stays."""
     if spark.conf.get(BATCH) == "10000":
-        spark.conf.set(BATCH, "3000")
+        spark.conf.set(BATCH, "1000")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
+    import gc
+
     gc.collect()
     spark.sparkContext._jvm.System.gc()
