@@ -174,6 +174,14 @@ def _recursive(query_text: str, *names: str, **more: str) -> str:
     return v.with_views(query_text, *names, **more).replace("WITH", "WITH RECURSIVE", 1)
 
 
+def _segmentation_score(segs, scores):
+    segs = stores.materialised(segs.select("first", "last", "label"), "segments")
+    frames = segs.select("label", F.explode(F.sequence("first", "last")).alias("t")).join(scores, ["t", "label"]).agg(F.sum("logp").alias("ll"))
+    end = segs.agg(F.max("last").alias("end"))
+    runs = segs.crossJoin(F.broadcast(end)).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("last") < F.col("end"), F.col("last") - F.col("first") + 1)).alias("least"))
+    return frames.crossJoin(runs).select(F.round(F.col("ll") - 5.0 * (F.col("n") - 1), 3).alias("ll"), (F.coalesce("least", F.lit(3)) >= 3).alias("long_enough"))
+
+
 RING = {
     "ob": "SELECT row_number() OVER (ORDER BY t) AS k, list(logp ORDER BY model_id) AS o FROM own GROUP BY t",
     "ring": """SELECT k, o AS r0, list_transform(o, lambda x: -1e300::DOUBLE) AS r1, list_transform(o, lambda x: -1e300::DOUBLE) AS r2 FROM ob WHERE k = 1 UNION ALL
@@ -186,11 +194,7 @@ list_transform(range(1, len(o) + 1), lambda l: r0[l] + o[l]), list_transform(ran
 def _(spark, d):
     """The score of the segmentation, worked out anew from its segments, is the best there is."""
     s = _scores(spark, d)
-    segs = stores.materialised(hmm.decode_segments(s, 3, -5.0), "segments")
-    frames = segs.select("label", F.explode(F.sequence("first", "last")).alias("t")).join(s, ["t", "label"]).agg(F.sum("logp").alias("ll"))
-    end = segs.agg(F.max("last").alias("end"))
-    runs = segs.crossJoin(F.broadcast(end)).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("last") < F.col("end"), F.col("last") - F.col("first") + 1)).alias("least"))
-    return frames.crossJoin(runs).select(F.round(F.col("ll") - 5.0 * (F.col("n") - 1), 3).alias("ll"), (F.coalesce("least", F.lit(3)) >= 3).alias("long_enough"))
+    return _segmentation_score(hmm.decode_segments(s, 3, -5.0), s)
 
 
 def _phones(spark, d):
@@ -370,21 +374,49 @@ def _(spark, d):
     return out.groupBy("label", "length").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("dia4_cluster_merging")
+#: Labels' clusters after each merge of the best pair, until no pair gains or four are left.
+MERGE = {
+    "acc":"SELECT label, d, count(*)::DOUBLE AS w, sum(x) AS sx, sum(x * x) AS sxx FROM dims GROUP BY 1, 2",
+    "st":"""SELECT 0 AS k, (SELECT list(DISTINCT label ORDER BY label) FROM acc) AS c, true AS go UNION ALL
+SELECT st.k + 1, CASE WHEN best.gain + 600 > 0 THEN list_transform(c, lambda x: CASE WHEN x = best.b THEN best.a ELSE x END) ELSE c END, best.gain + 600 > 0 FROM st, LATERAL (
+SELECT x.cl AS a, y.cl AS b, sum((x.w * ln(greatest(x.sxx / x.w - pow(x.sx / x.w, 2), 0.01)) + y.w * ln(greatest(y.sxx / y.w - pow(y.sx / y.w, 2), 0.01)) - (x.w + y.w) * ln(greatest((x.sxx + y.sxx) / (x.w + y.w) - pow((x.sx + y.sx) / (x.w + y.w), 2), 0.01))) / 2) AS gain
+FROM (SELECT st.c[label + 1] AS cl, d, sum(w) AS w, sum(sx) AS sx, sum(sxx) AS sxx FROM acc GROUP BY 1, 2) x JOIN (SELECT st.c[label + 1] AS cl, d, sum(w) AS w, sum(sx) AS sx, sum(sxx) AS sxx FROM acc GROUP BY 1, 2) y ON x.d = y.d AND x.cl < y.cl GROUP BY 1, 2 ORDER BY gain DESC, a, b LIMIT 1) best WHERE go AND len(list_distinct(c)) > 4""",
+}
+
+
+@query("dia4_cluster_merging", _recursive("SELECT m AS label, count(*) AS frames FROM (SELECT c[label + 1] AS m FROM frames, (SELECT c FROM st ORDER BY k DESC LIMIT 1)) GROUP BY m", "frames", "dims", **MERGE))
 def _(spark, d):
     out, _ = cl.cluster(v.frames(spark, d), penalty=600.0, least=4)
     return out.groupBy("label").agg(F.count(F.lit(1)).alias("frames"))
 
 
-@query("dia2_align_and_train")
+BEST_RING = "SELECT round(greatest(list_max(r0), list_max(r1), list_max(r2)), 3) + 0.0 AS ll, true AS long_enough FROM ring WHERE k = (SELECT max(k) FROM ob)"
+#: Scores of all frames under a Gaussian of each starting label.
+STARTED = "SELECT t, g.label AS model_id, greatest(-1000.0, sum(-0.5 * ln(2 * pi() * var) - (x - mean) * (x - mean) / (2 * var))) AS logp FROM dims f JOIN (SELECT start.label, d, avg(x) AS mean, greatest(var_pop(x), 0.01) AS var FROM dims JOIN start USING (t) GROUP BY 1, 2) g USING (d) GROUP BY t, g.label"
+
+
+def _started_scores(frames, start):
+    """The scores that one round of training on the starting labels decodes."""
+    stats = g.as_vectors(g.fit(frames.join(start.select("t", "label"), "t"), ["label"]), ["label"], ("mean", "var"))
+    one = stats.select(F.col("label").alias("model_id"), F.lit(0).cast("long").alias("comp_id"), F.lit(1.0).alias("weight"), "mean", "var")
+    return g.mixture_scores(frames, one, ["t"]).withColumnRenamed("model_id", "label")
+
+
+@query("dia2_align_and_train", _recursive(BEST_RING, "dims", start="SELECT t, label % 3 AS label FROM dims WHERE d = 0", own=STARTED, **RING))
 def _(spark, d):
+    """The segmentation after one round is the best under the Gaussians of the starting labels."""
     f = v.frames(spark, d).select(F.lit("0").alias("stream_id"), "t", "vec", (F.col("label") % 3).alias("label"))
-    return cl.align_and_train(f.drop("label"), f.select("stream_id", "t", "label"), rounds=1)
+    segs = cl.align_and_train(f.drop("label"), f.select("stream_id", "t", "label"), rounds=1)
+    return _segmentation_score(segs, _started_scores(f.select("t", "vec"), f))
 
 
-@query("sad1_detect_speech")
+@query("sad1_detect_speech", _recursive(BEST_RING, "dims", start="SELECT t, CASE WHEN x > th THEN 2 ELSE 1 END AS label FROM dims, (SELECT avg(x) - 0.5 * stddev_pop(x) AS th FROM dims WHERE d = 0 AND x > (SELECT avg(x) FROM dims WHERE d = 0)) WHERE d = 0", own=STARTED, **RING))
 def _(spark, d):
-    return cl.detect_speech(v.frames(spark, d).select(F.lit("0").alias("stream_id"), "t", "vec"), rounds=1)
+    """The segmentation after one round is the best under the Gaussians of the frames above and below the energy threshold."""
+    f = v.frames(spark, d).select(F.lit("0").alias("stream_id"), "t", "vec")
+    e = f.select("stream_id", "t", F.col("vec")[0].alias("energy"))
+    start = e.join(g.energy_threshold(e, ["stream_id"], 0.5), "stream_id").select("t", F.when(F.col("energy") > F.col("threshold"), 2).otherwise(1).cast("long").alias("label"))
+    return _segmentation_score(cl.detect_speech(f, rounds=1), _started_scores(f.select("t", "vec"), start))
 
 
 @query("sad2_energy_speech", v.with_views("""SELECT stream_id, min(t) AS first, max(t) AS last, label FROM (SELECT stream_id, t, label, t - row_number() OVER (PARTITION BY stream_id, label ORDER BY t) AS g FROM (SELECT stream_id, t, CASE WHEN energy > th THEN 2 ELSE 1 END AS label FROM energy JOIN
