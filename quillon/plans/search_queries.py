@@ -223,7 +223,12 @@ def _(spark, d):
     return se.nbest(hyps, 20.0, 2.0, most=5).select("utt", "hyp", "words", "rank", F.round("score", 4).alias("score"))
 
 
-@query("join9_match_lattice_nodes")
+#: One step for each further time that a word stands in a document.
+SEEN = {"w": "SELECT doc_id, word, pos, pos % 50 AS b, row_number() OVER (PARTITION BY doc_id, word ORDER BY pos) AS n FROM words",
+        "met": "SELECT doc_id, word, n, pos, [{'o': pos, 'b': b}] AS kept, pos AS node FROM w WHERE n = 1 UNION ALL SELECT doc_id, word, n, pos, CASE WHEN hit IS NULL THEN list_append(kept, {'o': pos, 'b': b}) ELSE kept END, coalesce(hit, pos) FROM (SELECT w.*, kept, list_filter(kept, lambda x: abs(x.b - w.b) < 3)[1].o AS hit FROM met JOIN w ON w.doc_id = met.doc_id AND w.word = met.word AND w.n = met.n + 1)"}
+
+
+@query("join9_match_lattice_nodes", v.with_views("SELECT doc_id::VARCHAR AS utt, pos AS ord, word, pos % 50 AS begin, pos % 50 + len(word) AS end, node FROM met".replace("AS begin", 'AS "begin"').replace("AS end", 'AS "end"'), "words", **SEEN).replace("WITH", "WITH RECURSIVE", 1))
 def _(spark, d):
     w = v.words(spark, d)
     nodes = w.select(F.col("doc_id").alias("utt"), F.col("pos").alias("ord"), "word", (F.col("pos") % 50).alias("begin"), (F.col("pos") % 50 + F.length("word")).alias("end"))
