@@ -40,16 +40,32 @@ def read(spark: SparkSession, path: str, kind: str) -> DataFrame:
 _LOCAL: dict[str, str] = {}
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; without that setting below a temporary folder, on a single machine only."""
+def shared_dir(spark: SparkSession) -> str:
+    """Folder for this application's tables that the driver and all executors can reach, below ``spark.checkpoint.dir``.
+
+    Where the session names none, a temporary folder serves, but on a single machine only; a cluster without a shared
+    folder is an error, as other executors would not see what one has written.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    name = spark.sparkContext.applicationId
     if not base:
         master = spark.conf.get("spark.master", "")
         if not re.fullmatch(r"local(\[.*\])?", master):
             raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master or 'a cluster'}")
-        base = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="quillon-")
-        _LOCAL[spark.sparkContext.applicationId] = base
-    return f"{base.rstrip('/')}/quillon-{name}-{uuid.uuid4().hex}"
+        if name not in _LOCAL:
+            _LOCAL[name] = "file://" + tempfile.mkdtemp(prefix="quillon-")
+        base = _LOCAL[name]
+    return f"{base.rstrip('/')}/quillon-{name}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has written below the shared folder; results that read from it must have been taken."""
+    remove(spark, shared_dir(spark))
 
 
 def remove(spark: SparkSession, *paths: str) -> None:

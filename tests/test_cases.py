@@ -283,10 +283,21 @@ def test_shared_folder_is_needed_on_a_cluster():
     class Session:
         conf = Conf({"spark.master": "spark://host:7077"})
 
+        class sparkContext:  # noqa: N801
+            applicationId = "app-1"  # noqa: N815
+
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         stores.scratch(Session(), "x")
     Session.conf["spark.checkpoint.dir"] = "file:///shared/"
-    assert stores.scratch(Session(), "x").startswith("file:///shared/quillon-x-")
+    assert stores.scratch(Session(), "x").startswith("file:///shared/quillon-app-1/x-")
+
+
+def test_written_tables_are_deleted(spark):
+    import pathlib
+
+    t = stores.materialised(spark.range(3), "one")
+    path = pathlib.Path(t._quillon_path.removeprefix("file://"))
+    assert path.is_dir() and stores.materialised(t.select("id"), "two", t).count() == 3 and not path.exists()
 
 
 def test_token_operators(spark):
