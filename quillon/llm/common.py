@@ -2,44 +2,17 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Temporary folders of single-machine sessions, by application.
-_LOCAL: dict[str, str] = {}
+from ..sources.stores import remove, scratch
+
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: ASCII letters, the only ones the text contracts fold.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors can reach: ``spark.checkpoint.dir``.
-
-    Where the session names none, a temporary folder serves, but on a single machine only; a cluster without a shared
-    folder is an error, as other executors would not see what one has written.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    master = spark.conf.get("spark.master", "")
-    if not re.fullmatch(r"local(\[.*\])?", master):
-        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master or 'a cluster'}")
-    key = spark.sparkContext.applicationId
-    if key not in _LOCAL:
-        _LOCAL[key] = "file://" + tempfile.mkdtemp(prefix="quillon-")
-    return _LOCAL[key]
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
-
-
 class settings:
     """Sets session settings for a block and puts the old ones back."""
 
@@ -65,7 +38,7 @@ def written(df: DataFrame, name: str, *used: DataFrame) -> DataFrame:
     Shuffle files of the write go when it is over. ``used`` are written tables that nothing reads after this one; they are deleted.
     """
     spark = df.sparkSession
-    path = work_path(spark, name)
+    path = scratch(spark, name)
     schema = df.schema
     with settings(spark, {CLEANUP: "true"}):
         df.write.parquet(path)
@@ -80,14 +53,7 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         path = t.__dict__.pop("_quillon_path", None)
         if path:
-            delete_path(t.sparkSession, path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of the shared file system, whatever store it is in."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            remove(t.sparkSession, path)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -111,11 +77,3 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     if spark.conf.get(BATCH) == "10000":
         spark.conf.set(BATCH, "1000")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

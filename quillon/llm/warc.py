@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_parts, work_path, written
+from ..sources.stores import scratch
+from .common import shuffle_parts, written
 from .workers import lean
 
 DATE = "2024-01-01T00:00:00Z"
@@ -93,7 +94,7 @@ def write_archives(pages: DataFrame, path: str | None = None, *, id_col: str = "
                    payload_col: str = "html", level: int = 4) -> DataFrame:
     """Writes the archives below ``path`` and returns the index, a written table."""
     spark = pages.sparkSession
-    path = path or work_path(spark, "warc")
+    path = path or scratch(spark, "warc")
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"),
                        F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("html"))
     src = src.withColumn("sha1", F.unhex(F.sha1(F.encode("html", "utf-8"))))

@@ -27,14 +27,14 @@ def brute(rows, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("window,period", [(50, 31), (50, 13), (12, 7), (33, 31)])
-def test_removal_matches_brute_force(spark, window, period):
+@pytest.mark.parametrize("window,period,bits", [(50, 31, 64), (50, 13, 64), (12, 7, 3), (33, 31, 6)])
+def test_removal_matches_brute_force(spark, window, period, bits):
     rows = corpus(window, 70)
     # Passages at every alignment, inside one document and across documents.
     some = texts(99, 6)
     rows += [(300 + i, "pad " * i + some[2] + " end" * i) for i in range(40)]
     rows += [(400, some[0] + " " + some[0]), (401, some[5]), (290, some[5] + " tail"), (402, some[5])]
-    got = remove_repeats(frame(spark, rows), window=window, period=period).collect()
+    got = remove_repeats(frame(spark, rows), window=window, period=period, anchor_bits=bits).collect()
     assert sorted(((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in got), key=str) == brute(rows, window)
     for x in got:
         if x.n_removed:
