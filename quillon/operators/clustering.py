@@ -145,7 +145,8 @@ def context_tree(stats: DataFrame, questions: dict[str, list[int]], min_gain: fl
         total = node.groupBy("d").agg(*[F.sum(c).alias(c) for c in ("n", "w", "sx", "sxx")]).agg(F.sum(-F.col("w") * F.log(var) / 2).alias("ll"), F.max("w").alias("w")).first()
         split = sums.groupBy("q", "yes").agg(F.sum(-F.col("w") * F.log(var) / 2).alias("ll"), F.max("w").alias("w"))
         split = split.groupBy("q").agg(F.sum("ll").alias("ll"), F.min("w").alias("least"), F.count(F.lit(1)).alias("sides")).where(f"sides = 2 and least > {min_count}")
-        best = split.orderBy(F.desc("ll"), "q").first()
+        # Rounded, so that equal likelihoods are equal in whatever order they were summed.
+        best = split.orderBy(F.desc(F.round("ll", 6)), "q").first()
         if best is not None and total.w and (best.ll - total.ll) / total.w > min_gain and len(leaves) + len(todo) + 2 <= most:
             side, name = tests[best.q]
             todo += [[*path, (side, name, True)], [*path, (side, name, False)]]

@@ -295,18 +295,54 @@ def _(spark, d):
     return out.select("comp_id", "node", F.posexplode("mean").alias("d", "m")).select("comp_id", "node", "d", F.round("m", 4).alias("mean"))
 
 
-@query("pdf12_context_tree")
+QUESTIONS = {"low": [0, 1, 2, 3, 4], "even": [0, 2, 4, 6, 8], "third": [0, 3, 6, 9]}
+_LL = "sum(-w * ln(greatest(sxx / w - pow(sx / w, 2), 0.01)) / 2)"
+_SPLIT = f"""SELECT q, sum(ll) AS ll FROM (SELECT q, yes, {_LL} AS ll, max(w) AS w FROM (SELECT q, yes, d, sum(w) AS w, sum(sx) AS sx, sum(sxx) AS sxx FROM acc JOIN ask USING (c) WHERE list_contains(node.ctx, c) GROUP BY 1, 2, 3) GROUP BY 1, 2)
+GROUP BY q HAVING count(*) = 2 AND min(w) > 50 ORDER BY round(sum(ll), 6) DESC, q LIMIT 1"""
+_WHOLE = f"SELECT {_LL} AS ll, max(w) AS w FROM (SELECT d, sum(w) AS w, sum(sx) AS sx, sum(sxx) AS sxx FROM acc WHERE list_contains(node.ctx, c) GROUP BY d)"
+#: Nodes are sets of contexts; each is split by its best question while that gains enough.
+TREE = {
+    "acc": "SELECT label * 10 + (label * 7 + t % 2) % 10 AS c, d, count(*)::DOUBLE AS w, sum(x) AS sx, sum(x * x) AS sxx FROM dims GROUP BY 1, 2",
+    "asked": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{side}:{name}', '{side}', {QUESTIONS[name]})" for i, (side, name) in enumerate((s, n) for s in ("left", "right") for n in sorted(QUESTIONS))) + ") x(q, name, side, members)",
+    "ask": "SELECT q, c, list_contains(members, CASE WHEN side = 'left' THEN c // 10 ELSE c % 10 END) AS yes FROM asked, (SELECT DISTINCT c FROM acc)",
+    "node": f"""SELECT '' AS path, list(DISTINCT c) AS ctx FROM acc UNION ALL SELECT trim(path || ' ' || name || ':' || y), list_filter(ctx, lambda c: list_contains(members, CASE WHEN side = 'left' THEN c // 10 ELSE c % 10 END) = (y = 1))
+FROM node, LATERAL ({_SPLIT}) best, LATERAL ({_WHOLE}) whole, asked, (SELECT unnest([0, 1]) AS y) WHERE asked.q = best.q AND (best.ll - whole.ll) / whole.w > 0.1""",
+    "told": f"SELECT path, whole.w, whole.ll, best.ll AS split FROM node LEFT JOIN LATERAL ({_SPLIT}) best ON true, LATERAL ({_WHOLE}) whole",
+}
+
+
+@query("pdf12_context_tree", _recursive("SELECT path, w AS frames, round(ll, 3) + 0.0 AS ll FROM told WHERE split IS NULL OR (split - ll) / w <= 0.1", "dims", **TREE))
 def _(spark, d):
     f = v.frames(spark, d).withColumn("left", F.col("label")).withColumn("right", (F.col("label") * 7 + F.col("t") % 2) % 10)
     stats = stores.materialised(g.accumulate(f, ["left", "right"]))
-    leaves = cl.context_tree(stats, {"low": [0, 1, 2, 3, 4], "even": [0, 2, 4, 6, 8], "third": [0, 3, 6, 9]}, min_count=50.0)
+    leaves = cl.context_tree(stats, QUESTIONS, min_count=50.0)
     return spark.createDataFrame([(" ".join(f"{s}:{n}:{int(y)}" for s, n, y in x["path"]), float(x["frames"]), round(x["ll"], 3)) for x in leaves], "path string, frames double, ll double")
 
 
-@query("pdf13_train_mixture")
+def _training_sql(components: int, steps: int) -> dict[str, str]:
+    """Tables of a mixture that starts from one Gaussian: after each split of the heaviest component come EM steps."""
+    out = {"m0": "SELECT 0::BIGINT AS comp, d, 1.0::DOUBLE AS weight, avg(x) AS mean, greatest(var_pop(x), 0.01) AS var FROM dims GROUP BY d"}
+    n = 0
+    for _ in range(components - 1):
+        m, top, wide, nxt = f"m{n}", f"top{n}", f"wide{n}", f"(SELECT max(comp) + 1 FROM m{n})"
+        out[top] = f"SELECT comp FROM {m} GROUP BY comp ORDER BY any_value(weight) DESC, comp LIMIT 1"
+        out[wide] = f"SELECT d FROM {m} WHERE comp = (SELECT comp FROM {top}) ORDER BY var DESC, d LIMIT 1"
+        out[f"m{n + 1}"] = f"""SELECT CASE WHEN comp = (SELECT comp FROM {top}) THEN {nxt} ELSE comp END AS comp, d, CASE WHEN comp = (SELECT comp FROM {top}) THEN weight / 2 ELSE weight END AS weight, mean, var FROM {m}
+UNION ALL SELECT comp, d, weight / 2, CASE WHEN d = (SELECT d FROM {wide}) THEN mean - 0.3 * sqrt(var) ELSE mean END, var FROM {m} WHERE comp = (SELECT comp FROM {top})"""
+        n += 1
+        for _ in range(steps):
+            out[f"l{n}"] = f"SELECT t, comp, greatest(-1000.0, ln(any_value(weight)) + sum(-0.5 * ln(2 * pi() * var) - (x - mean) * (x - mean) / (2 * var))) AS lp FROM dims JOIN m{n} USING (d) GROUP BY 1, 2"
+            out[f"p{n}"] = f"SELECT t, comp, p / sum(p) OVER (PARTITION BY t) AS gamma FROM (SELECT t, comp, CASE WHEN lp > best - 7 THEN exp(lp - best) ELSE 0 END AS p FROM (SELECT *, max(lp) OVER (PARTITION BY t) AS best FROM l{n}))"
+            out[f"s{n}"] = f"SELECT comp, d, sum(gamma) AS w, sum(gamma * x) AS sx, sum(gamma * x * x) AS sxx FROM p{n} JOIN dims USING (t) WHERE gamma > 0 GROUP BY 1, 2"
+            out[f"m{n + 1}"] = f"SELECT comp, d, w / sum(w) OVER (PARTITION BY d) AS weight, sx / w AS mean, greatest(sxx / w - pow(sx / w, 2), 0.01) AS var FROM s{n} WHERE w > 20"
+            n += 1
+    return out | {"trained": f"SELECT * FROM m{n}"}
+
+
+@query("pdf13_train_mixture", v.with_views("SELECT comp AS comp_id, d, round(weight, 4) + 0.0 AS weight, round(mean, 4) + 0.0 AS mean FROM trained", "dims", **_training_sql(4, 2)))
 def _(spark, d):
     m = cl.train_mixture(v.frames(spark, d), ["t"], 4, steps=2)
-    return m.select("comp_id", F.round("weight", 4).alias("weight"))
+    return m.select("comp_id", "weight", F.posexplode("mean").alias("d", "m")).select("comp_id", F.col("d").cast("long"), F.round("weight", 4).alias("weight"), F.round("m", 4).alias("mean"))
 
 
 @query("trn1_training_set", v.with_views("SELECT label, count(*) AS n, max(last - first + 1) AS longest FROM runs WHERE last - first + 1 BETWEEN 2 AND 100 GROUP BY label", "runs"))
