@@ -46,14 +46,23 @@ def case(seed=4):
     return docs, items
 
 
-@pytest.mark.parametrize("most", [1_000_000, 0])
+@pytest.mark.parametrize("most", [64 << 20, 0])
 def test_hits(spark, most):
     docs, items = case()
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = hits(frame(spark, docs), bench, broadcast_rows=most).collect()
+    got = hits(frame(spark, docs), bench, broadcast_bytes=most).collect()
     mine = sorted([(x.doc_id, x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in got], key=str)
     assert mine == brute(docs, items)
-    assert all(sum(s.end - s["first"] for s in x.spans) == x.n_hit for x in got)
+    for x in got:
+        assert x.spans == sorted(set(x.spans))
+        assert len({p for s in x.spans for p in range(s["first"], s["end"])}) == x.n_hit
+
+
+def test_many_hits_in_one_document(spark):
+    items = [(1, "red"), (2, "red blue"), (3, " ".join(["red"] * 15))]
+    docs = [(1, "red " * 3000), (2, "blue red blue " * 500), (3, "blue")]
+    got = hits(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted([(x.doc_id, x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in got], key=str) == brute(docs, items)
 
 
 def test_keep_clean_and_empty(spark):
