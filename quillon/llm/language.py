@@ -1,23 +1,22 @@
 """Operator 8: language identification by a bidirectional gated recurrent network over bytes.
 
-A text is lower-cased and cut into words: everything but ASCII letters and bytes beyond ASCII separates
-them, and words over ``SEGMENT`` bytes are cut. The network reads a word's bytes between two blanks in both
-directions and gives every byte a distribution over the languages; a document's distribution is the
-normalised mean of its bytes' log probabilities. A word's result does not depend on its surroundings, so each
-worker remembers it; the memory is emptied at a fixed size.
+The network reads the bytes of the lower-cased text in both directions and gives every byte a distribution over the
+languages; a document's distribution is the normalised mean of its bytes' log probabilities. All bytes of the whole
+text are read in their order. A text is cut into spans of ``SPAN`` bytes, and each is read with ``MARGIN`` bytes more
+on both sides, in which the states warm up and which are not counted, so spans of many texts go through the network at once.
 
-The network is trained in numpy by backpropagation through time on a bounded sample, at most about
-``sample`` documents of each language, chosen by a hash of their ids, and ``sample_words`` words of each.
+The network is trained in numpy by backpropagation through time on a bounded sample: at most about
+``sample`` documents of each language, chosen by a hash of their ids, and of each ``pieces`` pieces of ``PIECE`` bytes, which
+are cut out in the tasks.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; documents whose language
-is null are not learned from; if nothing can be learned, all are ``und``; an empty table gives no rows;
-other columns are ignored.
+is null are not learned from; of more than ``most_languages`` languages the most frequent ones are learned; if nothing
+can be learned, all are ``und``; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import pickle
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,22 +26,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import held_out
-from .workers import claim
+from .workers import lean
 
-SEGMENT = 32
-#: Every ASCII byte that is no letter becomes a blank.
-_TABLE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
+SPAN, MARGIN, PIECE = 192, 16, 64
+PAD = 32
 
 
 def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text) if not text[:1].isalpha() else True
 
 
-def segments(text: str) -> list[bytes]:
-    out = text.lower().encode().translate(_TABLE).split()
-    if any(len(w) > SEGMENT for w in out):
-        out = [w[i: i + SEGMENT] for w in out for i in range(0, len(w), SEGMENT)]
-    return out
+def text_bytes(text: str) -> bytes:
+    return text.lower().encode()
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -52,7 +47,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class ByteGru:
     """Weights of the network; one set of gates (update, reset, candidate) for each direction."""
 
-    def __init__(self, languages: list[str], hidden: int = 24, seed: int = 7):
+    def __init__(self, languages: list[str], hidden: int = 12, seed: int = 7):
         r = np.random.default_rng(seed)
         self.languages, self.hidden = languages, hidden
         init = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
@@ -134,27 +129,102 @@ class ByteGru:
         np.add.at(g[d + "E"], x.ravel(), da_all.reshape(-1, 3 * H))
 
 
-def _padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes between blanks as (steps, batch), and the positions that count."""
-    n = max(map(len, words)) + 2
-    x = np.frombuffer(b"".join((b" " + w).ljust(n) for w in words), dtype=np.uint8).reshape(len(words), n).T
-    size = np.array([len(w) for w in words])
-    at = np.arange(n)[:, None]
-    return np.ascontiguousarray(x), ((at >= 1) & (at <= size)).astype(np.float32)
+class Reader:
+    """The network's way forward over many spans at once: units stand in rows and spans in columns, which keeps inner loops long."""
+
+    def __init__(self, net: ByteGru):
+        H = net.hidden
+        self.hidden, self.many = H, len(net.languages)
+        self.dirs = []
+        for k, d in enumerate("fb"):
+            E, U = net.p[d + "E"] + net.p[d + "b"], net.p[d + "U"]
+            half = np.ones(3 * H, dtype=np.float32)
+            half[: 2 * H] = 0.5  # a sigmoid is a tanh of half its argument
+            self.dirs.append((np.ascontiguousarray((E * half).T), np.ascontiguousarray((U[:, : 2 * H] * 0.5).T), np.ascontiguousarray(U[:, 2 * H:].T),
+                              np.ascontiguousarray(net.p["W"][k * H: (k + 1) * H].T)))
+        self.c = net.p["c"][:, None]
+
+    def _scan(self, d: int, x: np.ndarray, out: np.ndarray) -> None:
+        """Adds this direction's share of the languages' scores to out (steps, languages, spans)."""
+        E, U, V, W = self.dirs[d]
+        H, n = self.hidden, x.shape[1]
+        h, rh, zr, c = (np.zeros((k * H, n), dtype=np.float32) for k in (1, 1, 2, 1))
+        a = np.empty((3 * H, n), dtype=np.float32)
+        z, r = zr[:H], zr[H:]
+        for t in range(len(x)) if d == 0 else range(len(x) - 1, -1, -1):
+            np.take(E, x[t], axis=1, out=a, mode="clip")
+            np.matmul(U, h, out=zr)
+            zr += a[: 2 * H]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            np.multiply(r, h, out=rh)
+            np.matmul(V, rh, out=c)
+            c += a[2 * H:]
+            np.tanh(c, out=c)
+            c -= h
+            c *= z
+            h += c
+            out[t] += W @ h
 
-
-def fit(words: list[tuple[bytes, int]], languages: list[str], *, hidden: int = 24, steps: int = 1500, batch: int = 256,
-        rate: float = 0.01, seed: int = 7) -> ByteGru:
-    """Adam over batches of words of similar length."""
-    net, r = ByteGru(languages, hidden, seed), random.Random(seed)
-    words = sorted(words, key=lambda w: (len(w[0]), r.random()))
+    def log_probs(self, x: np.ndarray) -> np.ndarray:
+        """Log probabilities of (steps, languages, spans)."""
+        out = np.empty((len(x), self.many, x.shape[1]), dtype=np.float32)
+        out[:] = self.c
+        self._scan(0, x, out)
+        self._scan(1, x, out)
+        out -= out.max(1, keepdims=True)
+        out -= np.log(np.exp(out).sum(1, keepdims=True))
+        return out
+
+    def sums(self, texts: list[bytes], spans: int = 2048) -> np.ndarray:
+        """Each text's sum of its bytes' log probabilities."""
+        size = np.array([len(t) for t in texts], dtype=np.int64)
+        # Margins of blanks keep texts apart; a span's margins lie in its own text or in these.
+        edge = b"\x20" * MARGIN
+        flat = np.frombuffer(b"".join([edge + t + edge for t in texts]) + b"\x20" * (SPAN + 2 * MARGIN), dtype=np.uint8)
+        start = np.concatenate(([0], np.cumsum(size + 2 * MARGIN)))[:-1]
+        many = -(-size // SPAN)
+        who = np.repeat(np.arange(len(texts)), many)
+        nth = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
+        begin = start[who] + nth * SPAN
+        count = np.minimum(size[who] - nth * SPAN, SPAN)
+        total = np.zeros((len(texts), self.many))
+        # Spans of one length go together, so that short texts cost little.
+        order = np.argsort(count, kind="stable")
+        lo = 0
+        while lo < len(order):
+            part = order[lo: lo + spans]
+            wide = int(count[part[-1]])
+            if count[part[0]] < wide - 16:
+                part = part[: max(1, int(np.searchsorted(count[part], count[part[0]] + 16, side="right")))]
+                wide = int(count[part[-1]])
+            at = np.arange(wide + 2 * MARGIN)[:, None] + begin[part][None, :]
+            # Beyond a shorter span's own margin stands what follows it: blanks, or its text.
+            x = np.where(at < (start + size + 2 * MARGIN)[who[part]][None, :], flat[at], PAD).astype(np.intp)
+            p = self.log_probs(x)[MARGIN: MARGIN + wide]
+            p *= (np.arange(wide)[:, None] < count[part][None, :])[:, None, :]
+            np.add.at(total, who[part], p.sum(0, dtype=np.float64).T)
+            lo += len(part)
+        return total
+
+
+def fit(pieces: list[tuple[bytes, int]], languages: list[str], *, hidden: int = 12, steps: int = 800, batch: int = 128,
+        rate: float = 0.02, seed: int = 7) -> ByteGru:
+    """Adam over random batches of pieces; each language is drawn as often as the others."""
+    net, r = ByteGru(languages, hidden, seed), np.random.default_rng(seed)
+    x = np.frombuffer(b"".join(p.ljust(PIECE)[:PIECE] for p, _ in pieces), dtype=np.uint8).reshape(-1, PIECE)
+    size = np.array([min(len(p), PIECE) for p, _ in pieces])
+    y = np.array([k for _, k in pieces])
+    share = 1 / np.bincount(y, minlength=len(languages))[y]
+    share /= share.sum()
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
+    draws = r.choice(len(x), (steps, batch), p=share)
     for step in range(1, steps + 1):
-        lo = r.randrange(max(1, len(words) - batch + 1))
-        part = words[lo: lo + batch]
-        x, mask = _padded([w for w, _ in part])
-        _, g = net.gradients(x, np.array([y for _, y in part]), mask)
+        i = draws[step - 1]
+        mask = (np.arange(PIECE)[:, None] < size[i][None, :]).astype(np.float32)
+        _, g = net.gradients(np.ascontiguousarray(x[i].T), y[i], mask)
         now = rate * min(1, 2 * (1 - step / (steps + 1)))
         for k, grad in g.items():
             m[k] += 0.1 * (grad - m[k])
@@ -163,82 +233,73 @@ def fit(words: list[tuple[bytes, int]], languages: list[str], *, hidden: int = 2
     return net
 
 
+def text_pieces(text: str | None, number: int, most: int) -> list[bytes]:
+    """At most ``most`` pieces of a text, spread over it; ``number`` moves them."""
+    data = text_bytes(text or "")
+    if len(data) <= PIECE:
+        return [data] if data else []
+    return [data[a: a + PIECE] for a in sorted({(number * 7919 + i * len(data) // most) % (len(data) - PIECE + 1) for i in range(most)})]
+
+
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 300,
-          sample_words: int = 200, **options) -> ByteGru | None:
+          pieces: int = 16, most_languages: int = 500, **options) -> ByteGru | None:
     """None if no document has a language and a letter."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    counts = {r["l"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    per = known.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["l"]: r["n"] for r in per.orderBy(F.desc("n"), "l").limit(most_languages).collect()}
     if not counts:
         return None
     languages = sorted(counts)
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(1)), F.lit(1 << 40)) / float(1 << 40)
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col(lang_col) == lang) & (draw < sample / n))
-    # The sample's words, not its texts, come to the driver.
-    r, words = random.Random(1), []
-    rows = known.where(chosen).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).cast("string").alias("t"))
-    for row in rows.orderBy(F.xxhash64("i"), "i").toLocalIterator():
-        own = segments(row.t or "")
-        words += [(w, languages.index(row.l)) for w in (r.sample(own, sample_words) if len(own) > sample_words else own)]
-    return fit(words, languages, **options) if words else None
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, sample / n)])
+    chosen = known.where(draw < share[F.col(lang_col)])
+    rows = chosen.select(F.xxhash64(F.col(id_col)).alias("o"), F.col(lang_col).alias("l"), F.col(text_col).cast("string").alias("t"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(o, lang, p) for o, lang, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for p in text_pieces(t, o, pieces)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.binary()), strict=True)], names=["o", "l", "p"])
+
+    # Pieces of a fixed size, not texts, come to the driver.
+    found = rows.mapInArrow(lean(cut), "o long, l string, p binary").orderBy("o", "l", "p").collect()
+    place = {lang: i for i, lang in enumerate(languages)}
+    return fit([(bytes(r["p"]), place[r["l"]]) for r in found], languages, **options) if found else None
 
 
 class Labeller:
-    """Document labels from remembered words."""
-
-    def __init__(self, net: ByteGru, max_words: int = 600_000):
-        self.net, self.max_words = net, max_words
-        self._empty()
-
-    def _empty(self) -> None:
-        self.row: dict[bytes, int] = {}
-        self.sums = np.empty((1 << 14, len(self.net.languages) + 1), dtype=np.float32)
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Adds each word's sum of log probabilities and its length to the memory."""
-        words.sort(key=len)
-        need = len(self.row) + len(words)
-        if need > len(self.sums):
-            self.sums = np.concatenate([self.sums, np.empty((max(need - len(self.sums), len(self.sums)), self.sums.shape[1]), dtype=np.float32)])
-        for lo in range(0, len(words), 1024):
-            part = words[lo: lo + 1024]
-            x, mask = _padded(part)
-            at = len(self.row)
-            self.sums[at: at + len(part), :-1] = (self.net.log_probs(x) * mask[:, :, None]).sum(0)
-            self.sums[at: at + len(part), -1] = mask.sum(0)
-            self.row.update(zip(part, range(at, at + len(part)), strict=True))
+    """Document labels."""
+
+    def __init__(self, net: ByteGru):
+        self.net, self.reader = net, Reader(net)
 
     def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = [], []
-        words = [segments(t) if t else [] for t in texts]
-        fresh = set().union(*words).difference(self.row) if words else set()
-        if len(self.row) + len(fresh) > self.max_words:
-            self._empty()
-            fresh = set().union(*words)
-        if fresh:
-            self._learn(sorted(fresh))
-        get = self.row.__getitem__
-        for t, w in zip(texts, words, strict=True):
-            if not w or not has_letter(t):
-                names.append("und")
-                scores.append(0.0)
-                continue
-            total = self.sums[np.fromiter(map(get, w), dtype=np.int64, count=len(w))].sum(0, dtype=np.float64)
-            mean = total[:-1] / total[-1]
-            p = np.exp(mean - mean.max())
-            p /= p.sum()
-            best = int(p.argmax())
-            names.append(self.net.languages[best])
-            scores.append(float(p[best]))
+        names, scores = ["und"] * len(texts), [0.0] * len(texts)
+        at = [i for i, t in enumerate(texts) if t and has_letter(t)]
+        if at:
+            data = [text_bytes(texts[i]) for i in at]
+            for i, d, total in zip(at, data, self.reader.sums(data), strict=True):
+                mean = total / len(d)
+                p = np.exp(mean - mean.max())
+                p /= p.sum()
+                best = int(p.argmax())
+                names[i], scores[i] = self.net.languages[best], float(p[best])
         return names, scores
 
 
-#: By the broadcast's identity; the broadcast is held too, so that its identity is not used again.
-_LABELLERS: dict[int, tuple] = {}
+def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``most`` bytes, or of one row."""
+    lo = total = 0
+    for i, n in enumerate(sizes):
+        if i > lo and total + n > most:
+            yield lo, i
+            lo, total = i, 0
+        total += n
+    if lo < len(sizes):
+        yield lo, len(sizes)
 
 
-def predict(docs: DataFrame, net: ByteGru | None, *, id_col: str = "doc_id", text_col: str = "text", slice_docs: int = 256) -> DataFrame:
+def predict(docs: DataFrame, net: ByteGru | None, *, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 1 << 20) -> DataFrame:
     """``doc_id, lang_pred, score``."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if net is None:
@@ -247,15 +308,11 @@ def predict(docs: DataFrame, net: ByteGru | None, *, id_col: str = "doc_id", tex
     schema = T.StructType([src.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("labeller", _LABELLERS.clear)
-        if id(blob) not in _LABELLERS:
-            _LABELLERS.clear()
-            _LABELLERS[id(blob)] = (blob, Labeller(pickle.loads(blob.value)))
-        who = _LABELLERS[id(blob)][1]
+        who = Labeller(pickle.loads(blob.value))
         for b in batches:
-            for lo in range(0, b.num_rows, slice_docs):
-                part = b.slice(lo, slice_docs)
-                names, scores = who.label(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, type=pa.string()), pa.array(scores, type=pa.float64())], names=schema.names)
+            texts = b.column(1).to_pylist()
+            for lo, hi in slices([len(t or "") for t in texts], slice_bytes):
+                names, scores = who.label(texts[lo:hi])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(names, type=pa.string()), pa.array(scores, type=pa.float64())], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
