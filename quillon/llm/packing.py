@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .wordbpe import default_tokenizer, encoder
+from .wordbpe import default_tokenizer, encoder, gathered_rows, with_end
 from .workers import lean
 
 CAPACITY = 2048
@@ -155,7 +155,6 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, *, capacity: int =
     ``sequence_id`` is the task's number times 2**32 plus a running number, so it is unique and has gaps.
     """
     path = tokenizer_path or default_tokenizer()
-    end = np.array([end_id], dtype="<u4").tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,12 +182,16 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, *, capacity: int =
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-        for b in batches:
-            kind = b.column(0).type
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                emit(packer.add(key, enc.encode(text.as_py()) + end))
-                if len(rows) >= 2000:
-                    yield batch()
+        for table, texts in gathered_rows(batches, 1):
+            kind, keys = table.column(0).type, table.column(0).to_pylist()
+            for lo, hi, ids, n in enc.encode_rows(texts):
+                ids, n = with_end(ids, n, end_id)
+                raw, at = ids.astype("<u4").tobytes(), 0
+                for key, size in zip(keys[lo:hi], n.tolist(), strict=True):
+                    emit(packer.add(key, raw[4 * at: 4 * (at + size)]))
+                    at += size
+                    if len(rows) >= 2000:
+                        yield batch()
         emit(packer.close())
         if rows:
             yield batch()

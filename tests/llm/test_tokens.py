@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.orc as orc
 import pytest
 from cases import corpus, frame
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 
 from quillon.llm.packing import SquaresPacker, pack
 from quillon.llm.token_orc import read_document, token_rows, with_crc32, write_tokens
-from quillon.llm.wordbpe import ChunkEncoder, default_tokenizer
+from quillon.llm.wordbpe import ChunkEncoder, default_tokenizer, gathered_rows
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +28,7 @@ def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
 
-ENC = ChunkEncoder(default_tokenizer(), max_entries=50)
+ENC = ChunkEncoder(default_tokenizer())
 
 
 @settings(max_examples=300, deadline=None)
@@ -39,6 +40,25 @@ def test_chunks_encode_as_the_whole(text):
     assert np.frombuffer(ENC.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_many_texts_encode_as_each(tok):
+    texts = [t for _, t in corpus(3, 40)] + ["a, b. c.,. .,", "x\x01y \x01", "İstanbul DİYARBAKIR ok", "ß ẞ ǅ", "  ", "\u00a0a\u2028b", "dz" * 5000, "<|endoftext|>x. Y", "é" * 30 + ".,", "don't 'tis it's"]
+    for part in (texts, texts[::-1], texts * 3):
+        got, at = [None] * len(part), 0
+        for lo, hi, ids, n in ENC.encode_rows(part, most_words=50):
+            assert lo == at and len(ids) == n.sum()
+            at = hi
+            cuts = np.concatenate(([0], np.cumsum(n)))
+            got[lo:hi] = [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in part]
+
+
+def test_rows_are_put_together():
+    batches = [pa.RecordBatch.from_pydict({"i": list(range(k, k + 7)), "t": ["ab" * (j % 4) or None for j in range(7)]}) for k in (0, 7, 14)]
+    for most in (1, 5, 13, 1000):
+        rows = [(i, t) for table, texts in gathered_rows(iter(batches), 1, most) for i, t in zip(table.column(0).to_pylist(), texts, strict=True)]
+        assert rows == [(i, t) for b in batches for i, t in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+
+
 def test_orc_round_trip(spark, tok):
     rows = corpus()
     path = write_tokens(frame(spark, rows), files=3)
@@ -54,14 +74,82 @@ def test_orc_round_trip(spark, tok):
     assert [list(x.ids) for x in one] == [whole(tok, dict(rows)[7], 2)]
 
 
+def fields(data):
+    """(number, value) pairs of a protocol buffer message."""
+    def varint(i):
+        value = shift = 0
+        while True:
+            value |= (data[i] & 127) << shift
+            shift += 7
+            i += 1
+            if data[i - 1] < 128:
+                return value, i
+
+    i, out = 0, []
+    while i < len(data):
+        tag, i = varint(i)
+        if tag & 7 == 0:
+            value, i = varint(i)
+        elif tag & 7 == 2:
+            n, i = varint(i)
+            value, i = data[i: i + n], i + n
+        else:
+            n = 8 if tag & 7 == 1 else 4
+            value, i = data[i: i + n], i + n
+        out.append((tag >> 3, value))
+    return out
+
+
+def orc_stripes(path):
+    """For each stripe: rows, kinds of streams of doc_id, encoding of the ids; and the file's row index stride."""
+    import zstandard
+
+    data = path.read_bytes()
+    ps = dict(fields(data[-1 - data[-1]: -1]))
+    assert ps[2] == 5  # zstandard
+
+    def message(raw):
+        out, i = b"", 0
+        while i < len(raw):
+            head = int.from_bytes(raw[i: i + 3], "little")
+            part = raw[i + 3: i + 3 + (head >> 1)]
+            out += part if head & 1 else zstandard.ZstdDecompressor().decompress(part, max_output_size=1 << 22)
+            i += 3 + (head >> 1)
+        return fields(out)
+
+    end = len(data) - 1 - data[-1]
+    footer = message(data[end - ps[1]: end])
+    out = []
+    for k, v in footer:
+        if k == 3:
+            info = dict(fields(v))
+            at = info.get(1, 0) + info[2] + info[3]
+            tail = message(data[at: at + info[4]])
+            streams = [dict(fields(x)) for n, x in tail if n == 1]
+            encodings = [dict(fields(x)).get(1, 0) for n, x in tail if n == 2]
+            out.append((info[5], {x.get(1, 0) for x in streams if x.get(2, 0) == 1}, encodings[6]))
+    return out, dict(footer)[8]
+
+
 def test_orc_layout(spark, tmp_path):
-    rows = [(i, f"text number {i}") for i in range(3000)]
-    path = write_tokens(frame(spark, rows), str(tmp_path / "o"), files=2, stride=1000)
+    rows = [(i, f"text number {i} " + "and so on " * (i % 40)) for i in range(20000)]
+    path = write_tokens(frame(spark, rows), str(tmp_path / "o"), files=2, stride=1000, stripe_bytes=1 << 16)
     files = sorted((tmp_path / "o").glob("*.orc"))
-    assert sum(orc.ORCFile(f).nrows for f in files) == 3000
-    assert b"doc_id" in files[0].read_bytes()[-4000:] or orc.ORCFile(files[0]).schema.names[0] == "doc_id"
-    plan = read_document(spark, path, [5])._jdf.queryExecution().toString()
+    assert sum(orc.ORCFile(f).nrows for f in files) == 20000
+    for f in files:
+        stripes, stride = orc_stripes(f)
+        assert stride == 1000 and len(stripes) > 1  # stripes are read in parallel
+        for _, kinds, encoding in stripes:
+            assert {6, 8} <= kinds  # row index; Bloom filter
+            assert encoding == 2  # second version of run-length encoded integers
+    found = read_document(spark, path, [5])
+    plan = found._jdf.queryExecution().toString()
     assert "PushedFilters: [In(doc_id, [5])]" in plan or "EqualTo(doc_id,5)" in plan
+    # The row index leaves few rows to read.
+    assert len(found.collect()) == 1
+    executed = found._jdf.queryExecution().executedPlan()
+    leaf = executed.collectLeaves().head()
+    assert 1 <= leaf.metrics().apply("numOutputRows").value() <= 2000
 
 
 def test_orc_empty(spark):
