@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_parts, work_path
-from .wordbpe import default_tokenizer, encoder
+from ..sources.stores import scratch
+from .common import shuffle_parts
+from .wordbpe import default_tokenizer, encoder, gathered_rows, with_end
+from .workers import lean
 
 
 def write_tokens(docs: DataFrame, path: str | None = None, tokenizer_path: str | None = None, *, end_id: int = 2,
@@ -35,8 +37,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer_path: str |
     """
     spark = docs.sparkSession
     tok = tokenizer_path or default_tokenizer()
-    path = path or work_path(spark, "tokens")
-    end = np.array([end_id], dtype="<u4").tobytes()
+    path = path or scratch(spark, "tokens")
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema[0].dataType
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
@@ -46,24 +47,21 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer_path: str |
         from pyspark import TaskContext
 
         enc, part, start = encoder(tok), TaskContext.get().partitionId(), 0
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                piece = b.slice(lo, 256)
-                ids = [enc.encode(x.as_py()) + end for x in piece.column(1)]
-                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                begin = start + np.concatenate(([0], np.cumsum(n)[:-1]))
-                start += int(n.sum())
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], np.cumsum(n))), type=pa.int32()),
-                    pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+        for table, texts in gathered_rows(batches, 1, 20 << 20):
+            doc = table.column(0).combine_chunks()
+            for lo, hi, ids, n in enc.encode_rows(texts):
+                ids, n = with_end(ids, n, end_id)
+                ends = np.concatenate(([0], np.cumsum(n)))
+                lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(begin), pa.array(n), lists],
+                    [doc.slice(lo, hi - lo), pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(start + ends[:-1]), pa.array(n), lists],
                     names=["doc_id", "part", "local_start", "n_tokens", "ids"])
+                start += int(ends[-1])
 
     schema = T.StructType([
         T.StructField("doc_id", kind), T.StructField("part", T.IntegerType()), T.StructField("local_start", T.LongType()),
         T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    (sliced.mapInArrow(run, schema).write
+    (sliced.mapInArrow(lean(run, "encoder"), schema).write
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
      .option("orc.create.index", "true").option("orc.row.index.stride", str(stride))
      .option("orc.stripe.size", str(stripe_bytes)).option("compression", "zstd").orc(path))
@@ -73,13 +71,14 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer_path: str |
 def token_rows(spark: SparkSession, path: str) -> DataFrame:
     """The dataset's rows ``doc_id, start, n_tokens, ids``; filters on doc_id reach the ORC reader.
 
-    The ids before each file are a running sum over one row for each file, the only single-task step.
+    The ids before each file are a running sum over one row of two numbers for each file, which is the only single-task
+    step; those rows are few enough to go to all tasks, so the ids themselves never move.
     """
     rows = spark.read.orc(path)
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before"))
-    return (rows.join(parts, "part")
+    return (rows.join(F.broadcast(parts), "part")
             .select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids"))
 
 
@@ -98,7 +97,7 @@ def with_crc32(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), count, pa.array(crc, type=pa.int64())],
                                              names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, schema)
+    return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(lean(run), schema)
 
 
 def read_document(spark: SparkSession, path: str, doc_ids: list) -> DataFrame:
