@@ -23,10 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .wordbpe import gathered_rows
 from .workers import claim, lean
 
 MARK = "▁"
@@ -54,11 +56,10 @@ class CountingTrie:
 
     def __init__(self, vocabulary: dict[str, float], max_nodes: int = 600_000):
         self.vocabulary, self.max_nodes = vocabulary, max_nodes
-        self.longest = max(map(len, vocabulary), default=1)
         self.unknown_score = min(vocabulary.values(), default=0.0) - 10
-        self.heads = {p[-1]: 0 for p in vocabulary}
-        for p in vocabulary:
-            self.heads[p[-1]] = max(self.heads[p[-1]], len(p))
+        # All ends of pieces, with the score of those that are pieces: beyond an unknown end no piece can begin.
+        self.ends: dict[str, float | None] = {p[i:]: None for p in vocabulary for i in range(len(p))}
+        self.ends.update(vocabulary)
         self._empty()
 
     def _empty(self) -> None:
@@ -74,18 +75,21 @@ class CountingTrie:
         if len(self.score) + len(word) > self.max_nodes:
             self._empty()
         edge, score, pieces, node, path = self.edge, self.score, self.pieces, 0, [0]
-        vocabulary = self.vocabulary
+        vocabulary, ends = self.vocabulary, self.ends
         for i, c in enumerate(word):
             child = edge.get((node, c))
             if child is None:
                 end, best, n = i + 1, None, 0
-                # Pieces that end here, the longest first as it starts earliest; a tie keeps the earlier start.
-                for lo in range(max(0, end - self.heads.get(c, 0)), end):
-                    p = vocabulary.get(word[lo:end])
-                    if p is not None:
-                        s = score[path[lo]] + p
-                        if best is None or s > best:
-                            best, n = s, pieces[path[lo]] + 1
+                # Pieces that end here, the shortest first; a tie goes to the earlier start.
+                for lo in range(i, -1, -1):
+                    p = ends.get(word[lo:end], False)
+                    if p is None:
+                        continue
+                    if p is False:
+                        break
+                    s = score[path[lo]] + p
+                    if best is None or s >= best:
+                        best, n = s, pieces[path[lo]] + 1
                 if c not in vocabulary:
                     s = score[node] + self.unknown_score
                     if best is None or s > best:
@@ -117,11 +121,17 @@ def token_counts(docs: DataFrame, model_file: str | None = None, *, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = _trie(path)
-        for b in batches:
-            words = [x.split() if x else [] for x in b.column(1).to_pylist()]
-            # Each distinct word of the batch goes to the trie once, in sorted order along shared prefixes.
-            table = {w: trie.count(MARK + w) for w in sorted(set().union(*words))} if words else {}
-            total = [sum(map(table.__getitem__, w)) for w in words]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array([len(w) for w in words], dtype=np.int64)), pa.array(total, type=pa.int64())], names=schema.names)
+        for table, texts in gathered_rows(batches, 1):
+            lists = pc.utf8_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+            words = lists.flatten().dictionary_encode()
+            distinct = words.dictionary.to_pylist()
+            # Each distinct word of some million characters goes to the trie once, in sorted order along shared prefixes.
+            tokens = np.zeros(len(distinct), dtype=np.int64)
+            for i in sorted(range(len(distinct)), key=distinct.__getitem__):
+                tokens[i] = trie.count(MARK + distinct[i]) if distinct[i] else 0
+            at, ends = words.indices.to_numpy(), lists.offsets.to_numpy()
+            real = np.array([w != "" for w in distinct], dtype=np.int64)  # white space at a text's ends leaves empty words
+            sums = [np.diff(np.concatenate(([0], np.cumsum(x[at])))[ends]) for x in (real, tokens)]
+            yield pa.RecordBatch.from_arrays([table.column(0).combine_chunks(), *map(pa.array, sums)], names=schema.names)
 
     return src.mapInArrow(lean(run, "trie"), schema)

@@ -35,6 +35,10 @@ def test_token_counts(spark):
     got = sorted(((x.doc_id, x.n_pretokens, x.n_tokens) for x in token_counts(frame(spark, rows)).collect()), key=str)
     assert got == sorted(((i, len((t or "").split()), sum(trie.count(MARK + w) for w in (t or "").split())) for i, t in rows), key=str)
     assert token_counts(frame(spark, [])).count() == 0
+    # Words are what str.split sees.
+    odd = [(i, f"a{chr(c)}b{chr(c)}") for i, c in enumerate([*range(1, 0x3001), 0xFEFF, 0x1F600]) if not 0xD800 <= c < 0xE000]
+    got = {x.doc_id: x.n_pretokens for x in token_counts(frame(spark, odd)).collect()}
+    assert got == {i: len(t.split()) for i, t in odd}
 
 
 def held(i):
