@@ -182,7 +182,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, *, capacity: int =
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-        for table, texts in gathered_rows(batches, 1):
+        for table, texts in gathered_rows(batches, 1, clean=enc.plain):
             kind, keys = table.column(0).type, table.column(0).to_pylist()
             for lo, hi, ids, n in enc.encode_rows(texts):
                 ids, n = with_end(ids, n, end_id)
@@ -190,7 +190,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, *, capacity: int =
                 for key, size in zip(keys[lo:hi], n.tolist(), strict=True):
                     emit(packer.add(key, raw[4 * at: 4 * (at + size)]))
                     at += size
-                    if len(rows) >= 2000:
+                    if len(rows) >= 1000:
                         yield batch()
         emit(packer.close())
         if rows:

@@ -121,8 +121,8 @@ def token_counts(docs: DataFrame, model_file: str | None = None, *, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = _trie(path)
-        for table, texts in gathered_rows(batches, 1):
-            lists = pc.utf8_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+        for table, texts in gathered_rows(batches, 1, 12 << 20):
+            lists = pc.utf8_split_whitespace(texts)
             words = lists.flatten().dictionary_encode()
             distinct = words.dictionary.to_pylist()
             # Each distinct word of some million characters goes to the trie once, in sorted order along shared prefixes.

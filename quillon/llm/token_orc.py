@@ -47,7 +47,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer_path: str |
         from pyspark import TaskContext
 
         enc, part, start = encoder(tok), TaskContext.get().partitionId(), 0
-        for table, texts in gathered_rows(batches, 1, 20 << 20):
+        for table, texts in gathered_rows(batches, 1, 20 << 20, enc.plain):
             doc = table.column(0).combine_chunks()
             for lo, hi, ids, n in enc.encode_rows(texts):
                 ids, n = with_end(ids, n, end_id)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .workers import claim
+from .workers import claim, trim
 
 MARK = "\x01"
 
@@ -40,8 +40,8 @@ class ChunkEncoder:
         mark = self.tok.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
-    def _plain(self, text: str | None) -> str:
-        """The text in chunks with one blank between them, in lower case where that is sure to change no id."""
+    def plain(self, text: str | None) -> str:
+        """The text in chunks with one blank between them, in lower case where that is sure to change no id; null is the empty text."""
         if not text:
             return ""
         if "<|" not in text:
@@ -107,12 +107,12 @@ class ChunkEncoder:
         both = np.stack([first, n_words + n_other + second], axis=1).ravel()
         return size[both].reshape(-1, 2).sum(1), _gathered(flat, size, both)
 
-    def encode_rows(self, texts: list[str | None], most_words: int = 200_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(first row, row after the last, ids of these texts in a row, number of each text's ids); null encodes as the empty text.
+    def encode_rows(self, texts: pa.LargeStringArray, most_words: int = 200_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, row after the last, ids of these ``plain`` texts in a row, number of each text's ids).
 
         Chunks are told apart over all texts; ids are put together for about ``most_words`` chunks at a time.
         """
-        lists = pc.split_pattern(pa.array([self._plain(t) for t in texts], pa.large_string()), pattern=" ")
+        lists = pc.split_pattern(texts, pattern=" ")
         words = lists.flatten().dictionary_encode()
         size, flat = self._chunk_ids(words.dictionary)
         at, ends = words.indices.to_numpy(), lists.offsets.to_numpy()
@@ -123,7 +123,7 @@ class ChunkEncoder:
 
     def encode(self, text: str | None) -> bytes:
         """Ids of one text as little-endian unsigned 32-bit integers."""
-        return b"".join(ids.astype("<u4").tobytes() for _, _, ids, _ in self.encode_rows([text]))
+        return b"".join(ids.astype("<u4").tobytes() for _, _, ids, _ in self.encode_rows(pa.array([self.plain(text)], pa.large_string())))
 
 
 def _gathered(flat: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -157,22 +157,31 @@ def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
-def gathered_rows(batches: Iterator[pa.RecordBatch], text_column: int, most_chars: int = 12 << 20) -> Iterator[tuple[pa.Table, list[str | None]]]:
-    """Batches put together until their texts have about ``most_chars`` characters, as tables and lists of texts."""
-    held: list[pa.RecordBatch] = []
-    texts: list[str | None] = []
+def gathered_rows(batches: Iterator[pa.RecordBatch], text_column: int, most_chars: int = 3 << 20,
+                  clean: Callable[[str | None], str] = lambda t: t or "") -> Iterator[tuple[pa.Table, pa.LargeStringArray]]:
+    """Batches put together until their texts have about ``most_chars`` characters: the other columns, and the texts, made ``clean``.
+
+    Texts are held once, and what a slice has used is given back before the next one.
+    """
+    held: list[pa.Table] = []
+    texts: list[str] = []
     chars = 0
     for whole in batches:
-        column = whole.column(text_column).to_pylist()
-        for lo, hi in slices([len(t or "") for t in column], most_chars):
-            held.append(whole.slice(lo, hi - lo))
+        rest = pa.Table.from_batches([whole]).remove_column(text_column)
+        column = list(map(clean, whole.column(text_column).to_pylist()))
+        for lo, hi in slices(list(map(len, column)), most_chars):
+            held.append(rest.slice(lo, hi - lo))
             texts += column[lo:hi]
-            chars += sum(len(t or "") for t in column[lo:hi])
+            chars += sum(map(len, column[lo:hi]))
             if chars >= most_chars:
-                yield pa.Table.from_batches(held), texts
-                held, texts, chars = [], [], 0
+                column[:hi] = [None] * hi
+                found, texts, chars = pa.array(texts, pa.large_string()), [], 0
+                yield pa.concat_tables(held), found
+                held, found = [], None
+                trim()
     if held:
-        yield pa.Table.from_batches(held), texts
+        found, texts = pa.array(texts, pa.large_string()), []
+        yield pa.concat_tables(held), found
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
