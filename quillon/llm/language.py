@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out
+from .common import discard, held_out, written
 from .workers import lean
 
 SPAN, MARGIN, PIECE = 192, 16, 64
@@ -261,8 +261,10 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.binary()), strict=True)], names=["o", "l", "p"])
 
-    # Pieces of a fixed size, not texts, come to the driver.
-    found = rows.mapInArrow(lean(cut), "o long, l string, p binary").orderBy("o", "l", "p").collect()
+    # Pieces of a fixed size, not texts, come to the driver; they are written first, as sorting would read the documents twice.
+    drawn = written(rows.mapInArrow(lean(cut), "o long, l string, p binary"), "pieces")
+    found = drawn.orderBy("o", "l", "p").collect()
+    discard(drawn)
     place = {lang: i for i, lang in enumerate(languages)}
     return fit([(bytes(r["p"]), place[r["l"]]) for r in found], languages, **options) if found else None
 

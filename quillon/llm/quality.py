@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, written
+from .common import discard, held_out, written
 from .workers import claim, lean
 
 
@@ -179,7 +179,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col
     ids = [known.where(F.col("y") == k).orderBy(F.xxhash64("lid"), "lid").limit(sample) for k in (0, 1)]
     chosen = ids[0].unionByName(ids[1])  # at most twice ``sample`` rows
     rows = docs.select(F.col(id_col).alias("lid"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "lid")
-    rows = rows.groupBy("lid", "y").agg(F.min("text").alias("text"))
+    # Written, so that the documents are read once.
+    rows = written(rows.groupBy("lid", "y").agg(F.min("text").alias("text")), "labelled-texts", known)
     # One class after the other, so that the size bound cuts both alike.
     parts: dict[int, list] = {0: [], 1: []}
     for k in (0, 1):
@@ -189,6 +190,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col
             if size > sample_bytes // 2:
                 break
             parts[k].append(r.text)
+    discard(rows)
     turn = sorted((i, k, t) for k, p in parts.items() for i, t in enumerate(p) if t is not None)
     return [t for _, _, t in turn], [k for _, k, _ in turn], (totals.get(0, 0), totals.get(1, 0))
 
