@@ -149,10 +149,12 @@ def _schema(id_type: T.DataType, with_ids: bool) -> T.StructType:
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, *, capacity: int = CAPACITY, end_id: int = 1,
-         id_col: str = "doc_id", text_col: str = "text", max_open: int = 2048, with_ids: bool = True) -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", max_open: int = 2048, with_ids: bool = True,
+         slice_chars: int = 3 << 20) -> DataFrame:
     """Packs the documents; one row for each piece, with its token ids unless ``with_ids`` is off.
 
-    ``sequence_id`` is the task's number times 2**32 plus a running number, so it is unique and has gaps.
+    ``sequence_id`` is the task's number times 2**32 plus a running number, so it is unique and has gaps. Distinct words are encoded
+    once in about ``slice_chars`` characters: more take less time and more memory, about 15 bytes each.
     """
     path = tokenizer_path or default_tokenizer()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
@@ -182,7 +184,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, *, capacity: int =
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-        for table, texts in gathered_rows(batches, 1, clean=enc.plain):
+        for table, texts in gathered_rows(batches, 1, slice_chars, enc.plain):
             kind, keys = table.column(0).type, table.column(0).to_pylist()
             for lo, hi, ids, n in enc.encode_rows(texts):
                 ids, n = with_end(ids, n, end_id)

@@ -34,7 +34,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(load(spark, sf_dir, "documents"), with_ids=False)
+    return pack(load(spark, sf_dir, "documents"), with_ids=False, slice_chars=10 << 20)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
