@@ -79,7 +79,7 @@ def _(spark, d):
     stats = lambda rows: g.as_vectors(g.accumulate(rows, ["label"]), ["label"], ("w", "sx", "sxx")).select("label", F.col("w")[0].alias("w"), "sx", "sxx")
     base = label_models(spark, d).select("model_id", "mean", "var")
     out = g.mmi(base, stats(f), stats(f.where("t % 3 = 0")))
-    return out.select("model_id", F.posexplode(F.arrays_zip("mean", "var")).alias("d", "p")).select("model_id", "d", F.round("p.mean", 6).alias("mean"), F.round("p.var", 6).alias("var"))
+    return out.select("model_id", F.posexplode(F.arrays_zip("mean", "var")).alias("d", "p")).select("model_id", F.col("d").cast("long"), F.round("p.mean", 6).alias("mean"), F.round("p.var", 6).alias("var"))
 
 
 @query("agg9_average_energy", v.with_views(f"SELECT stream_id, {r('avg(energy) + 1e-9')} AS mean, {r('avg(energy) + 1e-9 - 2 * stddev_pop(energy)', 5)} AS threshold FROM energy JOIN (SELECT stream_id, avg(energy) AS m FROM energy GROUP BY 1) USING (stream_id) WHERE energy > m GROUP BY stream_id", "energy"))

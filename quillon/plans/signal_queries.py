@@ -533,4 +533,5 @@ def _(spark, d):
 @query("str_watermarked_stream", 'SELECT user_id AS stream_id, b AS "begin", count(*) AS frames, (round(avg(value) + 1e-9, 5) + 0.0) AS mean FROM (SELECT user_id, value, time_bucket(INTERVAL 1 DAY, ts) AS b, max(ts) OVER () AS latest FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL) WHERE b + INTERVAL 1 DAY <= latest - INTERVAL 1 DAY GROUP BY 1, 2')
 def _(spark, d):
     rows = _events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    return _run(on.tumbling_means(_stream_of(spark, rows, "events"), "1 day", late="1 day")).withColumn("mean", F.round(F.col("mean") + 1e-9, 5))
+    out = _run(on.tumbling_means(_stream_of(spark, rows, "events"), "1 day", late="1 day"))
+    return out.withColumn("mean", F.round(F.col("mean") + 1e-9, 5)).withColumn("begin", F.col("begin").cast("timestamp_ntz"))
