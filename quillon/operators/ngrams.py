@@ -42,12 +42,13 @@ def estimate(words: DataFrame, by: str = "doc_id", order: str = "pos", least: in
     """LM-12: relative frequencies; bigrams and trigrams need ``least`` occurrences, contexts back off by a constant."""
     counts = count_words(words, by, order)
     c3 = counts.where("w3 is not null")
+    # Small beside the counts and read several times; written, their sizes are known, so joins to them need not deal out the counts.
     c2 = materialised(counts.where("w2 is not null").groupBy("w1", "w2").agg(F.sum("c").alias("c")), "pair-counts")
     # A text's last word has a row of its own in ``counts``, so these sums are the words' frequencies.
     c1 = materialised(counts.groupBy("w1").agg(F.sum("c").alias("c")), "single-counts")
     total = c1.agg(F.sum("c").alias("total"))
-    uni = c1.crossJoin(F.broadcast(total)).select("w1", F.log10(F.col("c") / F.col("total")).alias("p"), F.lit(backoff).alias("bo"))
-    bi = c2.where(F.col("c") >= least).join(c1.withColumnRenamed("c", "m"), "w1").select("w1", "w2", F.log10(F.col("c") / F.col("m")).alias("p"), F.lit(backoff).alias("bo"))
+    uni = materialised(c1.crossJoin(F.broadcast(total)).select("w1", F.log10(F.col("c") / F.col("total")).alias("p"), F.lit(backoff).alias("bo")), "unigrams")
+    bi = materialised(c2.where(F.col("c") >= least).join(c1.withColumnRenamed("c", "m"), "w1").select("w1", "w2", F.log10(F.col("c") / F.col("m")).alias("p"), F.lit(backoff).alias("bo")), "bigrams")
     tri = c3.where(F.col("c") >= least).join(c2.withColumnRenamed("c", "m"), ["w1", "w2"]).select("w1", "w2", "w3", F.log10(F.col("c") / F.col("m")).alias("p"))
     return Ngrams(uni, bi, tri, counts)
 

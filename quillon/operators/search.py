@@ -349,14 +349,11 @@ def error_regions(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     reference word is unknown, ``SEARCH`` if the reference scores better in all, else ``AM_LM``, ``LM`` or ``AM`` by which of the
     hypothesis' scores are better.
     """
-    # Each side is read twice, so both are made once.
-    ref, hyp = materialised(ref, "reference"), materialised(hyp, "hypothesis")
-    matched = align_words(ref, hyp).select("utt", "end", "word", "hist", F.lit(True).alias("_m"))
-    sides = []
-    for rows, side in ((ref, 1), (hyp, 0)):
-        rows = rows.join(matched.distinct(), ["utt", "end", "word", "hist"], "left").withColumn("_m", F.coalesce("_m", F.lit(False)))
-        sides.append(rows.select("utt", "end", "_m", "am", "lm", (F.col("oov") if side else F.lit(False)).alias("oov"), F.lit(side).alias("side"), "ord"))
-    both = sides[0].unionByName(sides[1])
+    sides = [rows.select("utt", "end", "word", "hist", "am", "lm", (F.col("oov") if side else F.lit(False)).alias("oov"), F.lit(side).alias("side"), "ord") for rows, side in ((ref, 1), (hyp, 0))]
+    # Both sides are dealt out by utterance once; matches, regions and sums are all found there.
+    both = sides[0].unionByName(sides[1]).repartition("utt")
+    same = Window.partitionBy("utt", "end", "word", "hist")
+    both = both.withColumn("_m", F.col("end").isNotNull() & F.col("word").isNotNull() & F.col("hist").isNotNull() & (F.min("side").over(same) < F.max("side").over(same)))
     w = Window.partitionBy("utt").orderBy("end", F.desc("side"), "ord").rowsBetween(Window.unboundedPreceding, -1)
     both = both.withColumn("region", F.coalesce(F.sum(F.when(F.col("_m") & (F.col("side") == 1), 1).otherwise(0)).over(w), F.lit(0)))
     wrong = both.where("not _m").groupBy("utt", "region").agg(
