@@ -14,7 +14,7 @@ link when ``100 * intersection >= percent * union``.
    number of shingles that both prefixes hold, which limits what the sets can share: the rest is at most what lies
    beyond the prefix that ends first. A list of more than ``hot_list`` groups deals out no pairs: it ties its groups to one hub for each
    band of sizes, and a hub to that of the next band, as linked sets differ in size by a bounded factor. Pairs and ties
-   join groups to clusters, so that every link lies inside one.
+   join groups to clusters, so that every link lies inside one; a group of several classes that meets no other is a cluster of its own.
 4. Members are expanded and verified inside their cluster: intersections are counted exactly over an index of the
    cluster's shingles. A cluster over ``block_shingles`` is dealt in blocks, and each pair of blocks is one
    task, so that no task holds more than two blocks. Where only components are asked for, the members that link with
@@ -152,15 +152,19 @@ def few_rows(df: DataFrame, row_bytes: int, most: int) -> bool:
 
 
 def prefix_clusters(sets: DataFrame, percent: int, hot_list: int, broadcast_bytes: int) -> DataFrame:
-    """``gid, cluster`` for groups that may link with another group by their prefixes; ``gid`` is ``g1``."""
-    groups = written(sets.dropDuplicates(["g1", "g2"]).select(F.col("g1").alias("gid"), "n", "prefix"), "groups")
+    """``gid, cluster`` for groups that hold several classes or may link with another group by their prefixes; ``gid`` is ``g1``."""
+    several = (F.min("k1") != F.max("k1")) | (F.min("k2") != F.max("k2"))
+    groups = sets.groupBy("g1", "g2").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), several.alias("several"))
+    groups = written(groups.select(F.col("g1").alias("gid"), "n", "prefix", "several"), "groups")
+    # Classes with the same prefix and size are compared with each other, whether or not their group meets another one.
+    alone = written(groups.where("several").select("gid").distinct(), "groups-of-several")
     post = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "shingle"))
     lists = written(post.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "prefix-lists")
     cold, hot = (lists.where(F.col("c") <= hot_list).select("shingle"), lists.where(F.col("c") > hot_list).select("shingle"))
     # Hot lists are few, as each has many entries; they are taken out before anything is dealt out by shingle.
     hot = F.broadcast(hot) if few_rows(hot, 16, broadcast_bytes) else hot
-    # Bands of sizes: linked sets are in the same band or in neighbours.
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
+    # Bands of sizes: linked sets are in the same band or in neighbours. They are a little wider than needed, so that rounding parts none.
+    band = F.floor(F.log(F.col("n").cast("double")) / (max(float(np.log(100 / percent)), 1e-9) * (1 + 1e-9)))
     warm = written(post.join(hot, "shingle", "left_semi").select("shingle", "gid", band.alias("band")), "hot-entries")
     # Hot shingles of a prefix are not counted in pairs, so they may all be shared.
     held = written(warm.groupBy("gid").agg(F.count(F.lit(1)).alias("held")), "hot-counts")
@@ -184,8 +188,10 @@ def prefix_clusters(sets: DataFrame, percent: int, hot_list: int, broadcast_byte
     following = hubs.select("shingle", (F.col("band") - 1).alias("band"), F.col("hub").alias("b"))
     ties = ties.unionByName(hubs.join(following, ["shingle", "band"]).select(F.col("hub").alias("a"), "b"))
     edges = written(pairs.unionByName(ties), "prefix-pairs", entries, warm, hubs, lists, groups)
-    found = written(components(edges).select(F.col("node").alias("gid"), F.col("root").alias("cluster")), "clusters", edges)
-    return found
+    found = written(components(edges).select(F.col("node").alias("gid"), F.col("root").alias("cluster")), "tied-groups", edges)
+    near = F.broadcast(found) if few_rows(found, 24, broadcast_bytes) else found
+    alone_too = alone.join(near, "gid", "left_anti").select("gid", F.col("gid").alias("cluster"))
+    return written(found.unionByName(alone_too), "clusters", found, alone)
 
 
 def in_blocks(members: DataFrame, key: str, size: str, most: int, broadcast_bytes: int) -> DataFrame:

@@ -79,6 +79,26 @@ def test_links_cover_every_pair_of_different_sets(spark, options):
     assert got == want
 
 
+def test_sets_of_one_size_and_prefix_are_compared_with_each_other(spark):
+    """They differ in frequent words only, and no other document holds a shingle of their prefix."""
+    r = random.Random(6)
+    often, seldom = [f"c{i}" for i in range(120)], [f"s{i}" for i in range(60)]
+    rows = [(1, " ".join(seldom + often)), (2, " ".join(seldom + often[:-1] + ["c5"]))]
+    rows += [(100 + i, " ".join(r.sample(often, 60))) for i in range(30)]
+    assert (2, 177, 1) in brute(rows)
+    for options in ({}, {"broadcast_bytes": 0}):
+        got = join(frame(spark, rows), **options).collect()
+        assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=str) == brute(rows)
+    assert link(frame(spark, rows))[2].count() == 1
+
+
+@pytest.mark.parametrize("percent,few,many", [(10, 1000, 10_000), (100, 30, 30)])
+def test_bands_of_sizes_at_round_thresholds(spark, percent, few, many):
+    rows = [(d, " ".join(f"w{i}" for i in range(n))) for d, n in ((1, few), (2, many), (3, many + 1))]
+    got = join(frame(spark, rows), size=1, percent=percent, hot_list=1).collect()
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=str) == brute(rows, 1, percent)
+
+
 def test_forest_joins_what_all_links_join():
     r = np.random.default_rng(4)
     for _ in range(40):
