@@ -7,7 +7,9 @@ link when ``100 * intersection >= percent * union``.
    a 128-bit BLAKE2 digest of its set.
 2. Shingles are ordered by the document frequency of their rarest word, then by hash. The order needs
    the ``top_words`` most frequent words only: all others count as rarer. Two classes that link share a
-   shingle within the first ``n - ceil(percent * n / 100) + 1`` of each, its prefix.
+   shingle within the first ``n - ceil(percent * n / 100) + 1`` of each, its prefix. Shingles on the prefixes of more than
+   ``late_list`` groups, as those of a passage that many texts hold, are then put last in the order, and the prefixes
+   that held them are taken again. Any common order finds every link; this one keeps such passages from tying other texts.
 3. Classes with the same prefix and size form a group, and groups are what the prefix lists hold. Group pairs are
    filtered three times. By their sizes. By the shingle's places i and j in both: were it the first that they
    share, they could share ``min(n - i, m - j)`` at most, and the first shared shingle passes this for every link. By the
@@ -71,6 +73,19 @@ def digest(values: np.ndarray, extra: int = 0) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
+def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
+    """The rows of a written table with the largest counts, ``most`` at most; rows of one count are all in or all out."""
+    # The least count that leaves at most that many, from the number of rows at each count.
+    least, room = 1 << 62, most
+    # Each count is that of a row at least, so no more than ``most`` of them are needed.
+    for r in counts.groupBy(F.col(column).alias("c")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("c")).limit(most + 1).collect():
+        room -= r.k
+        if room < 0:
+            break
+        least = r.c
+    return counts.where(F.col(column) >= least)
+
+
 def word_frequencies(docs: DataFrame, text_col: str, top_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and document frequencies of the most frequent words; at most ``top_words`` reach the driver."""
 
@@ -88,33 +103,26 @@ def word_frequencies(docs: DataFrame, text_col: str, top_words: int) -> tuple[np
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
 
     counts = written(docs.select(F.col(text_col).cast("string")).mapInArrow(lean(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    # The least frequency that leaves at most top_words, from the number of words at each frequency above 1.
-    least, room = 1 << 62, top_words
-    # Each frequency is that of a word at least, so no more than top_words of them are needed.
-    for r in counts.where("n > 1").groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).limit(top_words + 1).collect():
-        room -= r.k
-        if room < 0:
-            break
-        least = r.n
-    top = counts.where(F.col("n") >= least).toPandas()
+    top = most_frequent(counts.where("n > 1"), "n", top_words).toPandas()
     discard(counts)
     word = top["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(word)
     return word[order], top["n"].to_numpy(np.int64)[order]
 
 
-def shingled(docs: DataFrame, frequencies: tuple[np.ndarray, np.ndarray], *, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+def shingled(docs: DataFrame, frequencies: tuple[np.ndarray, np.ndarray], *, id_col: str, text_col: str, size: int, percent: int,
+             late: np.ndarray | None = None) -> DataFrame:
     """``doc_id, k1, k2, n, prefix, g1, g2`` for every document: digests of its set and of its prefix with the size, null for empty sets.
 
-    ``prefix`` is in the common order.
+    ``prefix`` is in the common order; the shingles in ``late``, sorted, come last in it.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequencies)  # bounded by top_words
+    shared = docs.sparkSession.sparkContext.broadcast((*frequencies, late))  # bounded by top_words and late_shingles
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([src.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("k1", "k2", "n")],
                            T.StructField("prefix", T.ArrayType(T.LongType())), *[T.StructField(c, T.LongType()) for c in ("g1", "g2")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = shared.value
+        words, counts, last = shared.value
         for b in batches:
             keys, sizes, prefixes, groups = [], [], [], []
             for _, own, at, h in shingle_sets(b.column(1), size):
@@ -133,7 +141,10 @@ def shingled(docs: DataFrame, frequencies: tuple[np.ndarray, np.ndarray], *, id_
                 for k in range(1, min(size, len(h))):
                     np.minimum(rarest, df[at + k], out=rarest)
                 take = n - -(-percent * n // 100) + 1
-                prefix = own[np.lexsort((own, rarest))[:take]]
+                order = (own, rarest)
+                if last is not None and len(last):
+                    order += (last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own,)
+                prefix = own[np.lexsort(order)[:take]]
                 keys.append(digest(own))
                 prefixes.append(prefix.view(np.int64))
                 groups.append(digest(prefix, n))
@@ -151,15 +162,66 @@ def few_rows(df: DataFrame, row_bytes: int, most: int) -> bool:
     return df.count() * row_bytes <= most
 
 
-def prefix_clusters(sets: DataFrame, percent: int, hot_list: int, broadcast_bytes: int) -> DataFrame:
-    """``gid, cluster`` for groups that hold several classes or may link with another group by their prefixes; ``gid`` is ``g1``."""
-    several = (F.min("k1") != F.max("k1")) | (F.min("k2") != F.max("k2"))
-    groups = sets.groupBy("g1", "g2").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), several.alias("several"))
-    groups = written(groups.select(F.col("g1").alias("gid"), "n", "prefix", "several"), "groups")
+def prefix_lists(groups: DataFrame) -> DataFrame:
+    """A written table ``shingle, c``: the groups with a shingle in their prefix, where they are several."""
+    return written(groups.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "prefix-lists")
+
+
+def prefix_groups(docs: DataFrame, full: DataFrame, frequencies: tuple[np.ndarray, np.ndarray], *, id_col: str, text_col: str, size: int, percent: int,
+                  late_list: int, late_shingles: int, late_rounds: int, broadcast_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: classes as ``k1, k2, low, rows, n, gid, cid``; groups as ``gid, n, prefix``; their lists as ``shingle, c``.
+
+    A shingle on more than ``late_list`` prefixes is put last in the common order, ``late_shingles`` at most, the most frequent
+    first. A prefix changes only where it holds such a shingle; the texts of those classes are read again. Other shingles take
+    the place, so this is done ``late_rounds`` times at most.
+    """
+    some = full.where("k1 is not null")
+    classes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows"), F.min("n").alias("n"), F.min("g1").alias("gid"))
+    # Written, so that the ids stay.
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    groups = written(some.dropDuplicates(["g1", "g2"]).select(F.col("g1").alias("gid"), "n", "prefix"), "groups")
+    lists, late = prefix_lists(groups), np.zeros(0, np.uint64)
+    for _ in range(late_rounds):
+        known = docs.sparkSession.createDataFrame(pa.table({"shingle": late.view(np.int64)}))
+        long = written(lists.where(F.col("c") > late_list).join(F.broadcast(known), "shingle", "left_anti"), "long-lists")
+        more = most_frequent(long, "c", late_shingles - len(late)).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
+        discard(long)
+        if not len(more):
+            break
+        late = np.sort(np.concatenate([late, more.view(np.uint64)]))
+        # Bounded by late_shingles.
+        new = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"shingle": more})))
+        hit = written(groups.select("gid", F.explode("prefix").alias("shingle")).join(new, "shingle", "left_semi").select("gid").distinct(), "late-groups")
+        few = F.broadcast(hit) if few_rows(hit, 8, broadcast_bytes) else hit
+        again = written(classes.join(few, "gid", "left_semi").select("low", "k1", "k2", "cid"), "late-classes")
+        wanted = again.select(F.col("low").alias("_q_low")).distinct()
+        wanted = F.broadcast(wanted) if few_rows(again, 40, broadcast_bytes) else wanted
+        found = shingled(docs.join(wanted, F.col(id_col).eqNullSafe(F.col("_q_low")), "left_semi"), frequencies, id_col=id_col, text_col=text_col,
+                         size=size, percent=percent, late=late)
+        # Another row may have the class's id but not its set.
+        near = F.broadcast(again) if few_rows(again, 40, broadcast_bytes) else again
+        found = found.join(near, ["k1", "k2"]).dropDuplicates(["cid"]).select("cid", F.col("g1").alias("moved"), "n", "prefix")
+        found = written(found, "late-prefixes", again)
+        moved = found.select("cid", "moved")
+        moved = F.broadcast(moved) if few_rows(moved, 16, broadcast_bytes) else moved
+        classes = written(classes.join(moved, "cid", "left").withColumn("gid", F.coalesce("moved", "gid")).drop("moved"), "classes", classes)
+        kept = groups.join(few, "gid", "left_anti")
+        # A prefix may be that of another group now.
+        fresh = found.select(F.col("moved").alias("gid"), "n", "prefix").dropDuplicates(["gid"])
+        ids = fresh.select("gid")
+        same = written(kept.select("gid").join(F.broadcast(ids) if few_rows(found, 8, broadcast_bytes) else ids, "gid", "left_semi"), "same-groups")
+        fresh = fresh.join(F.broadcast(same) if few_rows(same, 8, broadcast_bytes) else same, "gid", "left_anti")
+        groups = written(kept.unionByName(fresh), "groups", groups, hit, found, same)
+        discard(lists)
+        lists = prefix_lists(groups)
+    return classes, groups, lists
+
+
+def prefix_clusters(classes: DataFrame, groups: DataFrame, lists: DataFrame, percent: int, hot_list: int, broadcast_bytes: int) -> DataFrame:
+    """``gid, cluster`` for groups that hold several classes or may link with another group by their prefixes."""
     # Classes with the same prefix and size are compared with each other, whether or not their group meets another one.
-    alone = written(groups.where("several").select("gid").distinct(), "groups-of-several")
+    alone = written(classes.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gid"), "groups-of-several")
     post = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    lists = written(post.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "prefix-lists")
     cold, hot = (lists.where(F.col("c") <= hot_list).select("shingle"), lists.where(F.col("c") > hot_list).select("shingle"))
     # Hot lists are few, as each has many entries; they are taken out before anything is dealt out by shingle.
     hot = F.broadcast(hot) if few_rows(hot, 16, broadcast_bytes) else hot
@@ -311,17 +373,17 @@ def verified_links(docs: DataFrame, members: DataFrame, *, id_col: str, text_col
 
 
 def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, top_words: int = 200_000,
-         hot_list: int = 100, block_shingles: int = 1_000_000, broadcast_bytes: int = 32 << 20, forest: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+         hot_list: int = 100, late_list: int = 50, late_shingles: int = 500_000, late_rounds: int = 2, block_shingles: int = 1_000_000,
+         broadcast_bytes: int = 32 << 20, forest: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Written tables: documents as ``doc_id, k1, k2, n``; classes of equal sets as ``k1, k2, cid, low, rows``; links as ``a, b`` of class ids.
 
     With ``forest``, trees over the same components stand for the links, as all links of a large family are many.
     """
-    full = written(shingled(docs, word_frequencies(docs, text_col, top_words), id_col=id_col, text_col=text_col, size=size, percent=percent), "shingle-sets")
-    some = full.where("k1 is not null")
-    clusters = prefix_clusters(some, percent, hot_list, broadcast_bytes)
-    classes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows"), F.min("n").alias("n"), F.min("g1").alias("gid"))
-    # Written, so that the ids stay.
-    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    frequencies = word_frequencies(docs, text_col, top_words)
+    full = written(shingled(docs, frequencies, id_col=id_col, text_col=text_col, size=size, percent=percent), "shingle-sets")
+    classes, groups, lists = prefix_groups(docs, full, frequencies, id_col=id_col, text_col=text_col, size=size, percent=percent, late_list=late_list,
+                                           late_shingles=late_shingles, late_rounds=late_rounds, broadcast_bytes=broadcast_bytes)
+    clusters = prefix_clusters(classes, groups, lists, percent, hot_list, broadcast_bytes)
     sets = written(full.select("doc_id", "k1", "k2", "n"), "sets", full)
     near = F.broadcast(clusters) if few_rows(clusters, 32, broadcast_bytes) else clusters
     members = written(classes.join(near, "gid").select(F.col("low").alias("doc_id"), "k1", "k2", "cid", "n", "cluster"), "members", clusters)

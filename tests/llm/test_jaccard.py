@@ -7,7 +7,7 @@ import pytest
 from cases import corpus, frame
 from test_exact_dedup import FOLD
 
-from quillon.llm import wordhash
+from quillon.llm import jaccard_join, wordhash
 from quillon.llm.components import components
 from quillon.llm.jaccard_join import block_links, join, keep_representatives, link
 
@@ -92,6 +92,32 @@ def test_sets_of_one_size_and_prefix_are_compared_with_each_other(spark):
     assert link(frame(spark, rows))[2].count() == 1
 
 
+@pytest.mark.parametrize("options", [{"late_list": 1}, {"late_list": 1, "late_shingles": 25, "late_rounds": 4, "hot_list": 2, "broadcast_bytes": 0}])
+def test_shingles_put_last_lose_no_link(spark, options):
+    rows = corpus() + families(3) + families(4)[:20] + [(None, "n1 n2 n3 n4 n5"), (1001, "n1 n2 n3 n4 n5 n6")]
+    got = join(frame(spark, rows), **options).collect()
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=str) == brute(rows)
+
+
+def test_passages_of_many_texts_tie_no_cluster(spark, monkeypatch):
+    """Rare words in passages that over a hundred texts hold; before, all texts were dealt to one cluster and met in all pairs of blocks."""
+    r = random.Random(2)
+    passages = [" ".join(f"{p}{i}" for i in range(12)) for p in "pq"]
+    body = [" ".join(f"w{r.randrange(40)}" for _ in range(120)) for _ in range(130)]
+    rows = [(i, " ".join([b] + passages[:1] * (i < 105) + passages[1:] * (i >= 25))) for i, b in enumerate(body)]
+    rows.append((130, rows[50][1] + " w1"))
+    seen, verify = [], jaccard_join.verified_links
+
+    def counted(docs, members, **options):
+        seen.append(members.count())
+        return verify(docs, members, **options)
+
+    monkeypatch.setattr(jaccard_join, "verified_links", counted)
+    got = join(frame(spark, rows)).collect()
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=str) == brute(rows)
+    assert seen[0] < 10
+
+
 @pytest.mark.parametrize("percent,few,many", [(10, 1000, 10_000), (100, 30, 30)])
 def test_bands_of_sizes_at_round_thresholds(spark, percent, few, many):
     rows = [(d, " ".join(f"w{i}" for i in range(n))) for d, n in ((1, few), (2, many), (3, many + 1))]
