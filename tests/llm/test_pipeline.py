@@ -7,7 +7,7 @@ from test_exact_dedup import FOLD
 from test_jaccard import brute as near
 
 import corpus_pipeline
-from quillon.llm import quality
+from quillon.llm import jaccard_join, quality
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
                        T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -80,3 +80,23 @@ def test_empty_tables(spark, sf_dir, tmp_path):
         spark.read.parquet(f"{sf_dir[0]}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() == 0 and "sequence_id" in out.columns
+
+
+def test_near_stage_of_texts_with_common_passages(spark, monkeypatch):
+    """Two passages of rare words, each in over a hundred texts, bring no texts but the two near copies into a cluster."""
+    r = random.Random(5)
+    passages = [" ".join(f"{p}{i}" for i in range(14)) for p in "pq"]
+    body = [" ".join(f"w{r.randrange(40)}" for _ in range(120)) for _ in range(130)]
+    rows = [(i, " ".join([b] + passages[:1] * (i < 105) + passages[1:] * (i >= 25))) for i, b in enumerate(body)]
+    rows.append((130, rows[50][1] + " w1"))
+    seen, verify = [], jaccard_join.verified_links
+
+    def counted(docs, members, **options):
+        seen.append(members.count())
+        return verify(docs, members, **options)
+
+    monkeypatch.setattr(jaccard_join, "verified_links", counted)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = corpus_pipeline.near_stage(spark, docs, "").collect()
+    assert sorted(x.doc_id for x in got) == sorted(d for d, _, c in near(rows, 5, 80) if c == d) == list(range(130))
+    assert seen[0] < 10
