@@ -19,8 +19,8 @@ link when ``100 * intersection >= percent * union``.
    join groups to clusters, so that every link lies inside one; a group of several classes that meets no other is a cluster of its own.
 4. Members are expanded and verified inside their cluster: intersections are counted exactly over an index of the
    cluster's shingles. A cluster over ``block_shingles`` is dealt in blocks, and each pair of blocks is one
-   task, so that no task holds more than two blocks. Where only components are asked for, the members that link with
-   one central member are not compared with each other.
+   task, so that no task holds more than two blocks. Pairs and tasks are dealt in rounds, which bound what is on disk
+   at a time. Where only components are asked for, the members that link with one central member are not compared with each other.
 5. Components of the links, over classes, give each document the smallest id that it reaches.
 
 Shingles are 64-bit hashes, of which a pair of documents compares few; a wrongly joined group only makes a cluster
@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -217,8 +218,12 @@ def prefix_groups(docs: DataFrame, full: DataFrame, frequencies: tuple[np.ndarra
     return classes, groups, lists
 
 
-def prefix_clusters(classes: DataFrame, groups: DataFrame, lists: DataFrame, percent: int, hot_list: int, broadcast_bytes: int) -> DataFrame:
-    """``gid, cluster`` for groups that hold several classes or may link with another group by their prefixes."""
+def prefix_clusters(classes: DataFrame, groups: DataFrame, lists: DataFrame, percent: int, hot_list: int, broadcast_bytes: int, pair_rows: int) -> DataFrame:
+    """``gid, cluster`` for groups that hold several classes or may link with another group by their prefixes.
+
+    A list of c groups has c (c - 1) / 2 pairs, so pairs can be many more than entries. They are dealt in rounds by their smaller
+    group, each of about as many rows as there are entries, or ``pair_rows`` if that is more.
+    """
     # Classes with the same prefix and size are compared with each other, whether or not their group meets another one.
     alone = written(classes.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gid"), "groups-of-several")
     post = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "shingle"))
@@ -234,22 +239,31 @@ def prefix_clusters(classes: DataFrame, groups: DataFrame, lists: DataFrame, per
     entries = post.join(hot, "shingle", "left_anti").join(cold.hint("shuffle_hash"), "shingle").join(near, "gid", "left").select(
         "shingle", "gid", F.col("n").cast("int"), F.col("pos").cast("int"), F.coalesce("held", F.lit(0)).cast("int").alias("held"))
     entries = written(entries, "prefix-entries", held)
+    sums = lists.where(F.col("c") <= hot_list).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("entries"),
+                                                   F.coalesce(F.sum(F.expr("c * (c - 1) div 2")), F.lit(0)).alias("pairs")).first()
+    rounds = max(1, -(-sums.pairs // max(1, pair_rows, sums.entries)))
     a = entries.select("shingle", F.col("gid").alias("a"), F.col("n").alias("n"), F.col("pos").alias("i"), F.col("held").alias("x"))
     b = entries.select("shingle", F.col("gid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("j"), F.col("held").alias("y"))
-    both = a.join(b, "shingle").where("a < b").where(F.least("n", "m") * F.lit(100).cast("long") >= F.greatest("n", "m") * F.lit(percent).cast("long"))
     total = (F.col("n") + F.col("m")) * F.lit(percent).cast("long")
     first = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) * F.lit(100 + percent).cast("long") >= total
     # Beyond its prefix a set of n shingles has ceil(percent * n / 100) - 1.
     beyond = F.expr(f"(greatest(n, m) * {percent}L + 99) div 100 - 1")
     need = F.ceil(total / (100 + percent)).cast("int") - (beyond + F.least("x", "y")).cast("int")
-    pairs = both.select("a", "b", first.cast("int").alias("first"), need.alias("need")).groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("common"), F.max("first").alias("first"), F.min("need").alias("need")).where("first = 1 and common >= need").select("a", "b")
+    found = []
+    for r in range(rounds):
+        # All rows of a pair have the same smaller group.
+        own = a.where(F.pmod(F.xxhash64("a"), F.lit(rounds)) == r) if rounds > 1 else a
+        both = own.join(b, "shingle").where("a < b").where(F.least("n", "m") * F.lit(100).cast("long") >= F.greatest("n", "m") * F.lit(percent).cast("long"))
+        pairs = both.select("a", "b", first.cast("int").alias("first"), need.alias("need")).groupBy("a", "b").agg(
+            F.count(F.lit(1)).alias("common"), F.max("first").alias("first"), F.min("need").alias("need")).where("first = 1 and common >= need").select("a", "b")
+        found.append(written(pairs, "round-pairs") if rounds > 1 else pairs)
+    pairs = reduce(DataFrame.unionByName, found)
     hubs = written(warm.groupBy("shingle", "band").agg(F.min("gid").alias("hub")), "hubs")
     near = F.broadcast(hubs) if few_rows(hubs, 40, broadcast_bytes) else hubs
     ties = warm.join(near, ["shingle", "band"]).select(F.col("gid").alias("a"), F.col("hub").alias("b"))
     following = hubs.select("shingle", (F.col("band") - 1).alias("band"), F.col("hub").alias("b"))
     ties = ties.unionByName(hubs.join(following, ["shingle", "band"]).select(F.col("hub").alias("a"), "b"))
-    edges = written(pairs.unionByName(ties), "prefix-pairs", entries, warm, hubs, lists, groups)
+    edges = written(pairs.unionByName(ties), "prefix-pairs", entries, warm, hubs, lists, groups, *found)
     found = written(components(edges).select(F.col("node").alias("gid"), F.col("root").alias("cluster")), "tied-groups", edges)
     near = F.broadcast(found) if few_rows(found, 24, broadcast_bytes) else found
     alone_too = alone.join(near, "gid", "left_anti").select("gid", F.col("gid").alias("cluster"))
@@ -329,17 +343,20 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray], percent: int, f
 
 
 def verified_links(docs: DataFrame, members: DataFrame, *, id_col: str, text_col: str, size: int, percent: int, block_shingles: int,
-                   broadcast_bytes: int, forest: bool = False) -> DataFrame:
+                   broadcast_bytes: int, round_shingles: int, most_rounds: int, forest: bool = False) -> DataFrame:
     """A written table ``a, b``: ids of linked classes, or with ``forest`` one tree for each component of a task's links.
 
-    ``members``: doc_id, k1, k2, cid, n, cluster, one row for each class. Where they have at most ``broadcast_bytes``, members
-    go to all tasks, so that only their texts are dealt out.
+    ``members``: doc_id, k1, k2, cid, n, cluster, one row for each class. Tasks are done in rounds, so that the texts of about
+    ``round_shingles`` are dealt out at a time, and that a round's members, about ``broadcast_bytes``, go to all tasks: then no other texts
+    are dealt out. Where that takes over ``most_rounds`` rounds, members and documents are joined by a shuffle.
     """
     given, members = members, written(in_blocks(members, "cid", "n", block_shingles, broadcast_bytes), "block-members")
-    few = F.broadcast(members) if few_rows(members, 80, broadcast_bytes) else members
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(few, F.col("id").eqNullSafe(F.col("doc_id")))
-    rows = rows.select("text", "k1", "k2", "cid", "own", "cluster", "i", "j")
-    used = members
+    sums = members.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    rounds = max(1, -(-sums.n // max(1, round_shingles)))
+    by_size = max(1, -(-80 * sums.rows // max(1, broadcast_bytes)))
+    few = max(rounds, by_size) <= most_rounds
+    # Without the broadcast each round deals out all texts.
+    rounds = max(rounds, by_size) if few else min(rounds, most_rounds)
 
     def run(table: pa.Table) -> pa.Table:
         # Another row may have the representative's id but not its set.
@@ -369,12 +386,21 @@ def verified_links(docs: DataFrame, members: DataFrame, *, id_col: str, text_col
             trim()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return written(rows.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long"), "links", used, given)
+    out = []
+    for r in range(rounds):
+        own = members.where(F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(rounds)) == r)
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(
+            F.broadcast(own) if few else own, F.col("id").eqNullSafe(F.col("doc_id")))
+        rows = rows.select("text", "k1", "k2", "cid", "own", "cluster", "i", "j")
+        out.append(written(rows.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long"), "links"))
+    discard(members, given)
+    return out[0] if rounds == 1 else written(reduce(DataFrame.unionByName, out), "links", *out)
 
 
 def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, top_words: int = 200_000,
          hot_list: int = 100, late_list: int = 50, late_shingles: int = 500_000, late_rounds: int = 2, block_shingles: int = 1_000_000,
-         broadcast_bytes: int = 32 << 20, forest: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+         broadcast_bytes: int = 32 << 20, pair_rows: int = 20_000_000, round_shingles: int = 200_000_000, most_rounds: int = 8,
+         forest: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Written tables: documents as ``doc_id, k1, k2, n``; classes of equal sets as ``k1, k2, cid, low, rows``; links as ``a, b`` of class ids.
 
     With ``forest``, trees over the same components stand for the links, as all links of a large family are many.
@@ -383,12 +409,14 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     full = written(shingled(docs, frequencies, id_col=id_col, text_col=text_col, size=size, percent=percent), "shingle-sets")
     classes, groups, lists = prefix_groups(docs, full, frequencies, id_col=id_col, text_col=text_col, size=size, percent=percent, late_list=late_list,
                                            late_shingles=late_shingles, late_rounds=late_rounds, broadcast_bytes=broadcast_bytes)
-    clusters = prefix_clusters(classes, groups, lists, percent, hot_list, broadcast_bytes)
+    # The prefixes of all documents go before those of the groups are dealt out.
     sets = written(full.select("doc_id", "k1", "k2", "n"), "sets", full)
+    clusters = prefix_clusters(classes, groups, lists, percent, hot_list, broadcast_bytes, pair_rows)
     near = F.broadcast(clusters) if few_rows(clusters, 32, broadcast_bytes) else clusters
     members = written(classes.join(near, "gid").select(F.col("low").alias("doc_id"), "k1", "k2", "cid", "n", "cluster"), "members", clusters)
     links = verified_links(docs, members, id_col=id_col, text_col=text_col, size=size, percent=percent, block_shingles=block_shingles,
-                           broadcast_bytes=broadcast_bytes, forest=forest)
+                           broadcast_bytes=broadcast_bytes, round_shingles=max(round_shingles, sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 4),
+                           most_rounds=most_rounds, forest=forest)
     return sets, classes, links
 
 

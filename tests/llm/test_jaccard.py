@@ -118,6 +118,14 @@ def test_passages_of_many_texts_tie_no_cluster(spark, monkeypatch):
     assert seen[0] < 10
 
 
+@pytest.mark.parametrize("options", [{"pair_rows": 1}, {"pair_rows": 50, "hot_list": 2}, {"pair_rows": 1, "broadcast_bytes": 0}, {"round_shingles": 300},
+                                     {"round_shingles": 300, "broadcast_bytes": 0, "block_shingles": 200, "most_rounds": 3}])
+def test_rounds_lose_no_link(spark, options):
+    rows = corpus() + families(3) + families(4)[:20] + [(None, "n1 n2 n3 n4 n5"), (1001, "n1 n2 n3 n4 n5 n6")]
+    got = join(frame(spark, rows), **options).collect()
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=str) == brute(rows)
+
+
 @pytest.mark.parametrize("percent,few,many", [(10, 1000, 10_000), (100, 30, 30)])
 def test_bands_of_sizes_at_round_thresholds(spark, percent, few, many):
     rows = [(d, " ".join(f"w{i}" for i in range(n))) for d, n in ((1, few), (2, many), (3, many + 1))]

@@ -8,6 +8,7 @@ from test_jaccard import brute as near
 
 import corpus_pipeline
 from quillon.llm import jaccard_join, quality
+from quillon.llm.common import settings
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
                        T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -100,3 +101,24 @@ def test_near_stage_of_texts_with_common_passages(spark, monkeypatch):
     got = corpus_pipeline.near_stage(spark, docs, "").collect()
     assert sorted(x.doc_id for x in got) == sorted(d for d, _, c in near(rows, 5, 80) if c == d) == list(range(130))
     assert seen[0] < 10
+
+
+def test_near_stage_of_many_members_deals_out_no_other_texts(spark, monkeypatch):
+    """Members beyond the broadcast's limit are verified in rounds; before, all texts were dealt out by their ids."""
+    r = random.Random(6)
+    body = [" ".join(f"w{r.randrange(4000)}" for _ in range(60)) for _ in range(90)]
+    rows = [(i, b) for i, b in enumerate(body)] + [(100 + i, b + " x") for i, b in enumerate(body[:40])]
+    plans, write = [], jaccard_join.written
+
+    def seen(df, name, *used):
+        if name == "links":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, *used)
+
+    monkeypatch.setattr(jaccard_join, "written", seen)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        got = jaccard_join.keep_representatives(docs, size=5, percent=80, broadcast_bytes=2000).collect()
+    assert sorted(x.doc_id for x in got) == list(range(90))
+    assert len([x for x in plans if "FlatMapGroupsInArrow" in x]) == 4
+    assert not [x for x in plans if "SortMergeJoin" in x or "ShuffledHashJoin" in x]
