@@ -100,9 +100,9 @@ def forced_alignment(scores: DataFrame, transcripts: DataFrame, log_self: float
         phones = list(pdf["phones"].iloc[0])
         table = pdf.pivot_table(index="t", columns=["phone", "state"], values="logp").sort_index()
         columns = [(p, s) for p in phones for s in range(states)]
-        empty = pd.DataFrame({k: [] for k in ("utt", "ord", "phone", "state", "first", "last", "ll")})
         if len(table) < len(columns):
-            return empty
+            # Typed, as pandas takes an empty list for floats, which Arrow casts to chunks of text that Spark does not take.
+            return pd.DataFrame({k: np.empty(0, dtype=kind) for k, kind in (("utt", object), ("ord", np.int64), ("phone", object), ("state", np.int64), ("first", np.int64), ("last", np.int64), ("ll", np.float64))})
         obs = table[columns].to_numpy()
         start = np.full(len(columns), -np.inf)
         start[0] = 0.0

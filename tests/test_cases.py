@@ -275,6 +275,13 @@ def test_long_paths_and_circles(spark):
         se.count_paths(arcs, end(0).withColumnRenamed("path_id", "node"), end(2).withColumnRenamed("path_id", "node"))
 
 
+def test_an_utterance_too_short_to_align_has_no_rows(spark):
+    rows = [(u, t, p, 0, -1.0) for u, n in (("long", 5), ("short", 1)) for t in range(n) for p in ("x", "y")]
+    scores = spark.createDataFrame(rows, "utt string, t long, phone string, state long, logp double")
+    said = spark.createDataFrame([("long", ["x", "y"]), ("short", ["x", "y"])], "utt string, phones array<string>")
+    assert {x.utt for x in hmm.forced_alignment(scores, said, states=1).repartition(1).collect()} == {"long"}
+
+
 def test_shared_folder_is_needed_on_a_cluster():
     class Conf(dict):
         def get(self, k, default=None):
