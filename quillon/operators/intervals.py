@@ -108,7 +108,8 @@ def overlaps(a: DataFrame, b: DataFrame, bucket: int = BUCKET) -> DataFrame:
     left = _bucketed(a, bucket)
     right = _bucketed(b.select("stream_id", "first", "last", "label"), bucket).toDF("stream_id", "b_first", "b_last", "b_label", "bucket")
     begin = F.greatest("first", "b_first")
-    return (left.join(right, ["stream_id", "bucket"]).where((F.col("first") <= F.col("b_last")) & (F.col("b_first") <= F.col("last")))
+    # What explode makes of a side is unknown when the join is planned, so neither side is sent to all tasks.
+    return (left.hint("merge").join(right, ["stream_id", "bucket"]).where((F.col("first") <= F.col("b_last")) & (F.col("b_first") <= F.col("last")))
             .where(F.col("bucket") == F.floor(begin / bucket)).drop("bucket"))
 
 
@@ -143,10 +144,11 @@ def subtract(src: DataFrame, flt: DataFrame, label: int = -1, compat: bool = Fal
     """
     flt = with_label(flt, label)
     if compat:
-        free = expand(src).join(expand(flt).select("stream_id", "t").distinct(), ["stream_id", "t"], "left_anti")
-        run = F.col("t") - F.row_number().over(Window.partitionBy("stream_id").orderBy("t"))
-        runs = free.select("stream_id", "t", "label", run.alias("run")).groupBy("stream_id", "run").agg(
-            F.min("t").alias("first"), F.max("t").alias("end"), F.max_by("label", "t").alias("label"))
+        # Parts that touch are one, so frames need not be made.
+        reach = F.max("last").over(_by_time().rowsBetween(Window.unboundedPreceding, -1))
+        parts = subtract(src, flt).withColumn("new", F.when(F.col("first") <= reach + 1, 0).otherwise(1))
+        runs = parts.withColumn("run", F.sum("new").over(_by_time())).groupBy("stream_id", "run").agg(
+            F.min("first").alias("first"), F.max("last").alias("end"), F.max_by("label", "last").alias("label"))
         runs = runs.where(F.col("end") < pool - 1) if pool is not None else runs
         return runs.select("stream_id", "first", (F.col("end") + 1).alias("last"), "label")
     # Segments without a filter in their stream, and the parts inside the free ranges of the others. A free
@@ -266,17 +268,27 @@ def consensus(sets: list[DataFrame], keep: int = 1000, drop: int = 100) -> DataF
     Combinations on more than ``keep`` frames are numbered from 1, those on fewer than ``drop`` become 0 and the
     others are left out, as are frames without any label.
     """
-    rows = None
-    for i, s in enumerate(sets):
-        one = expand(s).groupBy("stream_id", "t").agg(F.min("label").alias("label")).withColumn("part", F.lit(i))
-        rows = one if rows is None else rows.unionByName(one)
-    keys = rows.groupBy("stream_id", "t").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "part", "label"))), "|").alias("combo"))
-    totals = keys.groupBy("stream_id", "combo").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("seen"))
+    # Segments are cut where any segment of the stream begins or has ended, so the pieces of all sets are the same or disjoint.
+    own = [s.select("stream_id", "first", "last", "label", F.lit(i).alias("part")) for i, s in enumerate(sets)]
+    rows = own[0]
+    for s in own[1:]:
+        rows = rows.unionByName(s)
+    at = rows.select("stream_id", F.explode(F.array(F.col("first"), F.col("last") + 1)).alias("at")).distinct().withColumn("bucket", F.floor(F.col("at") / BUCKET))
+    held = _bucketed(rows, BUCKET)
+    cuts = held.hint("merge").join(at, ["stream_id", "bucket"]).where((F.col("first") <= F.col("at")) & (F.col("at") <= F.col("last")))
+    starts = F.array_sort(F.collect_list("at"))
+    whole = cuts.groupBy(*KEYS, "part").agg(starts.alias("starts"))
+    ends = F.concat(F.transform(F.slice("starts", F.lit(2), F.greatest(F.size("starts") - 1, F.lit(0))), lambda x: x - 1), F.array("last"))
+    pieces = whole.select("stream_id", "part", "label", F.explode(F.arrays_zip(F.col("starts").alias("first"), ends.alias("last"))).alias("p")).select("stream_id", "part", "label", "p.first", "p.last")
+    pieces = pieces.groupBy("stream_id", "first", "last", "part").agg(F.min("label").alias("label"))
+    keys = pieces.groupBy("stream_id", "first", "last").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "part", "label"))), "|").alias("combo"))
+    # A run is of one combination, though several have label 0.
+    w = Window.partitionBy("stream_id", "combo").orderBy("first")
+    new = F.when(F.col("first") == F.lag("last").over(w) + 1, 0).otherwise(1)
+    runs = keys.withColumn("new", new).withColumn("run", F.sum("new").over(w)).groupBy("stream_id", "combo", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    totals = runs.groupBy("stream_id", "combo").agg(F.sum(length()).alias("n"), F.min("first").alias("seen"))
     big = totals.where(F.col("n") > keep).withColumn("label", F.row_number().over(Window.partitionBy("stream_id").orderBy("seen")))
     label = big.select("stream_id", "combo", "label").unionByName(totals.where(F.col("n") < drop).select("stream_id", "combo", F.lit(0).alias("label")))
-    # A run is of one combination, though several have label 0.
-    run = F.col("t") - F.row_number().over(Window.partitionBy("stream_id", "combo").orderBy("t"))
-    runs = keys.withColumn("run", run).groupBy("stream_id", "combo", "run").agg(F.min("t").alias("first"), F.max("t").alias("last"))
     return runs.join(label, ["stream_id", "combo"]).select(*KEYS)
 
 
@@ -374,32 +386,26 @@ def drop_low_energy(segs: DataFrame, energy: DataFrame, threshold: float, min_si
 
     ``energy`` has ``stream_id, t, energy``. ``pad`` frames stay on either side; parts of up to ``min_speech`` frames are dropped.
     """
-    rows = expand(segs.withColumn("label", F.struct("first", "label"))).select("stream_id", "t", F.col("label.first").alias("first"), F.col("label.label").alias("label"))
-    rows = rows.join(energy.select("stream_id", "t", "energy"), ["stream_id", "t"], "left")
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("t")
-        t, loud = pdf["t"].tolist(), (pdf["energy"] > threshold).tolist()
-        out, start, quiet = [], t[0], 0
-        for i, at in enumerate(t):
-            if loud[i]:
-                if quiet > min_silence and i:
-                    end = at - quiet + pad
-                    if end - start > min_speech:
-                        out.append((start, end))
-                    start = at - pad
-                quiet = 0
-            else:
-                quiet += 1
-        end = t[-1] - quiet + pad if quiet > min_silence else t[-1]
-        if len(t) > 1 and end - start > min_speech:
-            out.append((start, end))
-        return pd.DataFrame([(pdf["stream_id"].iloc[0], a, b, pdf["label"].iloc[0]) for a, b in out], columns=["stream_id", "first", "last", "label"])
-
-    rows = rows.select(F.col("stream_id").cast("string"), "first", "t", F.col("label").cast("long"), "energy")
-    return rows.groupBy("stream_id", "first").applyInPandas(run, SEGMENT_DDL)
+    # Loud runs, cut at the borders of buckets, meet the segments that hold them; frames are never joined.
+    loud = energy.where((F.col("energy") > threshold) & ~F.isnan("energy")).select("stream_id", "t", F.floor(F.col("t") / BUCKET).alias("bucket"))
+    at = Window.partitionBy("stream_id", "bucket").orderBy("t")
+    loud = loud.withColumn("run", F.col("t") - F.dense_rank().over(at)).groupBy("stream_id", "bucket", "run").agg(F.min("t").alias("a"), F.max("t").alias("b")).drop("run")
+    met = _bucketed(segs.select(*KEYS).withColumn("id", F.monotonically_increasing_id()), BUCKET).hint("merge").join(loud, ["stream_id", "bucket"], "left")
+    inside = (F.col("a") <= F.col("last")) & (F.col("b") >= F.col("first"))
+    run = F.when(inside, F.struct(F.greatest("a", "first").alias("a"), F.least("b", "last").alias("b")))
+    whole = met.groupBy(*KEYS, "id").agg(F.array_sort(F.collect_list(run)).alias("runs"))
+    # A part ends before each gap that is too long and the next begins after it; the gaps before the first and after the last run count too.
+    f, z, runs, n = F.col("first"), F.col("last"), F.col("runs"), F.size("runs")
+    here = lambda i: F.get(runs, i)
+    gap = lambda i: F.when(i == n, z - here(i - 1)["b"]).when(i == 0, here(i)["a"] - f).otherwise(here(i)["a"] - here(i - 1)["b"] - 1)
+    holes = F.when(n == 0, F.when(length() > min_silence, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))).otherwise(F.filter(F.sequence(F.lit(0), n), lambda i: gap(i) > min_silence))
+    ends = F.transform(holes, lambda i: F.when(n == 0, f - 1).when(i == 0, f).when(i == n, here(i - 1)["b"]).otherwise(here(i - 1)["b"] + 1) + pad)
+    starts = F.transform(F.filter(holes, lambda i: i < n), lambda i: here(i)["a"] - pad)
+    open_ = F.size(holes) == F.size(F.filter(holes, lambda i: i < n))
+    parts = F.arrays_zip(F.concat(F.array(f), starts).alias("first"), F.when(open_, F.concat(ends, F.array(z))).otherwise(ends).alias("last"))
+    rows = whole.select("stream_id", "label", length().alias("frames"), F.posexplode(parts).alias("i", "p"), F.size(parts).alias("n"))
+    rows = rows.select(F.col("stream_id").cast("string"), F.col("p.first").cast("long").alias("first"), F.col("p.last").cast("long").alias("last"), F.col("label").cast("long"), ((F.col("frames") > 1) | (F.col("i") + 1 < F.col("n"))).alias("long"))
+    return rows.where(F.col("long") & (F.col("last") - F.col("first") > min_speech)).select(*KEYS)
 
 
 # -- counts and set operations -------------------------------------------------------------------------

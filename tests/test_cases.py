@@ -67,6 +67,69 @@ def test_intersection_and_difference_cover_the_source(spark, bucket):
     assert frames(got(left)) == {(t, x) for t, x in frames(a) if t not in fb}
 
 
+def timeline_of(r, n, low=0):
+    rows, at = [], 0
+    for _ in range(n):
+        at += r.randrange(0, 6)
+        size = r.randrange(1, 30)
+        rows.append((at, at + size - 1, low + r.randrange(3)))
+        at += size
+    return rows
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_differences_and_consensus_without_frames(spark, seed):
+    r = random.Random(seed)
+    a, b = timeline_of(r, 30), timeline_of(r, 20, 5) + [(3, 40, 4), (600, 1700, 6)]
+    label = {t: x for f, e, x in a for t in range(f, e + 1)}
+    held = {t: min(x for f, e, x in b if f <= t <= e) for f, e, _ in b for t in range(f, e + 1)}
+    free = sorted(t for t in label if t not in held)
+    runs = [[f for f in free if f - free.index(f) == k] for k in sorted({f - i for i, f in enumerate(free)})]
+    out = iv.subtract(segs(spark, *a), segs(spark, *b), compat=True, pool=300)
+    assert got(out) == [(x[0], x[-1] + 1, label[x[-1]]) for x in runs if x[-1] < 299]
+    combos = {}
+    for t in sorted(label.keys() | held.keys()):
+        combos.setdefault((label.get(t), held.get(t)), []).append(t)
+    number = {c: 0 for c, ts in combos.items() if len(ts) < 10} | {c: k + 1 for k, c in enumerate(c for c, ts in combos.items() if len(ts) > 20)}
+    wanted = [(ts[i], next(u for u in ts[i:] if u + 1 not in ts), number[c]) for c, ts in combos.items() if c in number for i in range(len(ts)) if ts[i] - 1 not in ts]
+    both = iv.consensus([segs(spark, *a), segs(spark, *b)], keep=20, drop=10)
+    assert got(both) == sorted(wanted)
+    # A sequence of frames from first to last would make a row for each frame.
+    assert not any("sequence(first" in plan_of(x) for x in (out, both))
+
+
+def test_low_energy_without_frames(spark):
+    """Against the machine that goes through a segment frame by frame."""
+    r = random.Random(5)
+    rows = timeline_of(r, 40) + [(1000, 2600, 1), (3000, 3000, 2), (3100, 3100, 2)]
+    loud = {t for t in range(3100) if r.random() < 0.6} | {3100}
+    energy = spark.createDataFrame([("s", t, 1.0 if t in loud else (0.0 if t % 3 else float("nan"))) for t in range(3101) if t % 7], "stream_id string, t long, energy double")
+    loud = {t for t in loud if t % 7}
+
+    def parts(first, last, label, silence, speech, pad):
+        out, start, quiet = [], first, 0
+        for t in range(first, last + 1):
+            if t not in loud:
+                quiet += 1
+                continue
+            if quiet > silence:
+                if t - quiet + pad - start > speech:
+                    out.append((start, t - quiet + pad, label))
+                start = t - pad
+            quiet = 0
+        end = last - quiet + pad if quiet > silence else last
+        return out + [(start, end, label)] * (last > first and end - start > speech)
+
+    for options in ((0, 3, 1), (2, 0, 5), (1, 4, 0)):
+        out = iv.drop_low_energy(segs(spark, *rows), energy, 0.5, *options)
+        assert got(out) == sorted(x for s in rows for x in parts(*s, *options))
+        assert "sequence(first" not in plan_of(out)
+
+
 def test_gaps_and_widening(spark):
     assert got(iv.fill_gaps(segs(spark, (0, 4, 1), (10, 14, 1)), 9)) == [(0, 4, 1), (5, 9, 9), (10, 14, 1)]
     assert got(iv.widen(segs(spark, (10, 19, 1), (30, 39, 2)), 0, 3)) == [(7, 22, 1), (27, 39, 2)]
