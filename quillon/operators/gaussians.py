@@ -108,10 +108,13 @@ def mmi(models: DataFrame, num: DataFrame, den: DataFrame) -> DataFrame:
 
 
 def energy_threshold(energy: DataFrame, keys: list[str], factor: float, column: str = "energy") -> DataFrame:
-    """AGG-9: mean and deviation of the values above the mean, and mean - factor * deviation."""
+    """AGG-9: mean and deviation of the values above the mean, and mean - factor * deviation.
+
+    A value that differs from the mean by no more than the rounding of its sum is equal to it, in whatever order values are summed.
+    """
     first = energy.groupBy(*keys).agg(F.avg(column).alias("_m"))
     loud = energy.join(first, keys) if keys else energy.crossJoin(F.broadcast(first))
-    out = loud.where(F.col(column) > F.col("_m")).groupBy(*keys).agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("dev"))
+    out = loud.where(F.col(column) - F.col("_m") > F.abs("_m") * 1e-12).groupBy(*keys).agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("dev"))
     return out.withColumn("threshold", F.col("mean") - factor * F.col("dev"))
 
 
