@@ -307,6 +307,43 @@ def test_arpa_and_lexicon_files(spark, tmp_path):
         la.read_lexicon(spark, str(tmp_path / "d"), spark.createDataFrame([("a",), ("b",), ("c",)], "name string")).collect()
 
 
+def test_headings_hold_for_later_blocks(spark, tmp_path):
+    """Files that are read in many blocks, some without a heading."""
+    for k in range(2):
+        (tmp_path / f"f{k}").write_text("".join(f"## u{k}{u} ##\n" + "".join(f"#Phone# a b c |{i}|1|2|3|4|5|\n" for i in range(40)) for u in range(30)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        rows = la.read_alignment(spark, str(tmp_path))
+        assert "wholetext" not in rows._jdf.queryExecution().toString()
+        seen = {x.utt: (x.n, x.b) for x in rows.groupBy("utt").agg(F.count("*").alias("n"), F.sum("b1").alias("b")).collect()}
+        files = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert files > 10 and seen == {f"u{k}{u}": (40, 780) for k in range(2) for u in range(30)}
+
+
+def test_lines_of_an_utterance_are_in_one_file(spark, tmp_path):
+    """Banners and phone lines are both dealt out by utterance before, and their partitions differ in size."""
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20k")
+    try:
+        b = (F.col("id") % 50).cast("int")
+        rows = spark.range(60_000).select(F.concat(F.lit("u"), F.floor(F.col("id") / 50)).alias("utt"), *[F.lit(x).alias(x) for x in "lmr"], *[b.alias(f"{x}{k}") for k in (1, 2, 3) for x in "be"])
+        sm.in_order(la.alignment_lines(rows), "utt", "ord").write.text(str(tmp_path / "a"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    seen = la.read_alignment(spark, str(tmp_path / "a")).groupBy("utt").count().collect()
+    assert len(seen) == 1200 and {x["count"] for x in seen} == {50}
+
+
+def test_a_value_equal_to_the_mean_is_not_above_it(spark):
+    """Summed in this order, the mean of these is 44.309999999999995."""
+    values = [44.31, 9.27, 79.35, 15.01, 73.61, 13.91, 74.71, 59.16, 29.46, 27.71, 60.91]
+    for rows in (values, values[::-1], sorted(values)):
+        e = spark.createDataFrame([("s", x) for x in rows], "stream_id string, energy double").coalesce(1)
+        assert g.energy_threshold(e, ["stream_id"], 2.0).first().mean == pytest.approx((79.35 + 73.61 + 74.71 + 59.16 + 60.91) / 5, abs=1e-9)
+
+
 def test_trie_shares_next_phones(spark):
     lex = spark.createDataFrame([(0, ["a", "b"]), (1, ["a", "c"])], "word_id long, phones array<string>")
     assert se.build_trie(lex).select("node").distinct().count() == 4
