@@ -119,8 +119,9 @@ def window_features(samples: np.ndarray, o: FeatureOptions = FeatureOptions()) -
 
 def windows(pcm: DataFrame) -> DataFrame:
     """``stream_id, t, samples``: windows of 512 samples every 160 of (stream_id, pcm array<int>); what is too short for one is left out."""
-    n = F.floor((F.size("pcm") - WINDOW) / HOP)
-    rows = pcm.where(F.size("pcm") >= WINDOW).select("stream_id", "pcm", F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("t"))
+    # Not a filter, as that would go below what deals sounds out and make each sound a second time there.
+    starts = F.when(F.size("pcm") >= WINDOW, F.sequence(F.lit(0).cast("long"), F.floor((F.size("pcm") - WINDOW) / HOP)))
+    rows = pcm.select("stream_id", "pcm", F.explode_outer(starts).alias("t")).where("t is not null")
     return rows.select("stream_id", "t", F.slice("pcm", (F.col("t") * HOP + 1).cast("int"), WINDOW).alias("samples"))
 
 
@@ -129,11 +130,17 @@ def per_window(pcm: DataFrame, compute: Callable[[np.ndarray], np.ndarray]) -> D
     rows = windows(pcm)
 
     def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                yield pdf[["stream_id", "t"]].assign(vec=list(compute(np.stack(pdf["samples"].to_numpy()))))
+        import pyarrow as pa
 
-    return rows.mapInPandas(run, f"stream_id {rows.schema['stream_id'].dataType.simpleString()}, t long, vec array<double>")
+        for batch in batches:
+            # Windows are of one length, so the batch's samples are one matrix, and so is what comes of them.
+            for lo in range(0, batch.num_rows, 1_000):
+                part = batch.slice(lo, 1_000)
+                vec = np.asarray(compute(part.column("samples").flatten().to_numpy().reshape(-1, WINDOW)), dtype=np.float64)
+                ends = pa.array(np.arange(len(vec) + 1, dtype=np.int32) * vec.shape[1])
+                yield pa.RecordBatch.from_arrays([part.column("stream_id"), part.column("t"), pa.ListArray.from_arrays(ends, pa.array(vec.ravel()))], ["stream_id", "t", "vec"])
+
+    return rows.mapInArrow(run, f"stream_id {rows.schema['stream_id'].dataType.simpleString()}, t long, vec array<double>")
 
 
 def extract(pcm: DataFrame, options: FeatureOptions = FeatureOptions()) -> DataFrame:

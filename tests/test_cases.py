@@ -382,6 +382,16 @@ def test_an_utterance_too_short_to_align_has_no_rows(spark):
     assert {x.utt for x in hmm.forced_alignment(scores, said, states=1).repartition(1).collect()} == {"long"}
 
 
+def test_sounds_are_made_by_all_tasks(spark, tmp_path):
+    """A table of one small file, whose sounds are far larger."""
+    from quillon.plans import signal_queries as sq
+
+    spark.range(300).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    sound = sq.sound(spark, str(tmp_path))
+    assert sound.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sg.per_window(sound, sg.centred).where("size(vec) = 512").count() == 300 * 6
+
+
 def test_shared_folder_is_needed_on_a_cluster():
     class Conf(dict):
         def get(self, k, default=None):
