@@ -392,6 +392,15 @@ def test_sounds_are_made_by_all_tasks(spark, tmp_path):
     assert sg.per_window(sound, sg.centred).where("size(vec) = 512").count() == 300 * 6
 
 
+def test_references_are_not_dealt_out_by_document(spark, tmp_path):
+    from quillon.plans import search_queries as sq
+
+    spark.createDataFrame([(1, "The cat, the dog"), (2, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    ref, hyp = sq.ref_and_hyp(spark, str(tmp_path))
+    assert [(x.ord, x.word, x.hist) for x in ref.orderBy("ord").collect()] == [(0, "the", None), (1, "cat", "the"), (2, "the", "cat"), (3, "dog", "the")]
+    assert all("Exchange" not in x._jdf.queryExecution().executedPlan().toString() for x in (ref, hyp))
+
+
 def test_shared_folder_is_needed_on_a_cluster():
     class Conf(dict):
         def get(self, k, default=None):
